@@ -165,12 +165,12 @@ def split_oversized(df: DataFrame, keys: dict[str, Column], text: str, limit: in
         [f for f in d.schema.fields if f.name != "__text"]
         + [T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start_char", T.LongType()), ("end_char", T.LongType()), ("text", T.StringType()), ("natural", T.BooleanType()), ("cut", T.StringType()))]
     )
-    names = [f.name for f in schema.fields]
+    names, used = [f.name for f in schema.fields], [*keys, "__text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for *key, t in b[[*keys, "__text"]].itertuples(index=False, name=None):
+            for *key, t in b[used].itertuples(index=False, name=None):
                 off = len(t) - len(t.lstrip())
                 body = t.strip()
                 parts, forced = pieces(body, limit, overlap)
