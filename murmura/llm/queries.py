@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_split", "q_bpe", "q_turns", "q_sentences", "q_neighbours", "q_mixing", "q_pii")
+MODULES = ("q_split", "q_bpe", "q_turns", "q_sentences", "q_neighbours", "q_mixing", "q_pii", "q_language")
 
 QUERIES: dict = {}
 SQL: dict = {}
