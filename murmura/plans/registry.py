@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("intervals",)
+MODULES = ("intervals", "notes", "find")
 
 
 def collect(attribute: str) -> dict:
