@@ -6,6 +6,8 @@ import math
 import re
 import struct
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +46,27 @@ def from_bytes(b: bytes) -> list[float]:
 def embed_hashing(text: Column, dim: int = 64) -> Column:
     """The deterministic embedder: each token's hash (h * 31 + byte) bumps one place; normalised, an empty text all zero.
 
-    ``dim`` is a power of two, so that the hash may be reduced at every byte.
+    Vectorised over Arrow batches; a token's place is computed once a worker.
     """
-    if dim & (dim - 1):
-        raise ValueError("dim must be a power of two")
-    tokens = F.filter(F.split(utrim(text), r"(?U)\s+"), lambda t: t != "")
-    place = lambda t: F.aggregate(F.sequence(F.lit(1), F.octet_length(t)), F.lit(0), lambda h, i: (h * 31 + F.conv(F.hex(F.substring(F.encode(t, "UTF-8"), i, F.lit(1))), 16, 10).cast("int")) % dim)
-    places = F.transform(tokens, place)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
-    return F.when(F.size(tokens) > 0, F.transform(l2_normalize(counts), lambda x: x.cast("float"))).otherwise(F.array_repeat(F.lit(0.0).cast("float"), dim))
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        places: dict[str, int] = {}
+        out = []
+        for t in texts:
+            v = np.zeros(dim)
+            for w in (t or "").split():
+                if (at := places.get(w)) is None:
+                    h = 0
+                    for byte in w.encode():
+                        h = (h * 31 + byte) & 0xFFFFFFFFFFFFFFFF
+                    at = places[w] = h % dim
+                v[at] += 1
+            n = np.sqrt((v * v).sum())
+            out.append((v / n if n else v).astype(np.float32))
+        return pd.Series(out)
+
+    return embed(text)
 
 
 def best_per_meeting(hits: DataFrame, order: list[Column], limit: int) -> DataFrame:

@@ -212,10 +212,10 @@ SELECT meeting_id, CAST(chunk AS BIGINT) AS chunk, arg_max(cur, n) AS text FROM
 SELECT meeting_id, cue, cue || chr(10) || {_ts('start_ms', ',')} || ' --> ' || {_ts('end_ms', ',')} || chr(10) || t || chr(10) AS text FROM r""",
     "export_vtt_cues": rf"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, seq) AS cue FROM live_segment WHERE status = 'Final' AND {_BLANK % 'text'})
 SELECT meeting_id, cue, {_ts('start_ms', '.')} || ' --> ' || {_ts('end_ms', '.')} || chr(10) || CASE WHEN words IS NULL OR len(words) = 0 THEN {_TRIM % 'text'}
-  ELSE array_to_string(list_transform(words, (w, i) -> '<' || {_ts('w.start_ms', '.')} || '>' || CASE WHEN i = 1 THEN ltrim(w.text) ELSE w.text END), '') END || chr(10) AS text FROM r""",
+  ELSE array_to_string(list_transform(words, lambda w, i: '<' || {_ts('w.start_ms', '.')} || '>' || CASE WHEN i = 1 THEN ltrim(w.text) ELSE w.text END), '') END || chr(10) AS text FROM r""",
     "export_markdown_lines": rf"WITH RECURSIVE {_paragraphs(True)} SELECT meeting_id, paragraph, '**[' || {_short('start_ms')} || ']' || coalesce(' ' || ({_WHO}) || ':', '') || '** ' || text AS line FROM p",
     "export_txt": rf"WITH RECURSIVE {_paragraphs(True)} SELECT meeting_id, string_agg(coalesce('Speaker ' || CAST(speaker + 1 AS BIGINT) || ': ', '') || text, chr(10) || chr(10) ORDER BY paragraph) || chr(10) AS document FROM p GROUP BY meeting_id",
-    "note_participants": rf"WITH RECURSIVE {_paragraphs(True)}, l AS (SELECT meeting_id, {_WHO} AS label, min(paragraph) AS at FROM p GROUP BY ALL) SELECT meeting_id, list(label ORDER BY at) AS participants FROM l WHERE label IS NOT NULL GROUP BY meeting_id",
+    "note_participants": rf"WITH RECURSIVE {_paragraphs(True)}, l AS (SELECT meeting_id, {_WHO} AS label, min(paragraph) AS seen FROM p GROUP BY ALL) SELECT meeting_id, list(label ORDER BY seen) AS participants FROM l WHERE label IS NOT NULL GROUP BY meeting_id",
     "live_lines": rf"SELECT meeting_id, start_ms, id, '[' || {_short('start_ms')} || '] ' || coalesce({_WHO}, 'Speaker') || ': ' || {_TRIM % 'text'} AS line FROM live_segment WHERE status = 'Final'",
     "merged_live": r"""SELECT concat_ws('#', meeting_id, source) AS k, string_agg(text, '' ORDER BY seq) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM live_segment WHERE status = 'Final' GROUP BY meeting_id, source HAVING regexp_matches(string_agg(text, '' ORDER BY seq), '[\p{L}\p{N}]')""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("intervals", "notes", "find")
+MODULES = ("intervals", "notes", "find", "speech")
 
 
 def collect(attribute: str) -> dict:
