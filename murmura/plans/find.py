@@ -100,5 +100,5 @@ SELECT meeting_id, title, started_at_ms, CASE WHEN length(text) > 120 THEN subst
     "search_hybrid": f"""WITH {_bm25(WORDS.split())}, {_BEST % 50}, {_DOT % 50},
 r AS (SELECT meeting_id, title, row_number() OVER (ORDER BY score, started_at_ms DESC, meeting_id) - 1 AS rank FROM t UNION ALL SELECT meeting_id, title, row_number() OVER (ORDER BY score DESC, meeting_id) - 1 FROM et)
 SELECT meeting_id, any_value(title) AS title, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM r GROUP BY meeting_id ORDER BY sum(1.0::DOUBLE / (60 + rank)) DESC, meeting_id LIMIT 50""",
-    "l2_normalize": "SELECT id, list_transform(embedding, lambda x: round(CASE WHEN sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) > 0 THEN x::DOUBLE / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) ELSE x::DOUBLE END, 5)) AS unit FROM chunk WHERE len(embedding) > 0",
+    "l2_normalize": "SELECT id, list_transform(embedding, lambda x: round(CASE WHEN sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) > 0 THEN x::DOUBLE / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) ELSE x::DOUBLE END, 5) + 0.0) AS unit FROM chunk WHERE len(embedding) > 0",
 }

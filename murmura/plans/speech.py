@@ -203,12 +203,12 @@ w AS (SELECT *, lag(text) OVER (PARTITION BY stream, part ORDER BY event_id) AS
 e AS (SELECT stream, event_id, id, text, CASE WHEN ending THEN 'Final' ELSE 'Partial' END AS status, part FROM w WHERE ending AND text != '' OR NOT ending AND text != '' AND text IS DISTINCT FROM before),
 l AS (SELECT stream, arg_max(event_id, event_id) AS event_id, arg_max(id, event_id) AS id, arg_max(text, event_id) AS text FROM e WHERE status = 'Partial' AND part = (SELECT max(part) FROM w x WHERE x.stream = e.stream) AND NOT EXISTS (SELECT 1 FROM w x WHERE x.stream = e.stream AND x.part = e.part AND x.ending) GROUP BY stream)
 SELECT stream, event_id, CAST(id AS BIGINT) AS id, text, status FROM e UNION ALL SELECT stream, event_id, CAST(id AS BIGINT), text, 'Final' FROM l""",
-    "downmix": "SELECT vec_id, list_transform(range(0, CAST(ceil(len(embedding) / 2.0) AS BIGINT)), lambda g: round(list_avg(CAST(embedding[g * 2 + 1 : g * 2 + 2] AS DOUBLE[])), 6)) AS mono FROM embeddings",
+    "downmix": "SELECT vec_id, list_transform(range(0, CAST(ceil(len(embedding) / 2.0) AS BIGINT)), lambda g: round(list_avg(CAST(embedding[g * 2 + 1 : g * 2 + 2] AS DOUBLE[])), 6) + 0.0) AS mono FROM embeddings",
     "rms_gate": """WITH p AS (SELECT vec_id, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / len(embedding)) >= 0.125 AS speech, list_transform(range(0, CAST(ceil(len(embedding) / 8.0) AS BIGINT)), lambda i: list_avg(list_transform(embedding[i * 8 + 1 : i * 8 + 8], lambda x: x::DOUBLE * x::DOUBLE))) AS power FROM embeddings)
 SELECT vec_id, speech, CASE WHEN list_max(power) > 1e-6 THEN round(sqrt(list_avg(list_filter(power, lambda q: q >= list_max(power) * 3.16e-3))), 6) END AS level FROM p""",
     "apply_gain": """WITH p AS (SELECT vec_id, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / len(embedding)) AS rms, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS top FROM embeddings),
 g AS (SELECT *, CASE WHEN top * least(0.4 / rms, 10.0) > 0.891 THEN 0.891 / top ELSE least(0.4 / rms, 10.0) END AS gain FROM p)
-SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * gain, 6)) AS loud FROM g""",
+SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * gain, 6) + 0.0) AS loud FROM g""",
     "audio_frames": "SELECT vec_id, i * 100 AS timestamp_ms, len(embedding[i * 10 + 1 : i * 10 + 10]) AS n FROM (SELECT vec_id, embedding, unnest(range(0, CAST(ceil(len(embedding) / 10.0) AS BIGINT))) AS i FROM embeddings)",
     "props_params": "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 7) AS k, coalesce(try_cast(json_extract_string(props, '$.limit') AS DOUBLE), 0.5) AS \"limit\", coalesce(json_extract_string(props, '$.mode'), 'auto') AS mode FROM events",
     "catalog_sizes": "SELECT id, len(files) AS n_files, coalesce(list_sum(list_transform(files, lambda f: f.size_bytes)), 0)::BIGINT AS size_bytes, len(languages) AS n_languages FROM model_catalog",
