@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.functions.text import echo_key, similarity
 from murmura.operators.shape import stream_fold
+from murmura.streaming import folds
+from murmura.streaming.folds import Fold
 
 #: Echoes: letters and digits at least, time window, likeness (fixed values).
 ECHO_CHARS, ECHO_MS, ECHO_LIKE = 6, 5000, 0.8
@@ -61,35 +60,19 @@ def cap_partial(samples: Column, start_ms: Column, rate: int = 16_000, window_ms
     return F.struct(F.slice(samples, extra + 1, most).alias("samples"), (start_ms + (extra * 1000 / rate).cast("bigint")).alias("start_ms"))
 
 
-def streaming_ids(results: DataFrame, key: str, order: str) -> DataFrame:
-    """Decoder results (text, is_endpoint) as a changelog (key, order, id, text, status).
-
-    Partials of an utterance share an id; an endpoint with text is its final and the id goes up; an endpoint without
-    text drops what was held and the id is used again; at the end an open partial becomes final.
-    """
-    d = results.select(F.col(key).alias("k"), F.col(order).alias("o"), "text", "is_endpoint")
-
-    def step(state: dict, row: tuple) -> Iterator[tuple]:
-        _, o, text, endpoint = row
-        text = (text or "").strip()
-        if endpoint:
-            if text:
-                yield row[0], o, state["id"], text, "Final"
-                state["id"] += 1
-            state["held"] = None
-        elif text and text != state["held"]:
-            state["held"], state["at"] = text, o
-            yield row[0], o, state["id"], text, "Partial"
-
-    def finish(key_: tuple, state: dict) -> Iterator[tuple]:
-        if state["held"]:
-            yield key_[0], state["at"], state["id"], state["held"], "Final"
-
+def replay(fold: Fold, rows: DataFrame, key: str, order: str, **columns: str) -> DataFrame:
+    """A fold over stored rows in order; ``columns`` names the input column of a value where it differs."""
+    d = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), *[F.col(columns.get(v, v)).alias(v) for v in fold.values])
     kinds = dict(d.dtypes)
-    out = stream_fold(d, ["k"], ["o"], f"k {kinds['k']}, o {kinds['o']}, id bigint, text string, status string", lambda: {"id": 0, "held": None, "at": None}, step, finish)
+    out = stream_fold(d, ["k"], ["o"], f"k {kinds['k']}, " + fold.result.format(order=kinds["o"]), fold.begin, fold.step, fold.finish)
     return out.withColumnRenamed("k", key).withColumnRenamed("o", order)
 
 
+def streaming_ids(results: DataFrame, key: str, order: str) -> DataFrame:
+    """:func:`folds.streaming_ids` over decoder results (text, is_endpoint)."""
+    return replay(folds.streaming_ids(), results, key, order)
+
+
 def drop_echoes(rows: DataFrame, key: str = "meeting_id", seq: str = "seq") -> DataFrame:
     """Rows (text, source, status, end_ms) without microphone rows that repeat what the system just said.
 
@@ -113,33 +96,8 @@ def drop_echoes(rows: DataFrame, key: str = "meeting_id", seq: str = "seq") -> D
 
 
 def online_clusters(vectors: DataFrame, key: str, order: str, vector: str, reliable: str, threshold: float = 0.5) -> DataFrame:
-    """(key, order, speaker): each vector to the most similar running sum, or a new cluster below the threshold.
-
-    Reliable vectors refine the sum they join; unreliable ones below the threshold take the nearest cluster. Equal
-    similarity goes to the later cluster; the first vector is cluster 0. The order decides, so a key is one stream.
-    """
-    d = vectors.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(vector).alias("v"), F.col(reliable).alias("r"))
-
-    def step(state: dict, row: tuple) -> Iterator[tuple]:
-        _, o, v, sure = row
-        x = np.asarray(v, float)
-        sums = state["sums"]
-        best, at = -2.0, -1
-        for i, s in enumerate(sums):
-            n = np.linalg.norm(s) * np.linalg.norm(x)
-            sim = float(s @ x / n) if n > 0 and len(s) == len(x) else 0.0
-            if sim >= best:
-                best, at = sim, i
-        if at < 0 or best < threshold and sure:
-            sums.append(x.copy())
-            at = len(sums) - 1
-        elif best >= threshold and sure:
-            sums[at] += x
-        yield row[0], o, at
-
-    kinds = dict(d.dtypes)
-    out = stream_fold(d, ["k"], ["o"], f"k {kinds['k']}, o {kinds['o']}, speaker int", lambda: {"sums": []}, step, lambda k, s: iter(()))
-    return out.withColumnRenamed("k", key).withColumnRenamed("o", order)
+    """:func:`folds.online_clusters`; the order decides, so a key is one stream."""
+    return replay(folds.online_clusters(threshold), vectors, key, order, vector=vector, reliable=reliable)
 
 
 def changed_only(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -160,55 +118,10 @@ def mute(samples: Column, muted: Column) -> Column:
 
 
 def accumulate(events: DataFrame, key: str, order: str, gap_ms: int | None = None, dual_ms: int | None = None) -> DataFrame:
-    """Engine events (kind, text, at_ms) as final texts (key, n, text, aux_text).
-
-    Delta and AuxDelta append, Completed and AuxDone replace when they carry text. By default Completed closes; with
-    ``gap_ms`` a pause of that length before an event closes; with ``dual_ms`` both texts done, or that pause. The rest
-    closes at the end; nothing is closed without text.
-    """
-    d = events.select(F.col(key).alias("k"), F.col(order).alias("o"), "kind", "text", "at_ms")
-    fresh = lambda: {"n": 0, "main": "", "aux": "", "done": False, "aux_done": False, "last": None}
-
-    def close(k: object, s: dict) -> Iterator[tuple]:
-        if s["main"].strip() or s["aux"].strip():
-            yield k, s["n"], s["main"].strip(), s["aux"].strip() or None
-            s["n"] += 1
-        s.update(main="", aux="", done=False, aux_done=False)
-
-    def step(s: dict, row: tuple) -> Iterator[tuple]:
-        k, _, kind, text, at = row
-        wait = gap_ms if gap_ms is not None else dual_ms
-        if kind in ("Delta", "Completed", "AuxDelta", "AuxDone"):
-            if wait is not None and s["last"] is not None and at - s["last"] >= wait:
-                yield from close(k, s)
-            s["last"] = at
-        if kind == "Delta":
-            s["main"] += text or ""
-        elif kind == "AuxDelta":
-            s["aux"] += text or ""
-        elif kind == "Completed":
-            s["main"], s["done"] = text or s["main"], True
-        elif kind == "AuxDone":
-            s["aux"], s["aux_done"] = text or s["aux"], True
-        if s["done"] and gap_ms is None and (dual_ms is None or s["aux_done"]):
-            yield from close(k, s)
-
-    kinds = dict(d.dtypes)
-    out = stream_fold(d, ["k"], ["o"], f"k {kinds['k']}, n bigint, text string, aux_text string", fresh, step, lambda k, s: close(k[0], s))
-    return out.withColumnRenamed("k", key)
+    """:func:`folds.accumulate` over engine events (kind, text, at_ms)."""
+    return replay(folds.accumulate(gap_ms, dual_ms), events, key, order)
 
 
 def assist_triggers(rows: DataFrame, key: str, order: str, at: str, speech: str, manual: str, every_ms: int = 15_000) -> DataFrame:
-    """Rows that fire: manual ones, and those after new speech at least ``every_ms`` after the last firing."""
-    d = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(at).alias("at"), F.col(speech).alias("speech"), F.col(manual).alias("manual"))
-
-    def step(s: dict, row: tuple) -> Iterator[tuple]:
-        k, o, now, heard, asked = row
-        s["new"] = s["new"] or bool(heard)
-        if asked or s["new"] and (s["last"] is None or now - s["last"] >= every_ms):
-            s["new"], s["last"] = False, now
-            yield k, o, now
-
-    kinds = dict(d.dtypes)
-    out = stream_fold(d, ["k"], ["o"], f"k {kinds['k']}, o {kinds['o']}, at {kinds['at']}", lambda: {"new": False, "last": None}, step, lambda k, s: iter(()))
-    return out.withColumnRenamed("k", key).withColumnRenamed("o", order)
+    """:func:`folds.assist_triggers`."""
+    return replay(folds.assist_triggers(every_ms), rows, key, order, at=at, speech=speech, manual=manual)
