@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def downmix(samples: Column, channels: Column) -> Column:
@@ -79,7 +80,7 @@ def pcm16(samples: Column) -> Column:
     return F.transform(samples, lambda x: (F.greatest(F.least(x.cast("double"), F.lit(1.0)), F.lit(-1.0)) * 32767).cast("int"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def high_pass(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """One-pole high pass at 70 Hz; the first output is 0."""
     out = []
@@ -126,7 +127,7 @@ def resample_stream(frames_: DataFrame, key: str, order: str, samples: str, rate
     return out.toDF(key, order, samples)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def window_cuts(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """Cuts near every 30 s, each within half a second of its target at the quietest 20 ms, ties to the earliest."""
     out = []

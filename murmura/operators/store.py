@@ -79,10 +79,10 @@ class NoteStore:
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
     def _pointer(self) -> dict[str, str]:
-        p = self._path("_current")
+        p = self._path("current.txt")
         if not self._fs.exists(p):
             return {}
-        rows = self.spark.read.text(f"{self.root}/_current").collect()
+        rows = self.spark.read.text(f"{self.root}/current.txt").collect()
         return dict(r.value.split("\t") for r in rows if r.value)
 
     def _commit(self, pointer: dict[str, str]) -> None:
@@ -90,7 +90,7 @@ class NoteStore:
         out = self._fs.create(fresh, True)
         out.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(pointer.items())).encode()))
         out.close()
-        current = self._path("_current")
+        current = self._path("current.txt")
         if self._fs.exists(current):
             self._fs.delete(current, False)
         self._fs.rename(fresh, current)
