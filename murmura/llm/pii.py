@@ -272,18 +272,21 @@ class Names:
 
     words: list[str]
     first: set[str] = field(default_factory=set)
+    heads: set[str] = field(default_factory=set)
+    tails: set[str] = field(default_factory=set)
 
     def __post_init__(self):
         import ahocorasick
 
         self.auto = ahocorasick.Automaton()
-        for w in self.words:
+        for w in {*self.words, *self.heads}:
             self.auto.add_word(w, w)
         if self.words:
             self.auto.make_automaton()
+        self.known = set(self.words)
 
     def __reduce__(self):
-        return Names, (self.words, self.first)
+        return Names, (self.words, self.first, self.heads, self.tails)
 
     def find(self, low: str) -> list[tuple[int, int]]:
         """Spans of words of names, longest first at each place, none inside a longer word of its script."""
@@ -295,6 +298,10 @@ class Names:
             kind = _script(w[0])
             if kind in ("cased", "joined") and (a and _script(low[a - 1]) == kind or b < len(low) and _script(low[b]) == kind):
                 continue
+            if w in self.heads:
+                b += next((k for k in (3, 2, 1) if low[b : b + k] in self.tails), 0)
+                if b == e + 1 and w not in self.known:
+                    continue
             hits.append((a, b))
         out: list[tuple[int, int]] = []
         for a, b in sorted(hits, key=lambda h: (h[0], -h[1])):
@@ -331,17 +338,18 @@ def name_words(shown: list[str]) -> Names:
             first.add(parts[0])
             if all(_script(p[0]) == "free" for p in parts):
                 solid.add("".join(parts))
-    heads: dict[str, set[str]] = {}
+    words |= solid
+    # halves of names without spaces: heads with several tails, and those all of whose tails belong to such heads
+    by_head: dict[str, set[str]] = {}
     for s in solid:
-        for k in range(1, min(4, len(s))):
-            heads.setdefault(s[:k], set()).add(s[k:])
-    for s in solid:
-        words.add(s)
-        if len(s) <= 6:  # the longest half that several names share
-            shared = [k for k in range(2, min(4, len(s))) if len(heads[s[:k]]) > 1]
-            if shared:
-                words |= {s[: shared[-1]] + tail for other in [s] for tail in set().union(*[v for h, v in heads.items() if len(h) == shared[-1] and len(v) > 1])}
-    return Names(sorted(w for w in words if len(w) > 1), first)
+        if len(s) <= 6:
+            for k in (2, 3):
+                if 0 < len(s) - k <= 3:
+                    by_head.setdefault(s[:k], set()).add(s[k:])
+    heads = {h for h, t in by_head.items() if len(t) > 1}
+    tails = set().union(*[by_head[h] for h in heads])
+    heads |= {h for h, t in by_head.items() if t <= tails}
+    return Names(sorted(w for w in words if len(w) > 1), first, heads, tails)
 
 
 _INITIAL = re.compile(r"(?<![^\W_])(?:[^\W\d_]\.\s?){1,2}$")

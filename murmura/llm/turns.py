@@ -174,13 +174,17 @@ def weak_tags(obs: list[int]) -> list[int]:
     return out
 
 
+#: Lines that every model has seen, so that no class is unknown to a small sample.
+SEEDS = ("♪ music ♪", "[music] (laughs)", "hello there ♪ music ♪", "Speaker 1: hello there", "Me: hello", "**Ann:** hello", "Ann: hello", "[Ann] hello", "- hello", ">> um, hello", "00:01:02.000 [0:12] hello 12", "um...", "hello (aside) there 5")
+
+
 class Tagger:
     """Hidden Markov model over observation classes, counted with add-``smooth`` smoothing from weakly tagged texts."""
 
     def __init__(self, texts: list[str], smooth: float = 0.1):
         k, v = len(TAGS), len(OBS)
         first, step, emit = np.full(k, smooth), np.full((k, k), smooth), np.full((k, v), smooth * 0.1)
-        for t in texts:
+        for t in [*texts, *SEEDS]:
             if obs := [o for _, _, o in tokens(t)]:
                 tags = weak_tags(obs)
                 first[tags[0]] += 1
