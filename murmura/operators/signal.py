@@ -22,7 +22,7 @@ def resample(samples: Column, rate_in: Column, rate_out: Column, same_if_zero: b
 
     With ``same_if_zero`` an input rate of 0 gives the input.
     """
-    ratio = rate_out / rate_in
+    ratio = F.try_divide(rate_out, rate_in)
     n = F.round(F.size(samples) * ratio).cast("int")
 
     def at(i: Column) -> Column:
@@ -70,8 +70,8 @@ def gated_rms(samples: Column, rate: int, gate: float = 3.16e-3, floor: float =
 def apply_gain(samples: Column, rms: Column, target: float = 0.1, most: float = 10.0, peak: float = 0.891) -> Column:
     """Samples scaled to the target level, by ``most`` at most and so that none is above ``peak``."""
     top = F.array_max(F.transform(samples, lambda x: F.abs(x.cast("double"))))
-    gain = F.least(target / rms, F.lit(most))
-    gain = F.when(top * gain > peak, peak / top).otherwise(gain)
+    gain = F.least(F.try_divide(F.lit(target), rms), F.lit(most))
+    gain = F.when(top * gain > peak, F.try_divide(F.lit(peak), top)).otherwise(gain)
     return F.when(rms > 0, F.transform(samples, lambda x: x.cast("double") * gain)).otherwise(F.transform(samples, lambda x: x.cast("double")))
 
 
