@@ -71,7 +71,7 @@ def chunk_lines(df: DataFrame, key: str, text: str, budget: int) -> DataFrame:
 
     Blank lines at a chunk's head vanish, inner ones stay. An empty text gives no rows.
     """
-    lines = F.split(F.regexp_replace(F.col(text), r"\r\n", "\n"), "\n")
+    lines = F.split(F.regexp_replace(F.regexp_replace(F.col(text), r"\r\n", "\n"), r"\n\z", ""), "\n")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def step(acc: Column, line: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmura.operators import assist as A
 from murmura.operators import signal as G
 from murmura.operators import speakers as E
 from murmura.operators import wire as J
 from murmura.sources.tables import table
 from murmura.streaming import batch as B
+from murmura.streaming import folds
 
 
 def _spans(spark: SparkSession, root: str) -> DataFrame:
@@ -111,6 +113,29 @@ def online_clusters(spark: SparkSession, root: str) -> DataFrame:
     return B.online_clusters(d, "stream", "vec_id", "embedding", "sure", 0.5)
 
 
+def mixer_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Vectors of even and odd number mixed as two streams: the first one's share of each frame."""
+    v = table(spark, root, "embeddings").select(F.expr("vec_id div 2").alias("frame"), (F.col("vec_id") % 2).alias("side"), "embedding")
+    pair = v.groupBy("frame").agg(F.max(F.when(F.col("side") == 0, F.col("embedding"))).alias("first"), F.max(F.when(F.col("side") == 1, F.col("embedding"))).alias("second"))
+    return B.replay(folds.mixer(), pair.withColumn("stream", F.lit(0)), "stream", "frame").select("frame", F.round("share", 6).alias("share"), F.size("mixed").alias("n"))
+
+
+def meeting_locales(spark: SparkSession, root: str) -> DataFrame:
+    """A recogniser's locale for each meeting's label."""
+    return table(spark, root, "meeting", "id", "language").select("id", A.locale(F.col("language")).alias("locale"))
+
+
+def document_answers(spark: SparkSession, root: str) -> DataFrame:
+    """Map and reduce over documents with a stand-in model that answers with a length."""
+    return A.map_reduce(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text", 400, lambda t: F.concat(F.lit("length "), F.char_length(t).cast("string")))
+
+
+def title_slugs(spark: SparkSession, root: str) -> DataFrame:
+    """A slug of its own for each document number's label."""
+    names = table(spark, root, "meeting", "id", "title").select(F.concat_ws(" ", "title", "id").alias("name"))
+    return A.unique_slugs(names, "name", spark.createDataFrame([("weekly-sync",)], "slug string"))
+
+
 def _vectors(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "embeddings", "vec_id", "embedding")
 
@@ -174,13 +199,14 @@ def catalog_by_language(spark: SparkSession, root: str) -> DataFrame:
     return J.catalog_by_language(table(spark, root, "model_catalog"))
 
 
-QUERIES = {f.__name__: f for f in (speaker_majority, assign_speakers, split_by_speaker, timeline_remap, upsert_latest, coalesce_burst, echo_dedup, changed_partials, queue_tail, utterance_sessions, streaming_ids, accumulate_events, assist_triggers, online_clusters, downmix, resample_linear, rms_gate, apply_gain, audio_frames, high_pass, props_params, diarized_index, catalog_sizes, catalog_by_language)}
+QUERIES = {f.__name__: f for f in (speaker_majority, assign_speakers, split_by_speaker, timeline_remap, upsert_latest, coalesce_burst, echo_dedup, changed_partials, queue_tail, utterance_sessions, streaming_ids, accumulate_events, assist_triggers, online_clusters, mixer_shares, meeting_locales, document_answers, title_slugs, downmix, resample_linear, rms_gate, apply_gain, audio_frames, high_pass, props_params, diarized_index, catalog_sizes, catalog_by_language)}
 
 _MAJORITY = """o AS (SELECT s.id, p.speaker, sum(least(s.end_ms, p.end_ms) - greatest(s.start_ms, p.start_ms)) AS total FROM segment s JOIN speaker_span p ON p.meeting_id = s.meeting_id AND p.start_ms < s.end_ms AND s.start_ms < p.end_ms AND p.end_ms > p.start_ms AND s.end_ms > s.start_ms WHERE p.speaker IS NOT NULL GROUP BY ALL),
 best AS (SELECT id, CAST(arg_max(speaker, total * 100000 + speaker) AS BIGINT) AS speaker FROM o GROUP BY id)"""
 _FRAMES = "f AS (SELECT user_id % 4 AS stream, event_id, value >= 100 AS speech, event_type, value FROM events)"
 
 SQL = {
+    "meeting_locales": "SELECT id, CASE WHEN language IS NULL THEN NULL ELSE coalesce(CASE lower(trim(language)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.LOCALES.items()) + " END, CASE WHEN contains(trim(language), '-') THEN trim(language) END, 'en-US') END AS locale FROM meeting",
     "speaker_majority": f"WITH {_MAJORITY} SELECT id, speaker FROM best",
     "assign_speakers": f"WITH {_MAJORITY} SELECT s.id, coalesce(b.speaker, CAST(s.speaker AS BIGINT)) AS speaker FROM segment s LEFT JOIN best b ON b.id = s.id",
     "timeline_remap": """WITH u AS (SELECT meeting_id, start_ms, max(greatest(end_ms - start_ms, 0)) AS d FROM speaker_span GROUP BY ALL),

@@ -178,3 +178,26 @@ def echoes(chars: int = 6, window_ms: int = 5000, like: float = 0.8) -> Fold:
         yield k, o
 
     return Fold(("letters", "source", "status", "end_ms"), "o {order}", lambda: {"now": 0, "held": deque()}, step)
+
+
+def mixer(attack: float = 0.7, release: float = 0.1, silence: float = 1e-4) -> Fold:
+    """Frames of two streams (first, second) mixed by shares of their followed peaks; the mix never clips.
+
+    A level rises fast and falls slowly; below ``silence`` in sum both streams count half. Where the second frame is
+    shorter, the rest of the first is scaled alone.
+    """
+
+    def follow(level: float, peak: float) -> float:
+        return level + (attack if peak > level else release) * (peak - level)
+
+    def step(s: dict, row: tuple) -> Iterator[tuple]:
+        k, o, a, b = row
+        a, b = np.asarray(a if a is not None else [], float), np.asarray(b if b is not None else [], float)
+        s["a"], s["b"] = follow(s["a"], float(np.abs(a).max(initial=0))), follow(s["b"], float(np.abs(b).max(initial=0)))
+        total = s["a"] + s["b"]
+        share = s["a"] / total if total >= silence else 0.5
+        out, n = a * share, min(len(a), len(b))
+        out[:n] += b[:n] * (1 - share)
+        yield k, o, np.clip(out, -1, 1).tolist(), share
+
+    return Fold(("first", "second"), "o {order}, mixed array<double>, share double", lambda: {"a": 0.0, "b": 0.0}, step)
