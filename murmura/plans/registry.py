@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("intervals", "notes", "find", "speech")
+MODULES = ("intervals", "notes", "find", "speech", "messages")
 
 
 def collect(attribute: str) -> dict:
