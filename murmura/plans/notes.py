@@ -185,6 +185,13 @@ c AS (SELECT meeting_id, n, 0 AS paragraph, start_ms, CAST(end_ms AS BIGINT) AS
 p AS (SELECT meeting_id, CAST(paragraph AS BIGINT) AS paragraph, arg_max(start_ms, n) AS start_ms, arg_max(struct_pack(v := end_ms), n).v AS end_ms, arg_max(struct_pack(v := speaker), n).v AS speaker, arg_max(source, n) AS source, arg_max(text, n) AS text FROM c GROUP BY meeting_id, paragraph)"""
 
 
+_CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]"
+#: Lines of documents packed into chunks of at most 400 characters: c4 (doc_id, chunk, text).
+LINES = r"""l AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+c1 AS (SELECT doc_id, ls, 1 AS n, 0 AS chunk, ls[1] AS cur FROM l
+  UNION ALL SELECT doc_id, ls, n + 1, CASE WHEN cur != '' AND length(cur) + 1 + length(ls[n + 1]) > 400 THEN chunk + 1 ELSE chunk END, CASE WHEN cur = '' OR length(cur) + 1 + length(ls[n + 1]) > 400 THEN ls[n + 1] ELSE cur || chr(10) || ls[n + 1] END FROM c1 WHERE n < len(ls)),
+c4 AS (SELECT doc_id, chunk, arg_max(cur, n) AS text FROM c1 GROUP BY doc_id, chunk HAVING arg_max(cur, n) != '')"""
+
 SQL = {
     "note_save_segments": _SAVED,
     "note_save_rollup": rf"""WITH s AS ({_SAVED}) SELECT m.id, coalesce(nullif({_TRIM % 'm.title'}, ''), 'Untitled meeting') AS title, coalesce(max(s.end_ms), 0) AS duration_ms, count(s.meeting_id) AS segment_count
@@ -218,4 +225,13 @@ SELECT meeting_id, cue, {_ts('start_ms', '.')} || ' --> ' || {_ts('end_ms', '.')
     "note_participants": rf"WITH RECURSIVE {_paragraphs(True)}, l AS (SELECT meeting_id, {_WHO} AS label, min(paragraph) AS seen FROM p GROUP BY ALL) SELECT meeting_id, list(label ORDER BY seen) AS participants FROM l WHERE label IS NOT NULL GROUP BY meeting_id",
     "live_lines": rf"SELECT meeting_id, start_ms, id, '[' || {_short('start_ms')} || '] ' || coalesce({_WHO}, 'Speaker') || ': ' || {_TRIM % 'text'} AS line FROM live_segment WHERE status = 'Final'",
     "merged_live": r"""SELECT concat_ws('#', meeting_id, source) AS k, string_agg(text, '' ORDER BY seq) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM live_segment WHERE status = 'Final' GROUP BY meeting_id, source HAVING regexp_matches(string_agg(text, '' ORDER BY seq), '[\p{L}\p{N}]')""",
+    "chunk_lines": f"WITH RECURSIVE {LINES} SELECT doc_id, CAST(chunk AS INT) AS chunk, text FROM c4",
+    "word_tokens": rf"""WITH w AS (SELECT meeting_id || '#' || seq AS row, words, unnest(range(len(words))) AS pos FROM live_segment),
+t AS (SELECT row, pos, words[pos + 1].text AS t, words[pos + 1].start_ms AS s, words[pos + 1].end_ms AS e FROM w), k AS (SELECT * FROM t WHERE t IS NOT NULL AND t != '' AND NOT starts_with(t, '[')),
+b AS (SELECT *, lag(t) OVER (PARTITION BY row ORDER BY pos) AS b FROM k),
+o AS (SELECT *, CASE WHEN b IS NULL OR regexp_matches(t, '^[\s\p{{Z}}]') OR regexp_matches(t, '^[\s\p{{Z}}]*{_CJK}') OR regexp_matches(b, '{_CJK}[\s\p{{Z}}]*$') THEN 1 ELSE 0 END AS opens FROM b),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY row ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS word FROM o)
+SELECT row, CAST(word AS BIGINT) AS word, string_agg(t, '' ORDER BY pos) AS text, arg_min(s, pos) AS start_ms, arg_max(e, pos) AS end_ms FROM g GROUP BY row, word""",
+    "rolling_context": rf"""WITH r AS (SELECT meeting_id, seq, string_agg(CASE WHEN {_BLANK % 'text'} THEN {_TRIM % 'text'} END, ' ') OVER (PARTITION BY meeting_id ORDER BY start_ms, seq ROWS BETWEEN 113 PRECEDING AND 1 PRECEDING) AS c FROM live_segment WHERE status = 'Final')
+SELECT meeting_id, seq, CASE WHEN length(c) > 224 THEN right(c, 224) ELSE coalesce(c, '') END AS context FROM r""",
 }

@@ -9,6 +9,7 @@ from murmura.operators import assist as A
 from murmura.operators import signal as G
 from murmura.operators import speakers as E
 from murmura.operators import wire as J
+from murmura.plans.notes import LINES
 from murmura.sources.tables import table
 from murmura.streaming import batch as B
 from murmura.streaming import folds
@@ -239,4 +240,27 @@ SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * gain, 6) +
     "props_params": "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 7) AS k, coalesce(try_cast(json_extract_string(props, '$.limit') AS DOUBLE), 0.5) AS \"limit\", coalesce(json_extract_string(props, '$.mode'), 'auto') AS mode FROM events",
     "catalog_sizes": "SELECT id, len(files) AS n_files, coalesce(list_sum(list_transform(files, lambda f: f.size_bytes)), 0)::BIGINT AS size_bytes, len(languages) AS n_languages FROM model_catalog",
     "catalog_by_language": "WITH d AS (SELECT id, unnest(languages) AS lang, coalesce(list_sum(list_transform(files, lambda f: f.size_bytes)), 0) AS size FROM model_catalog) SELECT lang, count(*) AS models, arg_min(id, struct_pack(s := size, i := id)) AS smallest FROM d GROUP BY lang",
+    "document_answers": f"""WITH RECURSIVE {LINES}, n AS (SELECT doc_id, count(*) AS n, string_agg('=== Part ' || (chunk + 1) || '/' || m || ' ===' || chr(10) || 'length ' || length(text), chr(10) || chr(10) ORDER BY chunk) AS joined, max(length(text)) AS one FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS m FROM c4) GROUP BY doc_id)
+SELECT doc_id, 'length ' || CASE WHEN n > 1 THEN length(joined) ELSE one END AS answer FROM n""",
+    "title_slugs": r"SELECT concat_ws(' ', title, id) AS name, regexp_replace(regexp_replace(lower(concat_ws(' ', title, id)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM meeting",
+    "resample_linear": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, 16::DOUBLE / 48 AS r FROM embeddings),
+x AS (SELECT vec_id, v, list_transform(range(CAST(round(len(v) * r) AS BIGINT)), lambda i: i / r) AS xs FROM e)
+SELECT vec_id, list_transform(xs, lambda q: round(v[CAST(least(floor(q), len(v) - 1) AS BIGINT) + 1] + (v[CAST(least(least(floor(q), len(v) - 1) + 1, len(v) - 1) AS BIGINT) + 1] - v[CAST(least(floor(q), len(v) - 1) AS BIGINT) + 1]) * (q - floor(q)), 6) + 0.0) AS thin FROM x""",
+    "diarized_index": r"""WITH r AS (SELECT meeting_id || '#' || (id // 20) AS k, seq, start_ms, end_ms, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text, speaker FROM live_segment WHERE status = 'Final' AND regexp_matches(text, '[^\s\p{Z}]')),
+f AS (SELECT *, CASE WHEN speaker IS NOT NULL THEN min(seq) OVER (PARTITION BY k, speaker) END AS first FROM r)
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) - 1 AS id, greatest(start_ms, 0) AS start_ms, greatest(end_ms, 0) AS end_ms, CASE WHEN speaker IS NOT NULL THEN dense_rank() OVER (PARTITION BY k ORDER BY first NULLS LAST) - 1 END AS speaker, text FROM f""",
+    "split_by_speaker": r"""WITH l AS (SELECT * FROM live_segment WHERE status = 'Final'),
+w AS (SELECT meeting_id, id AS seg, CAST(speaker AS BIGINT) AS own, words, unnest(range(len(words))) AS pos FROM l WHERE len(words) > 0),
+t AS (SELECT meeting_id, seg, own, pos, words[pos + 1].text AS text, words[pos + 1].start_ms AS s, words[pos + 1].end_ms AS e FROM w),
+o AS (SELECT t.meeting_id, t.seg, t.pos, p.speaker, sum(least(t.e, p.end_ms) - greatest(t.s, p.start_ms)) AS total FROM t JOIN speaker_span p ON p.meeting_id = t.meeting_id AND p.start_ms < t.e AND t.s < p.end_ms AND t.e > t.s AND p.end_ms > p.start_ms WHERE p.speaker IS NOT NULL GROUP BY ALL),
+b AS (SELECT meeting_id, seg, pos, CAST(arg_max(speaker, total * 100000 + speaker) AS BIGINT) AS speaker FROM o GROUP BY ALL),
+d AS (SELECT t.*, b.speaker FROM t LEFT JOIN b USING (meeting_id, seg, pos)),
+c AS (SELECT *, CASE WHEN pos > 0 AND speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY meeting_id, seg ORDER BY pos) THEN 1 ELSE 0 END AS change FROM d),
+r AS (SELECT *, sum(change) OVER (PARTITION BY meeting_id, seg ORDER BY pos ROWS UNBOUNDED PRECEDING) AS part FROM c),
+m AS (SELECT *, max(part) OVER (PARTITION BY meeting_id, seg) AS parts FROM r),
+g AS (SELECT meeting_id, seg, part, any_value(parts) AS parts, min(s) AS s, max(e) AS e, max(speaker) AS speaker, any_value(own) AS own, regexp_replace(string_agg(text, '' ORDER BY pos), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text FROM m GROUP BY meeting_id, seg, part),
+q AS (SELECT l.meeting_id, l.id, l.start_ms, l.end_ms, l.text, l.speaker, sum(least(l.end_ms, p.end_ms) - greatest(l.start_ms, p.start_ms)) AS total, p.speaker AS s2 FROM l JOIN speaker_span p ON p.meeting_id = l.meeting_id AND p.start_ms < l.end_ms AND l.start_ms < p.end_ms AND p.end_ms > p.start_ms AND l.end_ms > l.start_ms WHERE p.speaker IS NOT NULL GROUP BY ALL),
+z AS (SELECT meeting_id, id, CAST(arg_max(s2, total * 100000 + s2) AS BIGINT) AS best FROM q GROUP BY ALL)
+SELECT g.meeting_id, g.seg, CAST(part AS BIGINT) AS part, CASE WHEN parts = 0 THEN l.start_ms ELSE g.s END AS start_ms, CASE WHEN parts = 0 THEN l.end_ms ELSE g.e END AS end_ms, CASE WHEN parts = 0 THEN coalesce(g.speaker, own) ELSE g.speaker END AS speaker, CASE WHEN parts = 0 THEN l.text ELSE g.text END AS text FROM g JOIN l ON l.meeting_id = g.meeting_id AND l.id = g.seg
+UNION ALL SELECT l.meeting_id, l.id, 0, l.start_ms, l.end_ms, coalesce(z.best, CAST(l.speaker AS BIGINT)), l.text FROM l LEFT JOIN z ON z.meeting_id = l.meeting_id AND z.id = l.id WHERE l.words IS NULL OR len(l.words) = 0""",
 }
