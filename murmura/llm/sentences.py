@@ -87,7 +87,7 @@ def _masks() -> tuple[str, str]:
 def _cuts() -> list[str]:
     """Patterns after whose match a sentence ends."""
     wide = rf"[。！？．।॥]+[.!?…。！？．।॥]*(?:[\s\x{{a0}}]*[”’」』）】»]|[)\]\"*_])*"
-    upper = rf"(?:[*_#]*{_OPEN}[*]?\s?[¿¡]?|[¿¡])?[\p{{Lu}}\p{{Lt}}]|[¿¡]"
+    upper = rf"(?:[*_#]*{_OPEN}[*]?\s?[¿¡]?|[¿¡])?(?:[\p{{Lu}}\p{{Lt}}]|\p{{Ll}}{{1,8}}\p{{Lu}}\p{{Ll}})|[¿¡]"  # names such as eBook open sentences too
     caseless = rf"(?:{_OPEN}\s?)?(?:[\p{{Lo}}\p{{N}}]|v\d)|[#•*]|[-–—]\s|\p{{So}}"
     close = rf"(?:(?:[\s\x{{a0}}](?=»))?{_CLOSE})*"
     return [
