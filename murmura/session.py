@@ -38,3 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a plain scan has fewer partitions than there are (a few unsplittable small files).
+
+    Larger inputs have more partitions than cores and pass as they are, without a shuffle.
+    """
+    spark = df.sparkSession
+    query = df._jdf.queryExecution()
+    if "Exchange" in query.executedPlan().toString():
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < query.toRdd().getNumPartitions() < cores else df
