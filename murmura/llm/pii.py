@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from murmura.session import spread
+
 TYPES = ("name", "email", "phone", "id_number", "address")
 #: Most distinct words of names that are sent to the workers; above, only those on the rows' own meetings are looked up.
 NAME_WORDS = 500_000
@@ -457,7 +459,7 @@ def known_names(shown: DataFrame, column: str, most: int = NAME_WORDS) -> Names:
 
 
 def _texts(df: DataFrame, keys: dict[str, Column], text: str) -> tuple[DataFrame, list[str]]:
-    return df.filter(F.col(text).isNotNull()).select(*[c.alias(n) for n, c in keys.items()], F.col(text).alias("__text")), list(keys)
+    return spread(df.filter(F.col(text).isNotNull()).select(*[c.alias(n) for n, c in keys.items()], F.col(text).alias("__text"))), list(keys)
 
 
 def find_pii(df: DataFrame, keys: dict[str, Column], text: str, names: Names) -> DataFrame:

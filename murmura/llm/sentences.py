@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.session import spread
+
 MASK, LINE, CUT = "\ue000", "\ue001", "\ue00f"
 #: Unicode white space, and the placeholder of a line break.
 BLANK = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + LINE
@@ -118,7 +120,7 @@ def sentences(df: DataFrame, keys: dict[str, Column], text: str) -> DataFrame:
     give no rows; repeated rows give their sentences each; other columns of ``df`` are ignored.
     """
     block = 256  # running sums within blocks keep the cost of very long texts linear
-    d = df.filter(F.col(text).isNotNull()).select(*[c.alias(n) for n, c in keys.items()], F.col(text).alias("__text"))
+    d = spread(df.filter(F.col(text).isNotNull()).select(*[c.alias(n) for n, c in keys.items()], F.col(text).alias("__text")))
     d = d.withColumn("__parts", F.split(_marked(F.col("__text")), CUT))
     d = d.withColumn(
         "__cells",

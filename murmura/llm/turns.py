@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from murmura.session import cut, spread
+
 TAGS = ("speaker", "time", "annotation", "filler", "speech")
 SPEAKER, TIME, NOTE, FILLER, SPEECH = range(5)
 
@@ -316,7 +318,7 @@ def speaker_turns(segments: DataFrame, participants: DataFrame, sample: int = 40
             extra["number"] = extra["number"].astype("Int64")
             yield pd.concat([b, extra], axis=1)
 
-    tagged = seg.mapInPandas(run, schema)
+    tagged = spread(seg).mapInPandas(run, schema)
     # names: the full one or its first part, within the meeting; a key of two speakers names nobody. Meetings of many
     # labelled rows are spread by a salt, over which the few participants are repeated.
     salts = 16
@@ -365,8 +367,6 @@ def _across(local: DataFrame) -> DataFrame:
     One summary row per (meeting, hour) passes the window over a meeting; only runs that touch an hour's end are
     grouped again.
     """
-    from murmura.session import cut
-
     local = cut(local)
     who = lambda r: F.struct(F.col(f"{r}.source").alias("source"), F.col(f"{r}.speaker").alias("speaker"))
     ends = local.groupBy("meeting_id", "shard").agg(F.min(F.struct("run", "source", "speaker")).alias("a"), F.max(F.struct("run", "source", "speaker")).alias("z"))
