@@ -22,8 +22,16 @@ from murmura.session import cut
 BUCKET = 65_536
 #: Rows that one tile of visitors and residents spans.
 TILE = 4_096
+#: Rows compared with a tile at once in the exact search.
+ROWS = 1_024
 #: Packed cosines may be this much too low for a candidate, about four standard errors.
 MARGIN = 0.07
+#: Cosine from which hashing finds nearly all pairs; rows with fewer than k of them are searched exactly.
+SURE = 0.85
+#: Numbers in each side of a cell of the exact search.
+CELL = 1 << 22
+#: Scores in single precision are this close.
+SINGLE = 1e-6
 #: Deepest splitting; each level halves the width of its hashes.
 LEVELS = 8
 
@@ -221,6 +229,74 @@ def _meet(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, lea
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _likely(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, least: float, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for blocks of rows of ``x``: all rows of ``y`` that may be among the k best of ``least`` or more, if scores are off by ``slack``."""
+    order = np.argsort(others, kind="stable")
+    at = np.searchsorted(others, ids, sorter=order)
+    self_ = np.where(others[order[np.minimum(at, len(order) - 1)]] == ids, order[np.minimum(at, len(order) - 1)], -1) if len(order) else np.full(len(ids), -1)
+    for a in range(0, len(x), ROWS):
+        v, me = x[a : a + ROWS], self_[a : a + ROWS]
+        top, low = np.full((len(v), k), -np.inf, np.float32), np.full(len(v), least - slack, np.float32)
+        held, count = [], 0
+        for c in range(0, len(y), TILE):
+            score = v @ y[c : c + TILE].T
+            own = np.flatnonzero((me >= c) & (me < c + TILE))
+            score[own, me[own] - c] = -np.inf
+            hit = np.flatnonzero(score.max(1) >= low)
+            if not len(hit):
+                continue
+            s = score[hit]
+            top[hit] = np.partition(np.concatenate([top[hit], s], 1), -k, 1)[:, -k:]
+            low[hit] = np.maximum(least - slack, top[hit].min(1) - 2 * slack)
+            i, j = np.nonzero((s >= low[hit][:, None]) & (s > -np.inf))
+            held.append((hit[i], j + c, s[i, j]))
+            count += len(i)
+            if count > ROWS * TILE:  # what the k-th best has since left behind
+                i, j, s = (np.concatenate(z) for z in zip(*held))
+                keep = s >= low[i]
+                held = [(i[keep], j[keep], s[keep])]
+                count = int(keep.sum()) // 2
+        if held:
+            i, j, s = (np.concatenate(z) for z in zip(*held))
+            keep = s >= low[i]
+            yield i[keep] + a, j[keep]
+
+
+def _exact(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, other, cosine): the k best rows of ``y`` of each row of ``x``, ties to the smaller id."""
+    for i, j in _likely(x, ids, y, others, k, least, SINGLE):
+        cosine = np.concatenate([np.round((x[i[c : c + 65_536]].astype(np.float64) * y[j[c : c + 65_536]]).sum(1), 7) for c in range(0, len(i), 65_536)])
+        order = np.lexsort((others[j], -cosine, i))
+        v = i[order]
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        rank = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
+        keep = order[(rank < k) & (cosine[order] >= least)]
+        yield ids[i[keep]], others[j[keep]], cosine[keep]
+
+
+def _all_pairs(some: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b, cosine): the k best classes of each of ``some`` by comparing with all, in cells of bounded blocks of both."""
+    blocks = lambda d, n: d.groupBy("dim").agg(F.ceil(F.count("*") * F.first("dim") / CELL).cast("int").alias(n))
+    sizes = blocks(some, "p").join(blocks(classes, "q"), "dim")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = some.select("dim", "rep", "unit").join(F.broadcast(sizes), "dim").select("dim", "rep", "unit", block("p").alias("i"), each("q").alias("j"))
+    right = classes.select("dim", "rep", "unit").join(F.broadcast(sizes), "dim").select("dim", "rep", "unit", block("q").alias("j"), each("p").alias("i"))
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            ids = t.column("rep").to_numpy()
+            return pa.compute.list_flatten(t.column("unit")).to_numpy().astype(np.float32).reshape(len(ids), -1), ids
+
+        import pyarrow.compute  # noqa: F401
+
+        found = list(_exact(*read(one), *read(two), k, least)) if one.num_rows and two.num_rows else []
+        a, b, c = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
+
+    return left.groupBy("dim", "i", "j").cogroup(right.groupBy("dim", "i", "j")).applyInArrow(run, "a bigint, b bigint, cosine double")
+
+
 def _best(score: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best residents of each visitor."""
     order = np.lexsort((-score, who[0]))
@@ -274,8 +350,11 @@ def _pairs(visits: DataFrame, least: float, k: int) -> DataFrame:
     return visits.mapInArrow(run, "a bigint, b bigint")
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.85, tables: int = 5, hashes: int | None = None, width: float = 2.2, visits: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """(id, other, cosine, rank): up to ``k`` most similar other rows of each row, of cosine ``least`` or more.
+def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | None = None, tables: int = 5, hashes: int | None = None, width: float = 2.2, visits: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """(id, other, cosine, rank): the ``k`` most similar other rows of each row; with ``least``, only those of that cosine or more.
+
+    Hashing finds pairs of cosine ``SURE`` or more. Rows with fewer than ``k`` of these are compared with all rows, so a
+    row has fewer than ``k`` neighbours only if there are no more; ``least`` of ``SURE`` or more leaves that step out.
 
     Vectors compare with those of equal dimension only; null, empty, all-zero and not finite vectors have no
     neighbours and are none. Ties of cosine go to the smaller id; ids must be unique and not null (rows without id are
@@ -283,6 +362,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.8
     ignored. ``hashes`` per table follows the row count unless given: 12 up to two million rows, then 1.2 more for each
     doubling. Measured recall is in the README.
     """
+    least = -np.inf if least is None else least
+    sure = max(least, SURE)
     unit = unit_vectors(df, key, vector)
     same = Window.partitionBy("dim", "h1", "h2").orderBy("id")
     few = unit.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1)
@@ -302,17 +383,29 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.8
                 with np.errstate(over="ignore"):
                     hot.setdefault(dim, []).append(np.array([r.key for r in crowded if r.dim == dim], np.int64) - np.int64(dim) * np.int64(0x51ED270B7A3F1A85 >> 1))
     sent = _visits(classes, hot, conf, True)
-    met = _pairs(sent.repartition("key").sortWithinPartitions("key"), least - MARGIN, 4 * k + 12)
+    met = _pairs(sent.repartition("key").sortWithinPartitions("key"), sure - MARGIN, 4 * k + 12)
     near = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    # exact cosines; both directions; members of classes
-    left = classes.select(F.col("rep").alias("a"), F.col("ids").alias("a_ids"), F.col("unit").alias("a_unit"))
-    right = classes.select(F.col("rep").alias("b"), F.col("ids").alias("b_ids"), F.col("unit").alias("b_unit"))
+    # exact cosines; both directions; rows with too few
+    left = classes.select(F.col("rep").alias("a"), F.col("unit").alias("a_unit"))
+    right = classes.select(F.col("rep").alias("b"), F.col("unit").alias("b_unit"))
     dot = F.aggregate(F.zip_with("a_unit", "b_unit", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    exact = near.join(left, "a").join(right, "b").select("a_ids", "b_ids", F.round(dot, 7).alias("cosine")).filter(F.col("cosine") >= least)
-    sides = exact.select(F.explode(F.array(F.struct(F.col("a_ids").alias("x"), F.col("b_ids").alias("y")), F.struct(F.col("b_ids").alias("x"), F.col("a_ids").alias("y")))).alias("s"), "cosine")
+    exact = near.join(left, "a").join(right, "b").select("a", "b", F.round(dot, 7).alias("cosine")).filter(F.col("cosine") >= sure)
+    sides = exact.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s"), "cosine").select("s.a", "s.b", "cosine")
+    if least < SURE:
+        sides = cut(sides)
+        # a neighbour counts with all its class, of which up to k + 1 ids are known
+        size = classes.select(F.col("rep").alias("b"), F.size("ids").alias("n"))
+        known = sides.join(size, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("known"))
+        few = classes.join(known, "rep", "left").filter(F.coalesce("known", F.lit(0)) + F.size("ids") - 1 < k).drop("known")
+        some = cut(few.select("dim", "rep", "unit"))
+        searched = _all_pairs(some, classes, k, least)
+        sides = sides.join(some.select(F.col("rep").alias("a")), "a", "left_anti").unionByName(searched)
+    best = sides.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).filter(F.col("r") <= k)
+    # members of classes
+    a_ids, b_ids = classes.select(F.col("rep").alias("a"), F.col("ids").alias("x")), classes.select(F.col("rep").alias("b"), F.col("ids").alias("y"))
     # a class of more than k members fills its members' lists by itself
-    outside = sides.filter(F.size("s.x") <= k).select(F.explode("s.x").alias("id"), F.slice("s.y", 1, k).alias("others"), "cosine").select("id", F.explode("others").alias("other"), "cosine")
+    outside = best.join(a_ids, "a").join(b_ids, "b").filter(F.size("x") <= k).select(F.explode("x").alias("id"), F.slice("y", 1, k).alias("others"), "cosine").select("id", F.explode("others").alias("other"), "cosine")
     inside = classes.filter(F.size("ids") > 1).select(F.explode("ids").alias("id"), "ids").select("id", F.explode("ids").alias("other"), F.lit(1.0).alias("cosine")).filter("id != other")
     lists = outside.unionByName(inside).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("rank") <= k)
     # members beyond the k + 1 kept: their list is the class's first k

@@ -64,6 +64,27 @@ def test_crowded_buckets_are_split(spark):
     assert max(len(x) for x in got.values()) <= 5
 
 
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in v], 0, "") for i, v in rows], VEC)
+
+
+def lists(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.id, {})[r["rank"]] = r.other
+    return {i: [o for _, o in sorted(d.items())] for i, d in got.items()}
+
+
+def test_five_neighbours_at_any_cosine(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 3_000)  # several cells
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.standard_normal(24).astype(np.float32)) for i in range(300)]
+    rows += [(400 + i, -v) for i, v in rows[:5]] + [(500, rows[9][1])] + [(600 + i, v[:7]) for i, v in rows[:4]]
+    got, want = lists(neighbours.nearest(vectors(spark, rows), "id", "v")), brute(rows, 5, -2)
+    assert got == want
+    assert [len(got[i]) for i in (0, 400, 500, 600)] == [5, 5, 5, 3]
+
+
 def test_no_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([], VEC), "id", "v").count() == 0
 
