@@ -26,6 +26,8 @@ TILE = 4_096
 ROWS = 1_024
 #: Packed cosines may be this much too low for a candidate, about four standard errors.
 MARGIN = 0.07
+#: Candidates a row, on average over a bucket, above which the bucket is ranked by exact cosines instead.
+MOST = 32
 #: Cosine from which hashing finds nearly all pairs; rows with fewer than k of them are searched exactly.
 SURE = 0.85
 #: Numbers in each side of a cell of the exact search.
@@ -180,7 +182,7 @@ def _visits(classes: DataFrame, hot: dict[int, list[np.ndarray]], conf: tuple, v
                 t = tables.setdefault(dim, Tables(dim, *conf))
                 at = np.flatnonzero(size == dim)
                 x = values[offsets[at][:, None] + np.arange(dim)[None, :]].astype(np.float32)
-                who = np.concatenate([ids[at].astype("<i8")[:, None].view(np.uint8).reshape(len(at), 8), _pack(x)], 1) if visit else None
+                who = np.concatenate([ids[at].astype(">i8")[:, None].view(np.uint8).reshape(len(at), 8), _pack(x)], 1) if visit else None
                 for table in range(t.n):
                     row, key = bucket_keys(x, t, table, hot.get(dim, []), visit)
                     with np.errstate(over="ignore"):
@@ -198,80 +200,88 @@ def _visits(classes: DataFrame, hot: dict[int, list[np.ndarray]], conf: tuple, v
     return classes.select("rep", "unit").mapInArrow(run, "key bigint, own boolean, who binary" if visit else "key bigint, dim int")
 
 
-def _meet(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (visitor, resident) of the buckets in one sorted block; of one dimension."""
-    out_a, out_b = [], []
+def _meet(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (visitor, resident) of the buckets in one sorted block, of one dimension; keys of buckets of too many."""
+    out_a, out_b, dense = [], [], []
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.append(starts[1:], len(keys))
     homes = np.add.reduceat(own.astype(np.int64), starts)
-    for s, e, h in zip(starts[homes > 0], ends[homes > 0], homes[homes > 0]):
+    for s, e in zip(starts[homes > 0], ends[homes > 0]):
         if e - s < 2:
             continue
         inside = np.arange(s, e)
         home = inside[own[s:e]]
+        pairs, count = [], 0
         for a in range(s, e, TILE):
             v = inside[a - s : a - s + TILE]
-            best_s = best_h = None
             for c in range(0, len(home), TILE):
                 r = home[c : c + TILE]
-                score = x[v] @ x[r].T
-                score[ids[v][:, None] == ids[r][None, :]] = -np.inf
-                i, j = np.nonzero(score >= least)
-                if len(i):
-                    best_s = score[i, j] if best_s is None else np.concatenate([best_s, score[i, j]])
-                    best_h = np.stack([i, r[j]]) if best_h is None else np.concatenate([best_h, np.stack([i, r[j]])], 1)
-                    if len(best_s) > 4 * k * TILE:
-                        best_s, best_h = _best(best_s, best_h, k)
-            if best_s is not None:
-                best_s, best_h = _best(best_s, best_h, k)
-                out_a.append(ids[v[best_h[0]]])
-                out_b.append(ids[best_h[1]])
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _likely(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, least: float, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) for blocks of rows of ``x``: all rows of ``y`` that may be among the k best of ``least`` or more, if scores are off by ``slack``."""
+                close = (x[v] @ x[r].T >= least) & (ids[v][:, None] != ids[r][None, :])
+                count += np.count_nonzero(close)
+                if count > MOST * (e - s):
+                    break
+                i, j = np.nonzero(close)
+                pairs.append((ids[v[i]], ids[r[j]]))
+            if count > MOST * (e - s):
+                dense.append(keys[s])
+                break
+        else:
+            out_a += [a for a, _ in pairs]
+            out_b += [b for _, b in pairs]
+    join = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
+    return join(out_a), join(out_b), np.array(dense, np.int64)
+
+
+def _meet_exactly(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, least: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, other, cosine) of the buckets in one sorted block: the k best residents of each visitor, and visitors of each resident."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    for s, e in zip(starts, np.append(starts[1:], len(keys))):
+        home, away = s + np.flatnonzero(own[s:e]), s + np.flatnonzero(~own[s:e])
+        yield from _exact(x[s:e], ids[s:e], x[home], ids[home], k, least)
+        if len(home) and len(away):
+            yield from _exact(x[home], ids[home], x[away], ids[away], k, least)
+
+
+def _exact(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, other, cosine) by blocks of rows of ``x``: the k best rows of ``y`` of ``least`` or more, ties to the smaller id."""
+    if not len(y):
+        return
     order = np.argsort(others, kind="stable")
-    at = np.searchsorted(others, ids, sorter=order)
-    self_ = np.where(others[order[np.minimum(at, len(order) - 1)]] == ids, order[np.minimum(at, len(order) - 1)], -1) if len(order) else np.full(len(ids), -1)
+    at = order[np.minimum(np.searchsorted(others, ids, sorter=order), len(order) - 1)]
+    me = np.where(others[at] == ids, at, -1)
     for a in range(0, len(x), ROWS):
-        v, me = x[a : a + ROWS], self_[a : a + ROWS]
-        top, low = np.full((len(v), k), -np.inf, np.float32), np.full(len(v), least - slack, np.float32)
+        v = x[a : a + ROWS]
+
+        def best(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            cosine = np.concatenate([np.round((v[i[c : c + 65_536]].astype(np.float64) * y[j[c : c + 65_536]]).sum(1), 7) for c in range(0, len(i), 65_536)])
+            order = np.lexsort((others[j], -cosine, i))
+            w = i[order]
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            rank = np.arange(len(w)) - np.repeat(first, np.diff(np.append(first, len(w))))
+            keep = order[(rank < k) & (cosine[order] >= least)]
+            return i[keep], j[keep], cosine[keep]
+
+        top, low = np.full((len(v), k), -np.inf, np.float32), np.full(len(v), least - SINGLE, np.float32)
         held, count = [], 0
         for c in range(0, len(y), TILE):
             score = v @ y[c : c + TILE].T
-            own = np.flatnonzero((me >= c) & (me < c + TILE))
-            score[own, me[own] - c] = -np.inf
+            own = np.flatnonzero((me[a : a + ROWS] >= c) & (me[a : a + ROWS] < c + TILE))
+            score[own, me[a + own] - c] = -np.inf
             hit = np.flatnonzero(score.max(1) >= low)
             if not len(hit):
                 continue
             s = score[hit]
             top[hit] = np.partition(np.concatenate([top[hit], s], 1), -k, 1)[:, -k:]
-            low[hit] = np.maximum(least - slack, top[hit].min(1) - 2 * slack)
+            low[hit] = np.maximum(least - SINGLE, top[hit].min(1) - 2 * SINGLE)
             i, j = np.nonzero((s >= low[hit][:, None]) & (s > -np.inf))
-            held.append((hit[i], j + c, s[i, j]))
+            held.append((hit[i], j + c))
             count += len(i)
-            if count > ROWS * TILE:  # what the k-th best has since left behind
-                i, j, s = (np.concatenate(z) for z in zip(*held))
-                keep = s >= low[i]
-                held = [(i[keep], j[keep], s[keep])]
-                count = int(keep.sum()) // 2
-        if held:
-            i, j, s = (np.concatenate(z) for z in zip(*held))
-            keep = s >= low[i]
-            yield i[keep] + a, j[keep]
-
-
-def _exact(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, other, cosine): the k best rows of ``y`` of each row of ``x``, ties to the smaller id."""
-    for i, j in _likely(x, ids, y, others, k, least, SINGLE):
-        cosine = np.concatenate([np.round((x[i[c : c + 65_536]].astype(np.float64) * y[j[c : c + 65_536]]).sum(1), 7) for c in range(0, len(i), 65_536)])
-        order = np.lexsort((others[j], -cosine, i))
-        v = i[order]
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        rank = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
-        keep = order[(rank < k) & (cosine[order] >= least)]
-        yield ids[i[keep]], others[j[keep]], cosine[keep]
+            if count > ROWS * TILE // 4:
+                i, j, _ = best(*(np.concatenate(z) for z in zip(*held)))
+                held, count = [(i, j)], len(i)
+        if count:
+            i, j, cosine = best(*(np.concatenate(z) for z in zip(*held)))
+            yield ids[i + a], others[j], cosine
 
 
 def _all_pairs(some: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
@@ -297,24 +307,34 @@ def _all_pairs(some: DataFrame, classes: DataFrame, k: int, least: float) -> Dat
     return left.groupBy("dim", "i", "j").cogroup(right.groupBy("dim", "i", "j")).applyInArrow(run, "a bigint, b bigint, cosine double")
 
 
-def _best(score: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best residents of each visitor."""
-    order = np.lexsort((-score, who[0]))
-    v = who[0][order]
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    rank = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
-    keep = order[rank < k]
-    return score[keep], who[:, keep]
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Blocks of whole buckets of a partition sorted by key."""
+    held: list[pa.RecordBatch] = []
+    count = size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        count, size = count + b.num_rows, size + b.nbytes
+        if count >= 100_000 or size >= 64 << 20:
+            rows = pa.Table.from_batches(held)
+            key = rows.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            if last:
+                yield rows.slice(0, last)
+                rest = rows.slice(last).combine_chunks()
+                held, count, size = rest.to_batches(), rest.num_rows, 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _pairs(visits: DataFrame, least: float, k: int) -> DataFrame:
-    """Directed candidate pairs (a, b) of all buckets; a block of whole buckets is taken from the sorted partition at a time."""
+def _pairs(visits: DataFrame, least: float) -> DataFrame:
+    """Directed candidate pairs (key, a, b) of all buckets; a bucket of too many gives only its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
+        import pyarrow.compute  # noqa: F401
 
-        def take(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
             key = rows.column("key").to_numpy()
             own = rows.column("own").to_numpy()
             who = rows.column("who").combine_chunks()
@@ -325,29 +345,33 @@ def _pairs(visits: DataFrame, least: float, k: int) -> DataFrame:
                 sub = joined if m.all() else joined.filter(pa.array(m))
                 offs = np.frombuffer(sub.buffers()[1], np.int32)[sub.offset : sub.offset + len(sub) + 1]
                 raw = np.frombuffer(sub.buffers()[2], np.uint8)[offs[0] : offs[-1]].reshape(len(sub), n)
-                ids = np.ascontiguousarray(raw[:, :8]).view("<i8").ravel()
+                ids = np.ascontiguousarray(raw[:, :8]).view(">i8").ravel().astype(np.int64)
                 x = _unpack(raw[:, 8:])
-                a, b = _meet(key[m], own[m], ids, x, least, k)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                a, b, dense = _meet(key[m], own[m], ids, x, least)
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b)], ["key", "a", "b"])
+                none = pa.nulls(len(dense), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(dense), none, none], ["key", "a", "b"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            count += b.num_rows
-            if count >= 100_000:
-                rows = pa.Table.from_batches(held)
-                key = rows.column("key").to_numpy()
-                last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
-                if last:
-                    yield from take(rows.slice(0, last))
-                    rest = rows.slice(last).combine_chunks()
-                    held, count = rest.to_batches(), rest.num_rows
-        if held:
-            yield from take(pa.Table.from_batches(held))
-
-    return visits.mapInArrow(run, "a bigint, b bigint")
+    return visits.mapInArrow(run, "key bigint, a bigint, b bigint")
+
+
+def _ranked(visits: DataFrame, least: float, k: int) -> DataFrame:
+    """(a, b, cosine) of the buckets of (key, own, rep, unit), by exact cosine, as many as can be among the k best of either."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
+        for rows in _blocks(batches):
+            key, own, ids = (rows.column(c).to_numpy() for c in ("key", "own", "rep"))
+            size = pa.compute.list_value_length(rows.column("unit")).to_numpy()
+            for n in np.unique(size):
+                m = size == n
+                x = pa.compute.list_flatten(rows.column("unit").filter(pa.array(m))).to_numpy().reshape(-1, n)
+                for found in _meet_exactly(key[m], own[m], ids[m], x, least, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in found], ["a", "b", "cosine"])
+
+    return visits.mapInArrow(run, "a bigint, b bigint, cosine double")
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | None = None, tables: int = 5, hashes: int | None = None, width: float = 2.2, visits: int = 2, bucket: int = BUCKET) -> DataFrame:
@@ -383,8 +407,9 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | Non
                 with np.errstate(over="ignore"):
                     hot.setdefault(dim, []).append(np.array([r.key for r in crowded if r.dim == dim], np.int64) - np.int64(dim) * np.int64(0x51ED270B7A3F1A85 >> 1))
     sent = _visits(classes, hot, conf, True)
-    met = _pairs(sent.repartition("key").sortWithinPartitions("key"), sure - MARGIN, 4 * k + 12)
-    near = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = cut(_pairs(sent.repartition("key").sortWithinPartitions("key"), sure - MARGIN))
+    dense = met.filter("key IS NOT NULL").select("key").distinct()
+    near = met.filter("key IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # exact cosines; both directions; rows with too few
     left = classes.select(F.col("rep").alias("a"), F.col("unit").alias("a_unit"))
@@ -392,6 +417,11 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | Non
     dot = F.aggregate(F.zip_with("a_unit", "b_unit", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     exact = near.join(left, "a").join(right, "b").select("a", "b", F.round(dot, 7).alias("cosine")).filter(F.col("cosine") >= sure)
     sides = exact.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s"), "cosine").select("s.a", "s.b", "cosine")
+    if not dense.isEmpty():
+        rep = F.conv(F.hex(F.substring("who", 1, 8)), 16, -10).cast("bigint")
+        stay = sent.join(dense, "key", "left_semi").select("key", "own", rep.alias("rep"))
+        full = stay.join(classes.select("rep", "unit"), "rep").repartition("key").sortWithinPartitions("key")
+        sides = sides.unionByName(_ranked(full, sure, k)).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     if least < SURE:
         sides = cut(sides)
         # a neighbour counts with all its class, of which up to k + 1 ids are known

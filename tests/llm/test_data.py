@@ -85,6 +85,26 @@ def test_five_neighbours_at_any_cosine(spark, monkeypatch):
     assert [len(got[i]) for i in (0, 400, 500, 600)] == [5, 5, 5, 3]
 
 
+def around(n, dim, cosine, seed):
+    """Vectors of about that cosine to each other."""
+    rng = np.random.default_rng(seed)
+    c = rng.standard_normal(dim)
+    c /= np.linalg.norm(c)
+    return [(c + ((1 / cosine - 1) / dim) ** 0.5 * rng.standard_normal(dim)).astype(np.float32) for _ in range(n)]
+
+
+def recall(got, want):
+    return sum(len(set(w) & set(got.get(i, []))) for i, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_dense_cluster_of_a_third(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i - 700, v) for i, v in enumerate(around(500, 64, 0.99, 2))] + [(1000 + i, rng.standard_normal(64)) for i in range(1000)]
+    df = vectors(spark, rows)
+    want = brute(rows, 5, 0.85)
+    assert recall(lists(neighbours.nearest(df, "id", "v", least=0.85)), want) > 0.97
+
+
 def test_no_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([], VEC), "id", "v").count() == 0
 
