@@ -2,8 +2,8 @@
 
 Equal directions collapse into classes first (each keeps its k + 1 smallest ids). Every class sends its vector, in 4 bits
 a dimension, to its own bucket and to perturbed buckets in estimated success order, in each of a few tables; a bucket's
-visitors meet its residents in numpy tiles. Candidates of all tables merge and are ranked by exact cosine. Buckets of too
-many residents are split by further, narrower hashes, so no task and no memory holds an unbounded group.
+visitors meet its residents in numpy tiles. Candidates of all tables merge and are ranked by exact cosine. Every visitor
+of a crowded bucket still meets every resident, in cells of bounded blocks of both, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from murmura.session import cut
 
-#: Residents above which a bucket is split.
+#: Visitors, and residents, above which a bucket is spread over several cells.
 BUCKET = 65_536
 #: Rows that one tile of visitors and residents spans.
 TILE = 4_096
@@ -26,6 +26,8 @@ TILE = 4_096
 ROWS = 1_024
 #: Packed cosines may be this much too low for a candidate, about four standard errors.
 MARGIN = 0.07
+#: What a row is to a bucket.
+VISITS, LIVES = 1, 2
 #: Candidates a row, on average over a bucket, above which the bucket is ranked by exact cosines instead.
 MOST = 32
 #: Cosine from which hashing finds nearly all pairs; rows with fewer than k of them are searched exactly.
@@ -34,8 +36,6 @@ SURE = 0.85
 CELL = 1 << 22
 #: Scores in single precision are this close.
 SINGLE = 1e-6
-#: Deepest splitting; each level halves the width of its hashes.
-LEVELS = 8
 
 
 def probes(hashes: int, count: int) -> list[tuple[int, ...]]:
@@ -60,25 +60,23 @@ def probes(hashes: int, count: int) -> list[tuple[int, ...]]:
 
 
 class Tables:
-    """Hash functions of all tables and splitting levels for one dimension, from a seed."""
+    """Hash functions of all tables for one dimension, from a seed."""
 
     def __init__(self, dim: int, tables: int, hashes: int, width: float, count: int, seed: int = 7):
         rng = np.random.default_rng([seed, dim])
         self.n, self.k, self.width = tables, hashes, width
         self.sets = probes(hashes, count)
         draw = lambda *s: rng.standard_normal(s).astype(np.float32)
-        self.a, self.b = draw(tables, LEVELS + 1, dim, hashes), rng.uniform(0, 1, (tables, LEVELS + 1, hashes)).astype(np.float32)
-        self.mult = rng.integers(1, 2**62, (tables, LEVELS + 1, hashes), np.int64) | 1
+        self.a, self.b = draw(tables, dim, hashes), rng.uniform(0, 1, (tables, hashes)).astype(np.float32)
+        self.mult = rng.integers(1, 2**62, (tables, hashes), np.int64) | 1
 
-    def keys(self, x: np.ndarray, table: int, level: int, visit: bool) -> np.ndarray:
+    def keys(self, x: np.ndarray, table: int) -> np.ndarray:
         """Bucket keys (rows, 1 + probes) of unit vectors, the own bucket first."""
         with np.errstate(over="ignore"):
-            f = x @ self.a[table, level] / np.float32(self.width / 2**level) + self.b[table, level]
+            f = x @ self.a[table] / np.float32(self.width) + self.b[table]
             h = np.floor(f)
-            mult = self.mult[table, level]
+            mult = self.mult[table]
             own = (h.astype(np.int64) * mult).sum(1) + np.int64(table) * np.int64(0x632BE59BD9B4E019)
-            if not visit:
-                return own[:, None]
             below = f - h
             order = np.argsort(np.concatenate([below, 1 - below], 1), 1)
             out = [own]
@@ -97,25 +95,28 @@ def _mixed(key: np.ndarray, more: np.ndarray) -> np.ndarray:
         return x ^ ((x >> 29) & 0x7FFFFFFFF)
 
 
-def bucket_keys(x: np.ndarray, t: Tables, table: int, hot: list[np.ndarray], visit: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all visits; ``hot`` lists, by level, the buckets that the next level's hashes split."""
-    keys = t.keys(x, table, 0, visit)
-    row, col = np.indices(keys.shape)
-    row, key, own = row.ravel(), keys.ravel(), col.ravel() == 0
-    for level, crowded in enumerate(hot, 1):
-        split = np.isin(key, crowded)
-        if not split.any():
-            break
-        deep = t.keys(x, table, level, visit)
-        r = row[split]
-        width = np.where(own[split], deep.shape[1], 1)  # perturbed visits go to their own part only
-        pos = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-        r2 = np.repeat(r, width)
-        k2 = _mixed(np.repeat(key[split], width), deep[r2, pos])
-        o2 = np.repeat(own[split], width) & (pos == 0)
-        row, key, own = np.concatenate([row[~split], r2]), np.concatenate([key[~split], k2]), np.concatenate([own[~split], o2])
-    order = np.argsort(~own, kind="stable")  # own buckets first
-    return row[order], key[order]
+def cells(key: np.ndarray, own: np.ndarray, row: np.ndarray, ids: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, role, row) of visits; ``hot`` has the sorted keys of crowded buckets and their blocks of visitors and of residents.
+
+    A crowded bucket's visitors go to the cells of their block and all blocks of residents, its residents to those of
+    theirs and all blocks of visitors: each pair meets in one cell. Elsewhere a row that is both is sent once.
+    """
+    role = np.where(own, VISITS | LIVES, VISITS)
+    at = np.minimum(np.searchsorted(hot[0], key), len(hot[0]) - 1) if len(hot[0]) else None
+    crowded = hot[0][at] == key if at is not None else np.zeros(len(key), bool)
+    if not crowded.any():
+        return key, role, row
+    out = [(key[~crowded], role[~crowded], row[~crowded])]
+    k, r, b = key[crowded], row[crowded], at[crowded]
+    visitors, residents = hot[1][b], hot[2][b]
+    mixed = _mixed(ids[r], np.full(len(r), 5)) >> 20
+    for role, blocks, others, which in ((VISITS, visitors, residents, np.ones(len(r), bool)), (LIVES, residents, visitors, own[crowded])):
+        count = others[which]
+        each = np.repeat(np.flatnonzero(which), count)
+        mine, other = (mixed % blocks)[each], np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        v, h = (mine, other) if role == VISITS else (other, mine)
+        out.append((_mixed(k[each], 1 + v * residents[each] + h), np.full(len(each), role), r[each]))
+    return tuple(np.concatenate(z) for z in zip(*out))
 
 
 def _pack(x: np.ndarray) -> np.ndarray:
@@ -169,11 +170,12 @@ def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return d.mapInArrow(run, "id bigint, dim int, h1 bigint, h2 bigint, unit array<float>")
 
 
-def _visits(classes: DataFrame, hot: dict[int, list[np.ndarray]], conf: tuple, visit: bool) -> DataFrame:
-    """(key, own, who): one row a class and bucket visited; who is the id and, with ``visit``, the packed vector."""
+def _visits(classes: DataFrame, hot: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], conf: tuple, vectors: bool) -> DataFrame:
+    """(key, role, who): one row a class and bucket visited, who being the id and the packed vector; else (dim, key, own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, Tables] = {}
+        none = (np.zeros(0, np.int64),) * 3
         for b in batches:
             values, offsets = _unit(b, "unit")
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -182,38 +184,41 @@ def _visits(classes: DataFrame, hot: dict[int, list[np.ndarray]], conf: tuple, v
                 t = tables.setdefault(dim, Tables(dim, *conf))
                 at = np.flatnonzero(size == dim)
                 x = values[offsets[at][:, None] + np.arange(dim)[None, :]].astype(np.float32)
-                who = np.concatenate([ids[at].astype(">i8")[:, None].view(np.uint8).reshape(len(at), 8), _pack(x)], 1) if visit else None
+                who = np.concatenate([ids[at].astype(">i8")[:, None].view(np.uint8).reshape(len(at), 8), _pack(x)], 1) if vectors else None
                 for table in range(t.n):
-                    row, key = bucket_keys(x, t, table, hot.get(dim, []), visit)
+                    keys = t.keys(x, table)
+                    row, col = np.indices(keys.shape)
+                    row, own = row.ravel(), col.ravel() == 0
                     with np.errstate(over="ignore"):
-                        key = key + np.int64(dim) * np.int64(0x51ED270B7A3F1A85 >> 1)
-                    own = np.zeros(len(row), bool)
-                    own[: len(at)] = True
-                    if not visit:
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), dim), pa.int32())], ["key", "dim"])
+                        key = keys.ravel() + np.int64(dim) * np.int64(0x51ED270B7A3F1A85 >> 1)
+                    if not vectors:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), dim), pa.int32()), pa.array(key), pa.array(own)], ["dim", "key", "own"])
                         continue
+                    key, role, row = cells(key, own, row, ids[at], hot.get(dim, none))
                     size_of = who.shape[1]
-                    data = pa.py_buffer(np.ascontiguousarray(who[row]).tobytes())
-                    binary = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.arange(len(row) + 1) * size_of).astype(np.int32).tobytes()), data])
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), binary], ["key", "own", "who"])
+                    step = max(1, (1 << 30) // size_of)
+                    for c in range(0, len(row), step):
+                        r = row[c : c + step]
+                        data = pa.py_buffer(np.ascontiguousarray(who[r]).tobytes())
+                        binary = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer((np.arange(len(r) + 1) * size_of).astype(np.int32).tobytes()), data])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[c : c + step]), pa.array(role[c : c + step], pa.int32()), binary], ["key", "role", "who"])
 
-    return classes.select("rep", "unit").mapInArrow(run, "key bigint, own boolean, who binary" if visit else "key bigint, dim int")
+    return classes.select("rep", "unit").mapInArrow(run, "key bigint, role int, who binary" if vectors else "dim int, key bigint, own boolean")
 
 
-def _meet(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _meet(keys: np.ndarray, role: np.ndarray, ids: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (visitor, resident) of the buckets in one sorted block, of one dimension; keys of buckets of too many."""
     out_a, out_b, dense = [], [], []
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.append(starts[1:], len(keys))
-    homes = np.add.reduceat(own.astype(np.int64), starts)
+    homes = np.add.reduceat(role >> 1, starts)
     for s, e in zip(starts[homes > 0], ends[homes > 0]):
         if e - s < 2:
             continue
-        inside = np.arange(s, e)
-        home = inside[own[s:e]]
+        visitors, home = s + np.flatnonzero(role[s:e] & VISITS), s + np.flatnonzero(role[s:e] & LIVES)
         pairs, count = [], 0
-        for a in range(s, e, TILE):
-            v = inside[a - s : a - s + TILE]
+        for a in range(0, len(visitors), TILE):
+            v = visitors[a : a + TILE]
             for c in range(0, len(home), TILE):
                 r = home[c : c + TILE]
                 close = (x[v] @ x[r].T >= least) & (ids[v][:, None] != ids[r][None, :])
@@ -232,12 +237,12 @@ def _meet(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, lea
     return join(out_a), join(out_b), np.array(dense, np.int64)
 
 
-def _meet_exactly(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, least: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _meet_exactly(keys: np.ndarray, role: np.ndarray, ids: np.ndarray, x: np.ndarray, least: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(id, other, cosine) of the buckets in one sorted block: the k best residents of each visitor, and visitors of each resident."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     for s, e in zip(starts, np.append(starts[1:], len(keys))):
-        home, away = s + np.flatnonzero(own[s:e]), s + np.flatnonzero(~own[s:e])
-        yield from _exact(x[s:e], ids[s:e], x[home], ids[home], k, least)
+        visitors, home, away = (s + np.flatnonzero(z) for z in (role[s:e] & VISITS, role[s:e] & LIVES, role[s:e] == VISITS))
+        yield from _exact(x[visitors], ids[visitors], x[home], ids[home], k, least)
         if len(home) and len(away):
             yield from _exact(x[home], ids[home], x[away], ids[away], k, least)
 
@@ -336,7 +341,7 @@ def _pairs(visits: DataFrame, least: float) -> DataFrame:
 
         for rows in _blocks(batches):
             key = rows.column("key").to_numpy()
-            own = rows.column("own").to_numpy()
+            role = rows.column("role").to_numpy()
             who = rows.column("who").combine_chunks()
             size = pa.compute.binary_length(who).to_numpy(zero_copy_only=False)
             joined = who if isinstance(who, pa.Array) else pa.concat_arrays(who.chunks)
@@ -347,7 +352,7 @@ def _pairs(visits: DataFrame, least: float) -> DataFrame:
                 raw = np.frombuffer(sub.buffers()[2], np.uint8)[offs[0] : offs[-1]].reshape(len(sub), n)
                 ids = np.ascontiguousarray(raw[:, :8]).view(">i8").ravel().astype(np.int64)
                 x = _unpack(raw[:, 8:])
-                a, b, dense = _meet(key[m], own[m], ids, x, least)
+                a, b, dense = _meet(key[m], role[m], ids, x, least)
                 none = pa.nulls(len(a), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b)], ["key", "a", "b"])
                 none = pa.nulls(len(dense), pa.int64())
@@ -357,24 +362,24 @@ def _pairs(visits: DataFrame, least: float) -> DataFrame:
 
 
 def _ranked(visits: DataFrame, least: float, k: int) -> DataFrame:
-    """(a, b, cosine) of the buckets of (key, own, rep, unit), by exact cosine, as many as can be among the k best of either."""
+    """(a, b, cosine) of the buckets of (key, role, rep, unit), by exact cosine, as many as can be among the k best of either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         for rows in _blocks(batches):
-            key, own, ids = (rows.column(c).to_numpy() for c in ("key", "own", "rep"))
+            key, role, ids = (rows.column(c).to_numpy() for c in ("key", "role", "rep"))
             size = pa.compute.list_value_length(rows.column("unit")).to_numpy()
             for n in np.unique(size):
                 m = size == n
                 x = pa.compute.list_flatten(rows.column("unit").filter(pa.array(m))).to_numpy().reshape(-1, n)
-                for found in _meet_exactly(key[m], own[m], ids[m], x, least, k):
+                for found in _meet_exactly(key[m], role[m], ids[m], x, least, k):
                     yield pa.RecordBatch.from_arrays([pa.array(z) for z in found], ["a", "b", "cosine"])
 
     return visits.mapInArrow(run, "a bigint, b bigint, cosine double")
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | None = None, tables: int = 5, hashes: int | None = None, width: float = 2.2, visits: int = 2, bucket: int = BUCKET) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | None = None, tables: int | None = None, hashes: int | None = None, width: float = 2.2, visits: int = 2, bucket: int = BUCKET) -> DataFrame:
     """(id, other, cosine, rank): the ``k`` most similar other rows of each row; with ``least``, only those of that cosine or more.
 
     Hashing finds pairs of cosine ``SURE`` or more. Rows with fewer than ``k`` of these are compared with all rows, so a
@@ -384,7 +389,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | Non
     neighbours and are none. Ties of cosine go to the smaller id; ids must be unique and not null (rows without id are
     left out). Vectors of the same direction (to 1e-5) are of cosine 1. An empty table gives no rows. Other columns are
     ignored. ``hashes`` per table follows the row count unless given: 12 up to two million rows, then 1.2 more for each
-    doubling. Measured recall is in the README.
+    doubling; ``tables`` follow the hashes unless given: 5 for 12, then 1.22 times as many for each more. Measured recall is in the README.
     """
     least = -np.inf if least is None else least
     sure = max(least, SURE)
@@ -394,18 +399,17 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | Non
     classes = cut(few.groupBy("dim", "h1", "h2").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("unit", "n").alias("unit")))
     n = classes.count()
     m = hashes or 12 + max(0, round(1.2 * np.log2(max(n, 1) / 2e6)))
-    conf = (tables, m, width, visits)
+    # a hash more keeps about 0.82 of the near pairs together, so tables grow by its inverse
+    conf = (tables or round(5 * 1.22 ** max(0, m - 12)), m, width, visits)
 
-    # residents per bucket; crowded ones (at most tables * rows / bucket of them) are split level by level
-    hot: dict[int, list[np.ndarray]] = {}
+    # visitors and residents per bucket; crowded ones (at most tables * (1 + visits) * rows / bucket of them) spread over cells
+    hot: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     if n > bucket:
-        for _ in range(LEVELS):
-            crowded = _visits(classes, hot, conf, False).groupBy("dim", "key").count().filter(F.col("count") > bucket).select("dim", "key").collect()
-            if not crowded:
-                break
-            for dim in {r.dim for r in crowded}:
-                with np.errstate(over="ignore"):
-                    hot.setdefault(dim, []).append(np.array([r.key for r in crowded if r.dim == dim], np.int64) - np.int64(dim) * np.int64(0x51ED270B7A3F1A85 >> 1))
+        counts = _visits(classes, hot, conf, False).groupBy("dim", "key").agg(F.count("*").alias("v"), F.count_if("own").alias("r"))
+        crowded = counts.filter(F.col("v") > bucket).orderBy("dim", "key").collect()
+        for dim in {r.dim for r in crowded}:
+            blocks = [(r.key, -(-r.v // bucket), -(-max(r.r, 1) // bucket)) for r in crowded if r.dim == dim]
+            hot[dim] = tuple(np.array(z, np.int64) for z in zip(*blocks))
     sent = _visits(classes, hot, conf, True)
     met = cut(_pairs(sent.repartition("key").sortWithinPartitions("key"), sure - MARGIN))
     dense = met.filter("key IS NOT NULL").select("key").distinct()
@@ -419,7 +423,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | Non
     sides = exact.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s"), "cosine").select("s.a", "s.b", "cosine")
     if not dense.isEmpty():
         rep = F.conv(F.hex(F.substring("who", 1, 8)), 16, -10).cast("bigint")
-        stay = sent.join(dense, "key", "left_semi").select("key", "own", rep.alias("rep"))
+        stay = sent.join(dense, "key", "left_semi").select("key", "role", rep.alias("rep"))
         full = stay.join(classes.select("rep", "unit"), "rep").repartition("key").sortWithinPartitions("key")
         sides = sides.unionByName(_ranked(full, sure, k)).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     if least < SURE:

@@ -105,6 +105,16 @@ def test_dense_cluster_of_a_third(spark):
     assert recall(lists(neighbours.nearest(df, "id", "v", least=0.85)), want) > 0.97
 
 
+def test_crowding_loses_no_neighbour(spark):
+    rng = np.random.default_rng(5)
+    c = rng.standard_normal(24)
+    rows = [(i, (c + 0.4 * rng.standard_normal(24)).astype(np.float32)) for i in range(400)]
+    df = vectors(spark, rows)
+    whole = lists(neighbours.nearest(df, "id", "v", least=0.85))
+    assert lists(neighbours.nearest(df, "id", "v", least=0.85, bucket=20)) == whole
+    assert recall(whole, brute(rows, 5, 0.85)) > 0.9
+
+
 def test_no_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([], VEC), "id", "v").count() == 0
 
