@@ -52,8 +52,12 @@ class Sources:
         return out
 
 
-def train_sources(docs: DataFrame, text: str, source: str, sample: int = SAMPLE) -> Sources:
-    """A classifier of the sources from at most ``sample`` labelled documents, taken in hash order."""
+def train_sources(docs: DataFrame, text: str, source: str, sample: int = SAMPLE, names: list[str] | None = None) -> Sources:
+    """A classifier of the sources from at most ``sample`` labelled documents, taken in hash order.
+
+    ``names`` are all sources, those of the sample unless given; one that the sample lacks has the smoothed prior and
+    the words of all sources together, so that no words speak for it.
+    """
     rows = (
         docs.filter(F.col(source).isNotNull() & F.col(text).isNotNull())
         .select(F.col(source).alias("s"), F.col(text).alias("t"), F.xxhash64(text, source).alias("h"))
@@ -61,12 +65,15 @@ def train_sources(docs: DataFrame, text: str, source: str, sample: int = SAMPLE)
         .limit(sample)
         .collect()
     )
-    names = sorted({r.s for r in rows})
+    names = sorted({r.s for r in rows} if names is None else {*names})
     count, docs_of = np.ones((len(names), FEATURES)) * 0.1, np.ones(len(names))
+    place = {s: k for k, s in enumerate(names)}
     for r in rows:
-        k = names.index(r.s)
+        if (k := place.get(r.s)) is None:
+            continue
         count[k, _features(r.t)] += 1
         docs_of[k] += 1
+    count[docs_of == 1] = count.sum(0)
     return Sources(names, np.log(docs_of / docs_of.sum()) if names else np.zeros(0), np.log(count / count.sum(1, keepdims=True)))
 
 
@@ -221,7 +228,9 @@ def mix(docs: DataFrame, mixes: DataFrame, key: str = "doc_id", text: str = "tex
     docs = docs.select(key, text, source)
     tokens = document_tokens(docs, key, text, source, vocabulary)
     goals = targets(tokens, mixes)
-    model = train_sources(docs, text, source, sample)
+    # all sources that own tokens, not only those of the classifier's sample
+    names = [r.source for r in tokens.filter(F.col("source").isNotNull() & (F.col("n_tokens") > 0)).select("source").distinct().collect()]
+    model = train_sources(docs, text, source, sample, names)
     members = cut(_memberships(docs, tokens, key, text, source, model))
     rates = fit(members, model.names, goals.toPandas())
     chosen = cut(copies(members, rates))

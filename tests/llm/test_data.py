@@ -146,6 +146,20 @@ def test_mix_meets_targets(spark):
     assert chosen.groupBy("mix_id", "doc").count().filter("count > 1").count() == 0
 
 
+def test_source_outside_the_sample_keeps_its_share(spark):
+    rnd = random.Random(4)
+    docs = [(i, " ".join(rnd.choice(["alpha", "apple", "arrow"]) for _ in range(20)), "a") for i in range(200)]
+    docs += [(500 + i, "gamma green grape " * 7, f"rare{i % 2}") for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    mixes = spark.createDataFrame([("x", "a", 0.9, 1), ("x", "rare0", 0.05, 9), ("x", "rare1", 0.05, 9)], "mix_id string, source string, weight double, max_repeats int")
+    names = mixing.train_sources(df, "text", "source", 1).names
+    chosen, report = mixing.mix(df, mixes, sample=1)  # at least one source is not in the sample
+    assert len(names) == 1
+    for r in report.collect():
+        assert r.own > 0 and abs(r.share - r.target_share) < 0.02
+    assert {r.source for r in chosen.select("source").distinct().collect()} == {"a", "rare0", "rare1"}
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     mixes = spark.createDataFrame([("x", "a", 1.0, 2)], "mix_id string, source string, weight double, max_repeats int")
