@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmura.functions import text as X
@@ -59,16 +59,24 @@ def positions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def near_segments(spark: SparkSession, root: str) -> DataFrame:
-    """Likeness of each segment to the one before of its meeting, on letters and digits of ASCII."""
+    """Likeness of each segment to the one before of its meeting, on letters and digits of ASCII, as its SQL has it."""
+    return _likeness(spark, root, F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""))
+
+
+def near_segments_unicode(spark: SparkSession, root: str) -> DataFrame:
+    """Likeness of each segment to the one before of its meeting, on letters and digits of every script."""
+    return _likeness(spark, root, X.echo_key(F.col("text")))
+
+
+def _likeness(spark: SparkSession, root: str, key: Column) -> DataFrame:
     from pyspark.sql import Window
 
-    key = F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")
     d = table(spark, root, "segment", "id", "meeting_id", "start_ms", "text").select("id", "meeting_id", "start_ms", key.alias("t"))
     d = d.withColumn("before", F.lag("t").over(Window.partitionBy("meeting_id").orderBy("start_ms", "id"))).filter("before IS NOT NULL AND t IS NOT NULL")
     return d.select("id", F.round(X.similarity(F.col("t"), F.col("before")), 6).alias("likeness"))
 
 
-QUERIES = {f.__name__: f for f in (server_events, embedding_responses, chat_requests, token_times, positions, near_segments)}
+QUERIES = {f.__name__: f for f in (server_events, embedding_responses, chat_requests, token_times, positions, near_segments, near_segments_unicode)}
 
 SQL = {
     "server_events": "SELECT event_id, CASE event_type WHEN 'view' THEN 'Delta' WHEN 'click' THEN 'AuxDelta' WHEN 'purchase' THEN 'Completed' WHEN 'signup' THEN 'AuxDone' WHEN 'error' THEN 'Error' END AS kind, 'n' || event_id AS text FROM events",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions.text import echo_key
 from murmura.operators import signal, speakers, wire
+from murmura.plans import messages
 from murmura.streaming import batch, folds, live
 
 
@@ -154,3 +155,10 @@ def test_messages(spark):
     assert [(r.id, r.speaker, r.text) for r in wire.diarized(d, "k", "j").orderBy("id").collect()] == [(0, 0, "a"), (1, 1, "c"), (2, 0, "d")]
     lines = spark.createDataFrame([(1, i, s) for i, s in enumerate(['data: {"choices":[{"delta":{"content":"he"}}]}', ": x", "data: nope", 'data: {"choices":[{"delta":{"content":"llo"}}]}', "data: [DONE]"])], "k int, o int, line string")
     assert wire.streamed_chat(lines, "k", "o", "line").first().text == "hello"
+
+
+def test_likeness_reads_every_script(spark, tmp_path):
+    texts = ["Привет всем", "До свидания", "你好", "再见", "été", "ete", "!", "?"]
+    spark.createDataFrame([(i, "m", i, t) for i, t in enumerate(texts)], "id bigint, meeting_id string, start_ms bigint, text string").write.parquet(f"{tmp_path}/segment.parquet")
+    got = {r.id: r.likeness for r in messages.near_segments_unicode(spark, str(tmp_path)).collect()}
+    assert got[1] < 0.5 and got[3] == 0 and abs(got[5] - 1 / 3) < 1e-5 and got[7] == 1
