@@ -216,8 +216,8 @@ ADDRESS = [
 #: Substrings without which there is no address.
 _ADDRESS_SIGNS = (
     "street road lane avenue court drive way close square place terrace crescent grove row walk gardens hill boulevard brewery mews parade yard box postfach flat apt unit suite studio"
-    " straße strasse str. weg platz gasse allee ufer ring damm winkel stieg hof steig markt graben berg tor rue chemin impasse quai allée route cours passage sentier calle c/ avenida avda plaza paseo"
-    " camino ronda travesía carretera rua av. travessa praça largo estrada alameda rodovia ул. улица переул пер. просп пр-т наб шоссе бульвар площадь проезд тупик 〒 番 丁目 町 市 区 県 村 府 号 ซอย ถนน เลขที่"
+    " straße strasse str. weg platz gasse allee ufer ring damm winkel stieg hof steig markt graben berg tor rue chemin impasse quai allée route cours passage sentier apartment calle c/ avenida avda plaza paseo"
+    " camino ronda travesía carretera rua av. travessa praça largo estrada alameda rodovia ул. улица переул пер. просп пр-т наб шоссе бульвар пл. площадь проезд тупик 〒 番 丁目 町 市 区 県 村 府 都 道 号 ซอย ถนน หมู่ เลขที่"
     " मार्ग गली सड़क रोड नगर चौक पथ شارع طريق زقاق نهج"
 ).split()
 
@@ -227,16 +227,20 @@ def _signs():
 
     auto = ahocorasick.Automaton()
     kinds: dict[str, set[str]] = {}
-    for w in [*_ADDRESS_SIGNS, " st", " rd", " ln", " ct", " dr", " bd "]:
+    for w in _ADDRESS_SIGNS:
         kinds.setdefault(w, set()).add("address")
+    for w in (*_EN[3:-1].split("|"), "bd"):
+        kinds.setdefault(w.lower(), set()).add("address word")
     for w in DIGIT_WORD:
         kinds.setdefault(w, set()).add("spelled")
-    for w in DOT.split("|"):
-        kinds.setdefault(f" {w} ", set()).add("at")
-    for w in ("@", *(f"{o}{w}" for o in "[({<" for w in (*AT.split("|"), " at"))):
-        kinds.setdefault(w, set()).add("at")
+    for w in (*DOT.split("|"), *AT.split("|")):
+        if w != "at":  # a bare one needs a dot in words or brackets; bracketed ones: see signs()
+            kinds.setdefault(w, set()).add("at word")
+    for w in "[({<":
+        kinds.setdefault(w, set()).add("bracket")
+    kinds.setdefault("@", set()).add("at")
     for w, k in kinds.items():
-        auto.add_word(w, tuple(k))
+        auto.add_word(w, (len(w), tuple(k)))
     auto.make_automaton()
     return auto
 
@@ -244,16 +248,28 @@ def _signs():
 _SIGNS: list = []
 
 
+def _alone(low: str, before: int, after: int) -> bool:
+    """No letter, digit or underscore at either place."""
+    return not any(0 <= i < len(low) and (low[i].isalnum() or low[i] == "_") for i in (before, after))
+
+
 def signs(low: str) -> set[str]:
     """Which of 'address', 'spelled', 'at' a lower-case text may hold; six spelled digits at least."""
     if not _SIGNS:
         _SIGNS.append(_signs())
     out: set[str] = set()
     spelled = 0
-    for _, kinds in _SIGNS[0].iter(low):
+    for end, (size, kinds) in _SIGNS[0].iter(low):
         for k in kinds:
             if k == "spelled":
                 spelled += 1
+            elif k == "bracket":
+                if low[end + 1 : end + 4].lstrip().startswith(("at", ".")):
+                    out.add("at")
+            elif k.endswith(" word"):
+                if not _alone(low, end - size, end + 1):
+                    continue
+                out.add(k[:-5])
             else:
                 out.add(k)
     return out | {"spelled"} if spelled >= 6 else out

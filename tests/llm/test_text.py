@@ -182,6 +182,43 @@ def test_values(text, want):
     assert [(text[a:b], k) for a, b, k in pii.find(text, NAMES)] == want
 
 
+ADDRESSES = [
+    *(f"9 Elm {w}" for w in pii._EN[3:-1].split("|")),
+    *(f"{w} 4, Elm Tower" for w in ("Flat", "Apt", "Apartment", "Unit", "Suite")),
+    *(f"12 elm {w}" for w in ("street", "road", "lane", "avenue", "court", "drive")),
+    "P.O. Box 12",
+    "Postfach 12",
+    *(f"Birken{w} 3" for w in "straße strasse str. weg platz gasse allee ufer ring damm winkel stieg hof steig markt graben berg tor".split()),
+    *(f"3\t{w}\tdes Lilas" for w in "rue avenue boulevard bd chemin place impasse quai allée route cours passage square sentier".split()),
+    *(f"{w} Sol, 5" for w in "calle c/ avenida avda avda. plaza paseo camino ronda travesía carretera".split()),
+    *(f"{w} Sol, 5" for w in "rua av. avenida travessa praça largo estrada alameda rodovia".split()),
+    *(f"{w} Лесная, 5" for w in "ул. улица пер. переулок просп. проспект пр-т наб. набережная шоссе бульвар пл. площадь".split()),
+    *(f"Лесной {w}, 5" for w in "проезд переулок улица проспект тупик бульвар шоссе набережная площадь".split()),
+    "〒 100-0001",
+    *(f"住所は青{w}1-2" for w in "都道府県市区町村"),
+    *(f"竹溪{w}青石巷145号" for w in ("省", "市", "县", "镇", "自治区")),
+    *(f"12 {w}สุข" for w in ("ซอย", "ถนน", "หมู่")),
+    *(f"12, गाँधी {w}" for w in "मार्ग गली सड़क रोड नगर चौक पथ".split()),
+    *(f"12 {w} النور" for w in "شارع طريق زقاق نهج".split()),
+]
+EMAILS = [
+    *(f"name {o}{b}{w}{b}{c} host.com" for o, c in ("[]", "()", "{}", "<>") for w in (*pii.AT.split("|"), "@") for b in ("", " ")),
+    *(f"name at host {o}{b}{w}{b}{c} com" for o, c in ("[]", "()", "{}") for w in (*pii.DOT.split("|"), ".") for b in ("", " ", "\xa0")),
+    *(f"name{b}at{b}host{b}{w}{b}com" for w in pii.DOT.split("|") for b in " \t\xa0"),
+]
+
+
+@pytest.mark.parametrize(("kind", "texts"), [("address", ADDRESSES), ("at", EMAILS)])
+def test_signs_let_every_form_pass(kind, texts):
+    for t in texts:
+        m = pii.fold_chars(t)
+        if kind == "address":
+            assert any(p.search(m.text) for p in pii.ADDRESS), t
+        else:
+            assert any(pii._plain_address(x) for x in pii._DISGUISED.finditer(m.text)), t
+        assert kind in pii.signs(m.text.lower()), t
+
+
 def test_redaction_keeps_the_rest(spark):
     t = "Ann, mail a.b@c.example or A.B@C.example; call +1-555-013-7170!"
     df = spark.createDataFrame([(1, t), (2, None), (3, "")], "k int, text string")
