@@ -148,6 +148,31 @@ def test_sentences_cover_the_text(spark):
         assert all(a.end_char <= b.start_char for a, b in zip(rows, rows[1:]))
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Er sagte: „" + "Das reicht jetzt. " * 600 + "Gut“, dann ging er. Ende.", 2),
+        ("彼は「" + "もう十分だ。" * 60 + "」と言った。次へ。", 2),
+        ("彼は「もう十分だ。「やめよう。行こう。」と聞いた。さあ。」と言った。次へ。", 2),
+        ('He said "' + "Stop it! " * 2_000 + 'Now." and left. Ok.', 2),
+        ("# " + "long heading " * 60 + "\nnext line goes on. End.", 3),
+        ("ระบบ" + " " * 40 + "ดีมาก", 2),
+        *((f"End.{c * 100_000} Next one.", None) for c in ("_", "*", ")", "”", '"', "»", "!", ".", " ")),
+        *((f"終わり。{c * 100_000} 次。", None) for c in ("」", "』", "_", "。", " 」", "🙂")),
+        ("„" * 50_000 + "a. B" + "“" * 50_000, None),
+        ("„a. " * 30_000, None),
+        ("「「」" * 30_000, None),
+        ("🙂x" * 50_000 + ". Ok “" + "🙂. " * 30_000, None),
+    ],
+    ids=range(25),
+)
+def test_long_sentences(spark, text, want):
+    df = spark.createDataFrame([(1, text)], "k int, text string")
+    got = sentences.sentences(df, {"k": F.col("k")}, "text").orderBy("sentence").collect()
+    assert want is None or len(got) == want
+    assert "".join("".join(r.text.split()) for r in got) == "".join(text.split())
+
+
 # --- personal information
 
 NAMES = pii.name_words(["Ann O'Hara", "Bao Lindquist", "尉迟雨禾", "尉迟景澄", "闻人雨禾", "鳴海沢 律人", "ธีร์ ศรีวนากุลชัย"])
