@@ -2,15 +2,15 @@
 
 Transducers rewrite a text step by step (composition, width, digits of other scripts, homoglyphs, spelled digits,
 disguised at and dot) and carry for every character the place it came from. Detectors run on the result; spans map back,
-so placeholders replace exactly what stands in the text. Rows are independent: one scan, no shuffle; the only shared
-data are the distinct words of known names, whose number is checked before they are sent out.
+so placeholders replace exactly what stands in the text. Rows are independent: one scan, no shuffle, as long as the
+words of known names are few enough to be sent out, which is checked; beyond, each text's own words are joined to them.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmura.session import spread
+from murmura.session import cut, spread
 
 TYPES = ("name", "email", "phone", "id_number", "address")
-#: Most distinct words of names that are sent to the workers; above, only those on the rows' own meetings are looked up.
-NAME_WORDS = 500_000
+#: Most distinct names that are sent to the workers; of more, each text gets those of its words that are names by joins.
+NAMES_SENT = 500_000
 
 # Homoglyphs of Latin letters, digits in words, disguises of at and dot.
 _HOMO = dict(zip("аеорсухіѕјԁһӏАВЕКМНОРСТХУІЅЈοανρτυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxisjdhlABEKMHOPCTXYISJoavptuikABEZHIKMNOPTYX"))
@@ -43,7 +43,7 @@ class Mapped:
     """A text and, for every character, the start of its source; ``end`` closes the last one."""
 
     text: str
-    at: list[int]
+    at: list[int] | range
     end: int
 
     def sub(self, pattern: re.Pattern, to) -> Mapped:
@@ -74,14 +74,14 @@ class Mapped:
         return s, e
 
 
-_PLAIN = re.compile(r"[\x00-\x7f¡-¬®-˿Ѐ-҂Ҋ-ԯ฀-๏ऀ-॥ء-ٟ‐-⁞、-ヿ一-鿿]*")
+_PLAIN = re.compile(r"[\x00-\x7f¡-¬®-˿Ѐ-҂Ҋ-ԯ฀-๏ऀ-॥ء-ٟ—-‧‰-⁞、-ヿ一-鿿]*")
 _MIXED = re.compile(r"(?=[\w.+-]*[a-zA-Z])(?=[\w.+-]*[Ͱ-ϿЀ-ӿ])[\w.+-]+")
 
 
 def fold_chars(text: str) -> Mapped:
     """Composed characters, ASCII digits and signs for full-width and other scripts' ones, homoglyphs, no zero-width marks."""
     if _PLAIN.fullmatch(text):
-        m = Mapped(text, list(range(len(text))), len(text))
+        m = Mapped(text, range(len(text)), len(text))
     else:
         out: list[str] = []
         at: list[int] = []
@@ -104,6 +104,8 @@ def fold_chars(text: str) -> Mapped:
                 s = "-"
             elif c in "﹫":
                 s = "@"
+            elif unicodedata.category(c) == "Zs":
+                s = " "
             out.append(s)
             at += [i] * len(s)
             i = j
@@ -162,14 +164,18 @@ def _plain_address(m: re.Match) -> list[tuple[int, str]] | None:
     return out
 
 
-def normalise(text: str) -> tuple[Mapped, set[str]]:
-    """The detectors' copy of a text, and what it may hold (:func:`signs`)."""
-    m = fold_chars(text)
-    may = signs(m.text.lower())
+def normalise(text: str, gated: bool = True) -> tuple[Mapped, set[str] | None, set[int], list[int] | None]:
+    """The detectors' copy of a text, and what it may hold (:func:`signs`): everything unless ``gated``."""
+    m = folded = fold_chars(text)
+    may, address, cues = signs(_lower(m.text)) if gated else ({"spelled", "at", "kin"}, {*range(len(ADDRESS))}, None)
     if "spelled" in may:
         m = m.sub(_SPELLED, _digits)
     m = m.sub(_SPELLED_CJK, lambda x: [(i, CJK_DIGIT[c]) for i, c in enumerate(x.group())])
-    return (m.sub(_DISGUISED, _plain_address) if "at" in may else m), may
+    if "at" in may:
+        m = m.sub(_DISGUISED, _plain_address)
+    if m is not folded and gated:  # rewritten: the places have moved
+        cues = signs(_lower(m.text))[2]
+    return m, may, address, cues
 
 
 EMAIL = re.compile(r"[A-Za-z0-9À-ɏ_%+-]+(?:\.[A-Za-z0-9À-ɏ_%+-]+)*\s?@\s?[A-Za-z0-9À-ɏ-]+(?:\.[A-Za-z0-9À-ɏ-]+)*\.[A-Za-z]{2,}")
@@ -184,7 +190,7 @@ _CUE = re.compile("|".join(rf"(?P<c{i}>{p})" for i, p in enumerate(CUES.values()
 _KINDS = list(CUES)
 #: A number with its separators, or letters and digits together.
 NUMBER = re.compile(r"(?<![A-Za-z0-9_@.])(?:\+\s?\d{1,3}[\s./-]?)?(?:\(\d{1,4}\)\s?)?\d+(?:(?:\s?[-./]\s?|\s)?\(?\d+\)?)*(?![\d@])")
-_MAY_NUMBER = re.compile(r"\d(?:[ .\-/()№+]{0,3}\d){4}|[A-Za-z]\d[A-Za-z0-9]{5}|[A-Za-z]\d\d[A-Za-z]")
+_DIGIT = re.compile(r"\d")
 ID_VALUE = re.compile(r"(?<![A-Za-z0-9_])(?=[\w .\-№]{0,24}\d)(?:[A-Z]{1,3}(?=[ \d])|[A-Z]?\d[0-9A-Z]*|[A-Z]{1,3}\d[0-9A-Z]*)(?:[ .\-/]?(?:№\s?)?(?:\d[0-9A-Z]*|[A-Z](?![a-z])\d*(?![\w])))*")
 ID_LOWER = re.compile(r"(?<![A-Za-z0-9_])(?:[a-z]{1,3}\s?)?\d[0-9a-z]*(?:[ .\-/]?(?:№\s?)?\d[0-9a-z]*)*")
 STRONG = re.compile(r"\+\d|\(\d{2,4}\)\s?\d{3,4}-\d{4}$|\d{3}\.\d{3}\.\d{4}$|0\d{2,4}[-/ ]|1\d{10}$|0\d(?: \d\d){4}$|8 ?\(\d{3}\)")
@@ -213,32 +219,53 @@ ADDRESS = [
         (r"(?<!\w)\d+ (?:شارع|طريق|زقاق|نهج) [؀-ۿ]+|(?:شارع|طريق|زقاق|نهج) [؀-ۿ]+(?: [؀-ۿ]+)?,? (?:رقم )?\d+", 0),
     ]
 ]
-#: Substrings without which there is no address.
+#: Of each pattern in ADDRESS, substrings of which a match has at least one; as words of their own after a bar.
 _ADDRESS_SIGNS = (
-    "street road lane avenue court drive way close square place terrace crescent grove row walk gardens hill boulevard brewery mews parade yard box postfach flat apt unit suite studio"
-    " straße strasse str. weg platz gasse allee ufer ring damm winkel stieg hof steig markt graben berg tor rue chemin impasse quai allée route cours passage sentier apartment calle c/ avenida avda plaza paseo"
-    " camino ronda travesía carretera rua av. travessa praça largo estrada alameda rodovia ул. улица переул пер. просп пр-т наб шоссе бульвар пл. площадь проезд тупик 〒 番 丁目 町 市 区 県 村 府 都 道 号 ซอย ถนน หมู่ เลขที่"
-    " मार्ग गली सड़क रोड नगर चौक पथ شارع طريق زقاق نهج"
-).split()
+    f"| {_EN[3:-1].replace('|', ' ').lower()}",
+    "flat apt apartment unit suite",
+    "street road lane avenue court drive",
+    "box postfach",
+    "straße strasse str. weg platz gasse allee ufer ring damm winkel stieg hof steig markt graben berg tor",
+    "rue avenue boulevard chemin place impasse quai allée route cours passage square sentier | bd",
+    "calle c/ avenida avda plaza paseo camino ronda travesía carretera",
+    "rua av. avenida travessa praça largo estrada alameda rodovia",
+    "ул. улица переул пер. просп пр-т наб шоссе бульвар пл. площадь проезд тупик",
+    "〒",
+    "都 道 府 県 市 区 町 村",
+    "号",
+    "ซอย ถนน หมู่",
+    "मार्ग गली सड़क रोड नगर चौक पथ",
+    "شارع طريق زقاق نهج",
+)
+#: Patterns in ADDRESS that may do without a digit (numbers in words).
+_IN_WORDS = (0, 2)
 
 
 def _signs():
     import ahocorasick
 
     auto = ahocorasick.Automaton()
-    kinds: dict[str, set[str]] = {}
-    for w in _ADDRESS_SIGNS:
-        kinds.setdefault(w, set()).add("address")
-    for w in (*_EN[3:-1].split("|"), "bd"):
-        kinds.setdefault(w.lower(), set()).add("address word")
+    kinds: dict[str, set[tuple[str, object]]] = {}
+    for i, ws in enumerate(_ADDRESS_SIGNS):
+        loose, _, alone = ws.partition("|")
+        for w in loose.split():
+            kinds.setdefault(w, set()).add(("address", i))
+        for w in alone.split():
+            kinds.setdefault(w, set()).add(("address word", i))
     for w in DIGIT_WORD:
-        kinds.setdefault(w, set()).add("spelled")
+        kinds.setdefault(w, set()).add(("spelled", 1))
     for w in (*DOT.split("|"), *AT.split("|")):
         if w != "at":  # a bare one needs a dot in words or brackets; bracketed ones: see signs()
-            kinds.setdefault(w, set()).add("at word")
+            kinds.setdefault(w, set()).add(("at word", 1))
     for w in "[({<":
-        kinds.setdefault(w, set()).add("bracket")
-    kinds.setdefault("@", set()).add("at")
+        kinds.setdefault(w, set()).add(("bracket", 1))
+    kinds.setdefault("@", set()).add(("at", 1))
+    for w in _KIN.split("|"):
+        kinds.setdefault(w, set()).add(("kin", 1))
+    for p in CUES.values():
+        for w in p.split("|"):  # what each cue begins with
+            w = re.match(r"(?:\\b)?((?:[^\\\[(?*{]+(?![?*{])|[^\\\[(?*{](?=[^?*{]))+)", w).group(1)
+            kinds.setdefault(w, set()).add(("cue", 1))
     for w, k in kinds.items():
         auto.add_word(w, (len(w), tuple(k)))
     auto.make_automaton()
@@ -253,15 +280,24 @@ def _alone(low: str, before: int, after: int) -> bool:
     return not any(0 <= i < len(low) and (low[i].isalnum() or low[i] == "_") for i in (before, after))
 
 
-def signs(low: str) -> set[str]:
-    """Which of 'address', 'spelled', 'at' a lower-case text may hold; six spelled digits at least."""
+def signs(low: str) -> tuple[set[str], set[int], list[int]]:
+    """What a lower-case text may hold ('spelled', 'at', 'kin'), the patterns of addresses, and where cues may begin.
+
+    Six spelled digits are the least.
+    """
     if not _SIGNS:
         _SIGNS.append(_signs())
     out: set[str] = set()
+    address: set[int] = set()
+    cues: list[int] = []
     spelled = 0
     for end, (size, kinds) in _SIGNS[0].iter(low):
-        for k in kinds:
-            if k == "spelled":
+        for k, i in kinds:
+            if k == "cue":
+                cues.append(end - size + 1)
+            elif k == "address":
+                address.add(i)
+            elif k == "spelled":
                 spelled += 1
             elif k == "bracket":
                 if low[end + 1 : end + 4].lstrip().startswith(("at", ".")):
@@ -269,16 +305,41 @@ def signs(low: str) -> set[str]:
             elif k.endswith(" word"):
                 if not _alone(low, end - size, end + 1):
                     continue
-                out.add(k[:-5])
+                if k == "address word":
+                    address.add(i)
+                else:
+                    out.add(k[:-5])
             else:
                 out.add(k)
-    return out | {"spelled"} if spelled >= 6 else out
+    return out | {"spelled"} if spelled >= 6 else out, address, cues
+
+
+def _cues(t: str, places: list[int] | None) -> Iterator[re.Match]:
+    """Matches of the cues, from the left, without overlap; ``places`` are all places where one may begin, None if unknown."""
+    if places is None:
+        yield from _CUE.finditer(t)
+        return
+    at = 0
+    for p in sorted({*places}):
+        if p >= at and (m := _CUE.match(t, p)):
+            yield m
+            at = m.end()
 
 
 _ZH_CUE = re.compile(r"^.*(?:寄到|寄往|送到|住在|搬到|地址是|地址为|位于|在|到|是)")
 TITLE = re.compile(
     r"(?<!\w)(?:Herrn?|Frau|Mr\.?|Mrs\.?|Ms\.?|Miss|Mme|Mlle|Monsieur|Madame|Dr\.|Prof\.|Sr\.|Sra\.|Srta\.|Dra\.|Don|Doña|señor|señora|senhora?|господин|госпожа|г-н|г-жа)\s+((?:[A-ZÀ-ÞА-Я]\.\s?)*(?:(?:Du|De|Van|Von|Le|La|El|Mc|O['’])\s?)?[A-ZÀ-ÞА-Я][\w’'-]+(?:\s(?:(?:Du|De|Van|Von|Le|La|El)\s)?[A-ZÀ-ÞА-Я][\w’'-]+){0,2})"
 )
+_KIN = (
+    "colleague|boss|manager|friend|wife|husband|brother|sister|neighbour|neighbor|assistant|kollege|kollegin|kollegen|chef|chefin|freund|freundin|nachbar|nachbarin"
+    "|collègue|cheffe|ami|amie|voisin|voisine|colega|jefe|jefa|amigo|amiga|vecino|vecina|chefe|vizinho|vizinha|коллега|друг|подруга|начальник"
+)
+#: A first and a last name behind a word for a person.
+KIN = re.compile(
+    r"(?<!\w)(?i:my|our|his|her|their|mein(?:e[nm]?)?|unser(?:e[nm]?)?|mon|ma|notre|mi|nuestr[oa]|meu|minha|мой|моя|наш|наша)\s"
+    rf"(?i:{_KIN})\s"
+    r"([A-ZÀ-ÞА-ЯЁ][\w’'-]+(?:\s(?:(?:Du|De|Van|Von|Le|La|El)\s)?[A-ZÀ-ÞА-ЯЁ][\w’'-]+){1,2})"
+)
 _NOT_NAMES = frozenset("the a an i we you it monday tuesday wednesday thursday friday project".split())
 #: A head of two or three capitalised words before a colon.
 HEAD = re.compile(r"^[^\w]*(?:[\[(<]?[\d:.,hms> -]+[\])>]?\s*)?(?:\*\*|<b>)?([A-ZÀ-ÞА-ЯЁ][\w’'-]+(?:\s[A-ZÀ-ÞА-ЯЁ][\w’'-]+){1,2})(?:</b>)?\s?[:：]")
@@ -299,7 +360,7 @@ class Names:
         self.auto = ahocorasick.Automaton()
         for w in {*self.words, *self.heads}:
             self.auto.add_word(w, w)
-        if self.words:
+        if self.words or self.heads:
             self.auto.make_automaton()
         self.known = set(self.words)
 
@@ -308,7 +369,7 @@ class Names:
 
     def find(self, low: str) -> list[tuple[int, int]]:
         """Spans of words of names, longest first at each place, none inside a longer word of its script."""
-        if not self.words:
+        if not self.words and not self.heads:
             return []
         hits = []
         for e, w in self.auto.iter(low):
@@ -373,19 +434,25 @@ def name_words(shown: list[str]) -> Names:
 _INITIAL = re.compile(r"(?<![^\W_])(?:[^\W\d_]\.\s?){1,2}$")
 
 
-def find(text: str, names: Names) -> list[tuple[int, int, str]]:
-    """(start, end, type) of every value, by start; spans do not overlap."""
-    m, may = normalise(text)
+def find(text: str, names: Names, gated: bool = True) -> list[tuple[int, int, str]]:
+    """(start, end, type) of every value, by start; spans do not overlap.
+
+    Detectors whose signs a text lacks are skipped when ``gated``; the result is the same without.
+    """
+    m, may, address, places = normalise(text, gated)
     t = m.text
     taken: list[tuple[int, int, str]] = []
     free = lambda a, b: all(b <= x or a >= y for x, y, _ in taken)
-    if "@" in t:
+    if "@" in t or not gated:
         for x in EMAIL.finditer(t):
             taken.append((x.start(), x.end(), "email"))
-    if "address" in may:
+    digits = len(_DIGIT.findall(t))
+    if gated and not digits:
+        address = address & {*_IN_WORDS}
+    if address:
         found: list[tuple[int, int]] = []
-        for p in ADDRESS:
-            for x in p.finditer(t):
+        for p in sorted(address):
+            for x in ADDRESS[p].finditer(t):
                 a, b = x.span()
                 if "一" <= t[a] <= "鿿" and (cut := _ZH_CUE.match(t[a : a + 6])) and t[a + cut.end() : a + cut.end() + 1]:
                     a += cut.end()
@@ -397,8 +464,8 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
                 taken[-1] = (taken[-1][0], b, "address")
             else:
                 taken.append((a, b, "address"))
-    if sum(map(str.isdigit, t)) > 3 and _MAY_NUMBER.search(t):
-        cues = [(x.end(), _KINDS[int(x.lastgroup[1:])], x.start()) for x in _CUE.finditer(t)]
+    if not gated or digits > 3:
+        cues = [(x.end(), _KINDS[int(x.lastgroup[1:])], x.start()) for x in _cues(t, places)]
         for end, kind, start in cues:  # letters and digits after the word for a document
             if kind != "id_number":
                 continue
@@ -410,9 +477,9 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
                     taken.append((a, b, "id_number"))
         for x in NUMBER.finditer(t):
             s = x.group().rstrip(" .-/(")
-            digits = sum(c.isdigit() for c in s)
+            count = sum(c.isdigit() for c in s)
             a, b = x.start(), x.start() + len(s)
-            if digits < 7 or digits > 15 or not free(a, b):
+            if count < 7 or count > 15 or not free(a, b):
                 continue
             near = [(e, k) for e, k, _ in cues if e <= a and a - e <= 30 and not re.search(r"[.!?。！？]\s|[。！？]", t[e:a])]
             kind = max(near)[1] if near else None
@@ -426,9 +493,7 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
                 taken.append((a, b, "phone"))
             elif re.fullmatch(r"\d{3}-\d{2}-\d{4}|\d{3}\.\d{3}\.\d{3}-\d{2}", s):
                 taken.append((a, b, "id_number"))
-    low = t.lower()
-    if len(low) != len(t):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    low = _lower(t)
     parts = names.find(low)
     i = 0
     while i < len(parts):
@@ -447,7 +512,7 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
             continue
         if free(a, b):
             taken.append((a, b, "name"))
-    for x in TITLE.finditer(t):
+    for x in (*TITLE.finditer(t), *(KIN.finditer(t) if "kin" in may else ())):
         a, b = x.span(1)
         if x.group(1).split()[0].lower() not in _NOT_NAMES and free(a, b):
             taken.append((a, b, "name"))
@@ -466,46 +531,119 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def known_names(shown: DataFrame, column: str, most: int = NAME_WORDS) -> Names:
-    """The distinct names of a table's column; an error beyond ``most`` distinct names, which no worker should hold."""
+def _lower(t: str) -> str:
+    """Lower case of the same length."""
+    low = t.lower()
+    return low if len(low) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+
+
+#: First characters of words in scripts without word ends (see :func:`_script`).
+_LOOSE = re.compile("[\u0530-\u05ff\u0780-\u08ff\u0e00-\U0010ffff]")
+
+
+def candidates(low: str, bound: list[int], loose: list[int]) -> set[str]:
+    """The parts of a lower-case text that :meth:`Names.find` may take for a word of a name.
+
+    ``bound`` are the lengths of words in scripts with word ends, ``loose`` those of the others.
+    """
+    kinds = [_script(c) for c in low]
+    n, out = len(low), set()
+    for a, kind in enumerate(kinds):
+        fixed = kind in ("cased", "joined")
+        if not low[a].isspace() and not (fixed and a and kinds[a - 1] == kind):
+            sizes = loose if _LOOSE.match(low[a]) else bound
+            out.update(low[a : a + k] for k in sizes if a + k <= n and not (fixed and a + k < n and kinds[a + k] == kind))
+    return out
+
+
+def _looked_up(texts: DataFrame, shown: DataFrame, column: str) -> DataFrame:
+    """``texts`` with ``__names``, the words of names in each text, by joins of the texts' own parts with all words of names.
+
+    Words depend on the text alone, so distinct texts are looked up, by two hashes. Rows are (word, kind): a word of a
+    name, a first one, a head or a tail of names without spaces (see :func:`name_words`).
+    """
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for n in b["n"]:
+                one, pieces = name_words([n]), unicodedata.normalize("NFC", n).lower().split()
+                rows += [(w, "word", None) for w in one.words] + [(w, "first", None) for w in one.first]
+                if all(_script(p[0]) == "free" for p in pieces) and len(solid := "".join(pieces)) <= 6:
+                    rows += [(solid[:k], "half", solid[k:]) for k in (2, 3) if 0 < len(solid) - k <= 3]
+            yield pd.DataFrame(rows, columns=["word", "kind", "tail"])
+
+    distinct = shown.filter(F.trim(F.col(column)) != "").select(F.col(column).alias("n")).distinct()
+    known = cut(distinct.mapInPandas(parts, "word string, kind string, tail string").distinct())
+    halves = known.filter("kind = 'half'").select("word", "tail")
+    many = halves.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word")
+    tails = halves.join(many, "word", "left_semi").select("tail").distinct()
+    whole = halves.join(tails.withColumn("in", F.lit(1)), "tail", "left").groupBy("word").agg(F.every(F.col("in").isNotNull()).alias("all")).filter("all").select("word")
+    heads = many.union(whole).distinct()
+    words = cut(known.filter("kind != 'half'").select("word", "kind").unionByName(heads.withColumn("kind", F.lit("head"))).unionByName(tails.select(F.col("tail").alias("word"), F.lit("tail").alias("kind"))))
+    # the distinct lengths of words of names; tails are looked for behind heads only
+    sizes = {(r.loose, r.n) for r in words.select(F.char_length("word").alias("n"), F.col("word").rlike(f"^{_LOOSE.pattern}").alias("loose")).distinct().collect()}
+    lengths = [sorted({n for x, n in sizes if x == loose}) for loose in (False, True)]
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(h, g, w) for h, g, t in zip(b["h"], b["g"], b["__text"]) for w in candidates(_lower(normalise(t)[0].text), *lengths)]
+            yield pd.DataFrame(rows, columns=["h", "g", "word"])
+
+    hashed = texts.withColumn("h", F.xxhash64("__text")).withColumn("g", F.hash("__text"))
+    own = hashed.select("h", "g", "__text").dropDuplicates(["h", "g"]).mapInPandas(split, "h bigint, g int, word string")
+    hits = own.join(words, "word").groupBy("h", "g").agg(F.collect_list(F.struct("word", "kind")).alias("__names"))
+    return hashed.join(hits, ["h", "g"], "left").drop("h", "g")
+
+
+def _with_names(df: DataFrame, keys: dict[str, Column], text: str, shown: DataFrame, column: str, most: int) -> tuple[DataFrame, Callable[[pd.DataFrame], Iterator[tuple[tuple, str, Names]]]]:
+    """Keys, ``__text`` and what else tells the names; a function that gives (key, text, names) of a batch's rows."""
+    used = list(keys)
+    d = df.filter(F.col(text).isNotNull()).select(*[c.alias(n) for n, c in keys.items()], F.col(text).alias("__text"))
     rows = shown.filter(F.trim(F.col(column)) != "").select(F.col(column).alias("n")).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} distinct names; pass those of the texts' meetings only")
-    return name_words([r.n for r in rows])
+    if len(rows) <= most:
+        sent = name_words([r.n for r in rows])
+        return spread(d), lambda b: ((key, t, sent) for *key, t in b[[*used, "__text"]].itertuples(index=False, name=None))
 
+    def each(b: pd.DataFrame) -> Iterator[tuple[tuple, str, Names]]:
+        for *key, t, found in b[[*used, "__text", "__names"]].itertuples(index=False, name=None):
+            by: dict[str, set[str]] = {}
+            for r in found if found is not None else ():
+                by.setdefault(r["kind"], set()).add(r["word"])
+            yield key, t, Names(sorted(by.get("word", ())), by.get("first", set()), by.get("head", set()), by.get("tail", set()))
 
-def _texts(df: DataFrame, keys: dict[str, Column], text: str) -> tuple[DataFrame, list[str]]:
-    return spread(df.filter(F.col(text).isNotNull()).select(*[c.alias(n) for n, c in keys.items()], F.col(text).alias("__text"))), list(keys)
+    return _looked_up(d, shown, column), each
 
 
-def find_pii(df: DataFrame, keys: dict[str, Column], text: str, names: Names) -> DataFrame:
+def find_pii(df: DataFrame, keys: dict[str, Column], text: str, shown: DataFrame, column: str, most: int = NAMES_SENT) -> DataFrame:
     """The ``keys``, ``pii_type``, ``start_char``, ``end_char`` and ``value`` of every value in every row's text.
 
-    Null and blank texts give no rows; repeated rows give theirs each; other columns are ignored.
+    ``column`` of ``shown`` has the known names, any number of them: more than ``most`` distinct ones are joined to the
+    texts' words instead of being sent out, with the same result. Null and blank texts give no rows; repeated rows give
+    theirs each; null and blank names and other columns are ignored.
     """
-    d, used = _texts(df, keys, text)
-    schema = T.StructType([f for f in d.schema.fields if f.name != "__text"] + [T.StructField("pii_type", T.StringType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType()), T.StructField("value", T.StringType())])
+    d, each = _with_names(df, keys, text, shown, column, most)
+    schema = T.StructType([f for f in d.schema.fields if f.name in keys] + [T.StructField("pii_type", T.StringType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType()), T.StructField("value", T.StringType())])
     columns = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for *key, t in b[[*used, "__text"]].itertuples(index=False, name=None):
-                rows += [(*key, k, s, e, t[s:e]) for s, e, k in find(t, names)]
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame([(*key, k, s, e, t[s:e]) for key, t, names in each(b) for s, e, k in find(t, names)], columns=columns)
 
     return d.mapInPandas(run, schema)
 
 
-def redact_pii(df: DataFrame, keys: dict[str, Column], text: str, names: Names) -> DataFrame:
-    """The ``keys`` and ``text`` with placeholders such as [EMAIL_1]; null texts stay out, all other rows come out."""
-    d, used = _texts(df, keys, text)
-    schema = T.StructType([f for f in d.schema.fields if f.name != "__text"] + [T.StructField("text", T.StringType())])
+def redact_pii(df: DataFrame, keys: dict[str, Column], text: str, shown: DataFrame, column: str, most: int = NAMES_SENT) -> DataFrame:
+    """The ``keys`` and ``text`` with placeholders such as [EMAIL_1]; null texts stay out, all other rows come out.
+
+    Names are known as in :func:`find_pii`.
+    """
+    d, each = _with_names(df, keys, text, shown, column, most)
+    schema = T.StructType([f for f in d.schema.fields if f.name in keys] + [T.StructField("text", T.StringType())])
+    columns = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = b[used].copy()
-            out["text"] = [redact(t, find(t, names)) for t in b["__text"]]
-            yield out
+            yield pd.DataFrame([(*key, redact(t, find(t, names))) for key, t, names in each(b)], columns=columns)
 
     return d.mapInPandas(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm.pii import find_pii, known_names, redact_pii
+from murmura.llm.pii import find_pii, redact_pii
 from murmura.sources.tables import table
 
 
@@ -20,14 +20,12 @@ _KEYS = {"origin": F.col, "item_key": F.col}
 
 def p6_values(spark: SparkSession, root: str) -> DataFrame:
     """Every value with its span."""
-    names = known_names(table(spark, root, "participant", "display_name"), "display_name")
-    return find_pii(_rows(spark, root), {k: f(k) for k, f in _KEYS.items()}, "text", names)
+    return find_pii(_rows(spark, root), {k: f(k) for k, f in _KEYS.items()}, "text", table(spark, root, "participant", "display_name"), "display_name")
 
 
 def p6_redacted(spark: SparkSession, root: str) -> DataFrame:
     """Every text with placeholders."""
-    names = known_names(table(spark, root, "participant", "display_name"), "display_name")
-    return redact_pii(_rows(spark, root), {k: f(k) for k, f in _KEYS.items()}, "text", names)
+    return redact_pii(_rows(spark, root), {k: f(k) for k, f in _KEYS.items()}, "text", table(spark, root, "participant", "display_name"), "display_name")
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

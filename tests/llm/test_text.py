@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,7 +88,6 @@ def test_split_rows(spark):
 def test_tokens_equal_the_public_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
     import base64
-    from pathlib import Path
 
     if not Path(bpe.VOCABULARY).exists():
         pytest.skip("no vocabulary file")
@@ -237,19 +237,66 @@ EMAILS = [
 def test_signs_let_every_form_pass(kind, texts):
     for t in texts:
         m = pii.fold_chars(t)
+        may, address, _ = pii.signs(m.text.lower())
         if kind == "address":
-            assert any(p.search(m.text) for p in pii.ADDRESS), t
+            found = {i for i, p in enumerate(pii.ADDRESS) if p.search(m.text)}
+            assert found and found <= address, t
         else:
-            assert any(pii._plain_address(x) for x in pii._DISGUISED.finditer(m.text)), t
-        assert kind in pii.signs(m.text.lower()), t
+            assert any(pii._plain_address(x) for x in pii._DISGUISED.finditer(m.text)) and kind in may, t
+
+
+def test_cues_begin_where_their_signs_are():
+    for words in pii.CUES.values():
+        for w in ("Passport", "DRIVER'S licence", "ids", "CPF", "паспорта", "身份证号码", "tel", "звоните", "order", "№ заказа", "invoice no", "llamar", "cartão de cidadão", "Steuer-ID", "رقم الهوية"):
+            t = f"x {w} 12"
+            assert [m.span() for m in pii._cues(t, pii.signs(t.lower())[2])] == [m.span() for m in pii._CUE.finditer(t)], t
+            assert words
+
+
+SHOWN = ["Ann O'Hara", "Bao Lindquist", "尉迟雨禾", "尉迟景澄", "闻人雨禾", "鳴海沢 律人", "ธีร์ ศรีวนากุลชัย", "Ana de la Cruz", "4nn X", " ", None]
+PII_TEXTS = [t for m in test_values.pytestmark if m.name == "parametrize" for t, _ in m.args[1]]
+
+
+@pytest.mark.parametrize("blank", [" ", "\xa0", "\u202f", "\u2009", "\u3000"])
+def test_gates_lose_nothing_with_any_white_space(blank):
+    numbers = [("Rappelez 06 12 34 56 78 demain", "phone"), ("Call me, (020) 7946 0958", "phone"), ("My social is 944 88 1039, please", "id_number"), ("mail name at host dot com", "email"), ("now at 95 Old Tannery Rd", "address")]
+    for t, kind in numbers:
+        assert [k for *_, k in pii.find(t.replace(" ", blank), NAMES)] == [kind], (t, blank)
+    for t in [*PII_TEXTS, *ADDRESSES, *EMAILS, *(n for n, _ in numbers)]:
+        t = t.replace(" ", blank)
+        assert pii.find(t, NAMES) == pii.find(t, NAMES, gated=False), t
+
+
+def test_gates_lose_nothing_of_the_tables(spark):
+    for name, column in (("segment", "text"), ("meeting", "summary")):
+        path = Path(f"/root/testdata/sf0.01/{name}.parquet")
+        if not path.exists():
+            pytest.skip("no test tables")
+        for r in spark.read.parquet(str(path)).filter(F.col(column).isNotNull()).select(column).distinct().collect():
+            for t in (r[0], r[0].replace(" ", "\u202f")):
+                assert pii.find(t, NAMES) == pii.find(t, NAMES, gated=False), t
+
+
+def test_names_in_any_number(spark):
+    texts = [*PII_TEXTS, "ana DE la Cruz, 4nn X and bao", "律人さんと鳴海沢さん", "闻人景澄和尉迟景禾", "My colleague Zbigniew Kowalski lives here", "", None, PII_TEXTS[14]]
+    df = spark.createDataFrame([*enumerate(texts)], "k int, text string")
+    shown = spark.createDataFrame([(n, "x") for n in SHOWN], "display_name string, text string")
+    get = lambda most: sorted(tuple(r) for r in pii.find_pii(df, {"k": F.col("k")}, "text", shown, "display_name", most).collect())
+    sent = get(100)
+    assert get(0) == sent and len({r[0] for r in sent if r[1] == "name"}) >= 8
+    assert get(len(SHOWN) - 3) == sent
+    none = pii.find_pii(df, {"k": F.col("k")}, "text", shown.limit(0), "display_name").collect()
+    assert {"Zbigniew Kowalski", "Lindquist"} <= {r.value for r in none if r.pii_type == "name"}
 
 
 def test_redaction_keeps_the_rest(spark):
     t = "Ann, mail a.b@c.example or A.B@C.example; call +1-555-013-7170!"
     df = spark.createDataFrame([(1, t), (2, None), (3, "")], "k int, text string")
-    got = {r.k: r.text for r in pii.redact_pii(df, {"k": F.col("k")}, "text", NAMES).collect()}
-    assert got == {1: "[NAME_1], mail [EMAIL_1] or [EMAIL_1]; call [PHONE_1]!", 3: ""}
-    assert pii.find_pii(df.limit(0), {"k": F.col("k")}, "text", NAMES).count() == 0
+    shown = spark.createDataFrame([(n,) for n in SHOWN], "n string")
+    for most in (0, 100):
+        got = {r.k: r.text for r in pii.redact_pii(df, {"k": F.col("k")}, "text", shown, "n", most).collect()}
+        assert got == {1: "[NAME_1], mail [EMAIL_1] or [EMAIL_1]; call [PHONE_1]!", 3: ""}
+        assert pii.find_pii(df.limit(0), {"k": F.col("k")}, "text", shown, "n", most).count() == 0
 
 
 # --- languages
