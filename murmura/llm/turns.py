@@ -1,7 +1,8 @@
 """Transcript segments into clean speaker turns.
 
-Tokens of a segment are tagged speaker, timestamp, annotation, filler or speech by a hidden Markov model and decoded by
-Viterbi in padded numpy batches; the tags give the spoken text and the label. Turns are runs of equal (source, speaker)
+Tokens of a segment are tagged speaker, timestamp, annotation, filler or speech by a hidden Markov model, which observes
+their form, shape, place and neighbours beside word lists, and decoded by Viterbi in padded numpy batches; the tags give
+the spoken text and the label. Turns are runs of equal (source, speaker)
 per meeting. Runs are found within (meeting, hour) first and joined across hours on one summary row each, so that no
 task holds a whole meeting.
 """
@@ -47,7 +48,7 @@ NOBODY = frozenset("note step agenda question answer action todo topic summary r
 
 _ROLE = "|".join(sorted(map(re.escape, ROLE), key=len, reverse=True))
 _NUM = r"\d{1,4}|" + "|".join(sorted(map(re.escape, NUMBER), key=len, reverse=True))
-_CLOCK = r"(?:\d{1,3}(?::\d{2}){1,2}(?:[.,]\d{1,3})?|\d{1,2}h\d{1,2}m\d{1,2}s)"
+_CLOCK = r"(?:\d{1,6}(?::\d{2}){1,2}(?:[.,]\d{1,3})?|\d{1,2}h\d{1,2}m\d{1,2}s)"
 #: A displayed label ('Speaker 2', 'Speaker #2', 'Sprecher two', 'S2'), or a machine label ('SPEAKER_00').
 _LABEL = rf"(?:them|me|you)?\s*\(?\s*(?:(?:{_ROLE})(?:_\d{{1,4}}|\s*\#?\s*(?:{_NUM}))|[sS]\d{{1,3}})\s*\)?"
 _OPEN, _CLOSE = r"[\[(<{（【［〔「*]", r"[\])>}）】］〕」*]"
@@ -55,27 +56,34 @@ _OPEN, _CLOSE = r"[\[(<{（【［〔「*]", r"[\])>}）】］〕」*]"
 #: A character of a word; \\w has no vowel signs.
 _W = r"(?:[^\W_]|[\u0300-\u036f\u0900-\u0963\u0966-\u0dff\u0e00-\u0eff])"
 
-#: One token: clock, label with its mark, bracketed group, sung line, markup, head in words with a colon, word, CJK filler, mark.
+_GAP = r"['’\-]"
+#: A sound without being in the list: one or two letters of which one is drawn out, or a short word without vowels.
+_SOUND = r"(?=\w{0,9}(?P<drawn>\w)(?P=drawn){2})(?:[hmn]*(?P<vowel>[aeiouäöüаеиоуэя])(?P=vowel)*[hmrnхм]*|[hmnмхн]+)|h+m+|m+h+m*|pf+|ps+t|t+s+k+"
+_CJK_SOUND = "嗯+|呃+|额+|唔+|えっと|えーと|ええと|あのー+|うー+ん"
+_LISTED = "|".join(sorted((re.escape(f) for f in FILLERS), key=len, reverse=True))
+#: What is not plain words: clock, label with its mark, sung line, bracketed group, markup, head in words with a colon, sound.
 TOKEN = re.compile(
-    rf"""(?P<clock>[\[(<（【]?\s*{_CLOCK}(?:\s*-->\s*{_CLOCK})?\s*[\])>）】]?)
-    |(?P<label>(?:\*\*|<b>|[\[(（【])?\s*{_LABEL}\s*(?:[:：]\s*\*\*|\*\*\s*[:：]|</b>\s*[:：]|[\])）】]\s*[:：]?|[:：]|>|\s-(?=\s|$)))
-    |(?P<sung>♪[^♪\n]{{0,80}}♪)
-    |(?P<group>\[\[[^\[\]\n]{{1,60}}\]\]|\[[^\[\]\n]{{1,60}}\]|\([^()\n]{{1,60}}\)|（[^（）\n]{{1,60}}）|【[^【】\n]{{1,60}}】|［[^［］\n]{{1,60}}］|\{{[^{{}}\n]{{1,60}}\}}|<[^<>/\n]{{2,40}}>|(?<![\w*])\*[^*\n]{{1,40}}\*(?!\*))
-    |(?P<self>(?:\*\*)?(?:me|them|you)\s*[:：](?:\*\*)?)
-    |(?P<head>(?:\*\*|<b>)[^:：<*\n]{{1,60}}(?:[:：]\s*\*\*|</b>\s*[:：]|\*\*\s*[:：]))
-    |(?P<word>{_W}+(?:['’\-]{_W}+)*)
-    |(?P<mark>\S)""",
+    rf"""(?P<clock>[\[(<（【]?\s*(?<![^\W_]){_CLOCK}(?:\s*-->\s*{_CLOCK})?\s*[\])>）】]?)
+    |(?P<label>(?:\*\*|<b>|[\[(（【])?\s*(?<![^\W_]){_LABEL}\s*(?:[:：]\s*\*\*|\*\*\s*[:：]|</b>\s*[:：]|[\])）】]\s*[:：]?|[:：]|>|\s-(?=\s|$)))
+    |(?P<sung>♪[^♪\n]*+♪)
+    |(?P<group>\[\[[^\[\]\n]+\]\]|\[[^\[\]\n]+\]|\([^()\n]+\)|（[^（）\n]+）|【[^【】\n]+】|［[^［］\n]+］|\{{[^{{}}\n]+\}}|<[^<>/\n]{{2,}}>|(?<![\w*])\*[^*\n]+\*(?!\*))
+    |(?P<self>(?:\*\*)?(?<![^\W_])(?:me|them|you)\s*[:：](?:\*\*)?)
+    |(?P<head>(?:\*\*|<b>)[^:：<*\n]+(?:[:：]\s*\*\*|</b>\s*[:：]|\*\*\s*[:：]))
+    |(?P<sound>(?:(?<!{_W})(?<!{_W}{_GAP})(?:(?P<listed>{_LISTED})|{_SOUND})(?!{_W})(?!{_GAP}{_W})|(?P<cjk>{_CJK_SOUND}))[.,…，、。]*)""",
     re.X | re.I,
 )
 #: A plain head such as "Perrin Vandorne:", tried at a text's head only.
-HEAD = re.compile(r"\s*([^\W\d_][\w'’.\-]*(?:[  ][^\W\d_][\w'’.\-]*){0,3})\s*[:：](?!\d)")
-CJK_FILLER = re.compile(r"(?:嗯+|呃+|额|唔|えっと|えーと|ええと|あのー|うーん)[，,、…。.]*")
-#: Texts without any of this are speech throughout; they skip the decoder.
-SPECIAL = re.compile(rf"\s-(?:\s|$)|_\d|[\[(<{{（【［♪*>:：]|^\s*[-–—•]|\d[:hH]\d|[嗯呃额唔]|えっと|えーと|ええと|あのー|うーん|(?<!\w)(?:{'|'.join(sorted((re.escape(f) for f in FILLERS if ord(f[0]) < 0x2E80), key=len, reverse=True))})(?!\w)", re.I)
+HEAD = re.compile(r"\s*([^\W\d_][\w'’.\-]*(?:[  ][^\W\d_][\w'’.\-]*){0,3})\s*[:：](?!\d)")
+_LEAD = re.compile(r"[>\-–—•*]")
+_LEADS = re.compile(r"(?:\s*[>\-–—•*])+\s*")
+_AFTER = re.compile(r"[.,!?;…，、。！？]*")
+_WORDS = re.compile(rf"{_W}+")
 
-# Observation classes
-OBS = ("clock_group", "clock", "label", "note_group", "sung", "name_group", "group", "self", "head_mark", "head_word", "filler", "maybe", "dots", "lead_mark", "mark", "word", "number", "markup")
-_O = {n: i for i, n in enumerate(OBS)}
+# Forms of tokens; "run" is everything between the others.
+FORMS = ("clock_group", "clock", "label", "sung", "group", "self", "head_mark", "head_word", "sound", "lead", "run", "markup")
+CLOCK_GROUP, CLOCK, LABEL, SUNG, GROUP, SELF, HEAD_MARK, HEAD_WORD, SOUND, LEAD, RUN, MARKUP = range(len(FORMS))
+#: A token's observation: form, what word lists say, kind of brackets or marks, case, number of words or length, place in the text, next character, last letters.
+Observation = tuple[int, str, str, str, int, str, str, str]
 
 
 def fold(name: str) -> str:
@@ -83,120 +91,276 @@ def fold(name: str) -> str:
     return "".join(unicodedata.normalize("NFC", name).lower().split())
 
 
-def _group(s: str) -> int:
-    inner = s.strip("[](){}<>*（）【】［］〔〕♪ ").lower()
-    words = re.findall(rf"(?:(?!\d){_W}|_)+", inner)
-    if any(w in NOTES or w.strip("_") in NOTES for w in words) or any(len(n) > 1 and n in inner for n in NOTES if ord(n[0]) > 0x24F):
-        return _O["note_group"]
-    if inner in ("b", "/b", "i", "/i"):
-        return _O["markup"]
-    if words and len(words) <= 4 and not re.search(r"\d", inner) and inner not in ("at", "dot", "draft", "punkt", "punto", "arroba"):
-        return _O["name_group"]
-    return _O["group"]
+def _case(s: str) -> str:
+    letters = [c for c in s if c.isalpha()]
+    if not letters or letters[0].lower() == letters[0].upper():
+        return "none"
+    return "lower" if letters[0].islower() else "upper" if len(letters) > 1 and all(c.isupper() for c in letters) else "title"
 
 
-def _filler(text: str, word: str, end: int) -> int:
-    """The class of a filler sound that may be a word of the text's language, unless a pause is written after it."""
-    if (langs := AMBIGUOUS.get(word)) and text[end : end + 1] not in (",", "…", ".", "，", "") and any(re.search(CUES[x], text, re.I) for x in langs.split()):
-        return _O["maybe"]
-    return _O["filler"]
+def _inside(inner: str) -> str:
+    """What the word lists say of a bracketed group: a sound note, fillers, part of an address, or nothing."""
+    low = inner.lower()
+    words = re.findall(rf"(?:(?!\d){_W}|_)+", low)
+    if any(w in NOTES or w.strip("_") in NOTES for w in words) or any(len(n) > 1 and n in low for n in NOTES if ord(n[0]) > 0x24F):
+        return "note"
+    if low in ("at", "dot", "draft", "punkt", "punto", "arroba"):
+        return "mail"
+    return "filler" if words and all(w in FILLERS for w in words) else ""
 
 
-def tokens(text: str) -> list[tuple[int, int, int]]:
-    """Tokens (start, end, observation class) of a text."""
-    out, at, n, lead = [], 0, len(text), True
-    while at < n:
-        if text[at].isspace():
-            at += 1
-            continue
-        if lead and (m := HEAD.match(text, at)) and fold(m.group(1)) not in ("me", "them", "you") and not TOKEN.match(text, at).group("label"):
-            known = all(w.lower() in NOBODY for w in m.group(1).split())
-            out.append((at, m.end(), _O["word"] if known else _O["head_word"]))
-            at, lead = m.end(), False
-            continue
-        if m := CJK_FILLER.match(text, at):
-            out.append((at, m.end(), _O["filler"]))
-            at = m.end()
+def _ambiguous(text: str, word: str, end: int) -> bool:
+    """A filler sound may be a word of the text's language, unless a pause is written after it."""
+    langs = AMBIGUOUS.get(word)
+    return bool(langs) and text[end : end + 1] not in (",", "…", ".", "，", "") and any(re.search(CUES[x], text, re.I) for x in langs.split())
+
+
+_CLOCK_AT = re.compile(r"\d+(?=:\d\d|h\d)")
+_SHORT_AT = re.compile(r"(?<![^\W_])[sS]\d")
+_DRAWN_AT = re.compile(r"([^\W\d_])\1\1")
+_SIGNS: list = []
+
+
+def _sign_words():
+    """An automaton of what tokens begin with, and what must hold there: 0 nothing, 1 a word's start, 2 a whole word, 3 a colon or bracket behind."""
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    kinds = dict.fromkeys("[(<{（【［*♪", 0) | dict.fromkeys(("me", "them", "you"), 3) | {f.lower(): 2 for f in FILLERS}
+    kinds |= dict.fromkeys(("嗯", "呃", "额", "唔", "えっ", "えー", "ええ", "あの", "うー"), 0) | dict.fromkeys(("hm", "mh", "pf", "ps", "ts"), 1) | dict.fromkeys(ROLE, 1)
+    for w, kind in kinds.items():
+        auto.add_word(w, (len(w), kind))
+    auto.make_automaton()
+    return auto
+
+
+def _part(c: str) -> bool:
+    """A character of a word (see _W)."""
+    return c.isalnum() or "\u0300" <= c <= "\u036f" or "\u0900" <= c <= "\u0dff" or "\u0e00" <= c <= "\u0eff"
+
+
+def _places(text: str) -> list[int]:
+    """Where tokens other than plain words may begin, in order; TOKEN decides."""
+    if not _SIGNS:
+        _SIGNS.append(_sign_words())
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    n, out = len(low), set()
+    for end, (size, kind) in _SIGNS[0].iter(low):
+        a, b = end - size + 1, end + 1
+        if kind and a and _part(low[a - 1]) or kind == 2 and b < n and _part(low[b]) or kind == 3 and low[b : b + 2].lstrip()[:1] not in (":", "：", "("):
             continue
-        m = TOKEN.match(text, at)
-        if not m or m.end() == at:
-            at += 1
+        out.add(a)
+    out.update(m.start() for m in _CLOCK_AT.finditer(low))
+    out.update(m.start() for m in _SHORT_AT.finditer(low))
+    for m in _DRAWN_AT.finditer(low):
+        a = m.start()
+        while a and _part(low[a - 1]):
+            a -= 1
+        out.add(a)
+    return sorted(out)
+
+
+def tokens(text: str) -> list[tuple[int, int, Observation]]:
+    """Tokens (start, end, observation) of a text, without the white space between them; every text that has more than that has one."""
+    found: list[tuple[int, int, int, str, str]] = []
+    at, n, lead = 0, len(text), True
+    places = _places(text)
+    next_place = 0
+
+    def search(at: int) -> re.Match | None:
+        nonlocal next_place
+        while next_place < len(places):
+            if places[next_place] >= at and (m := TOKEN.match(text, places[next_place])):
+                return m
+            next_place += 1
+        return None
+
+    def run(a: int, b: int) -> None:
+        nonlocal lead
+        while a < b and text[a].isspace():
+            a += 1
+        while lead and a < b and _LEAD.match(text, a):
+            found.append((a, a + 1, LEAD, "", ""))
+            a += 1
+            while a < b and text[a].isspace():
+                a += 1
+        while b > a and text[b - 1].isspace():
+            b -= 1
+        if a < b:
+            found.append((a, b, RUN, "", ""))
+            lead = lead and not _WORDS.search(text, a, b)
+
+    while at < n:
+        if lead and (h := HEAD.match(text, at)) and fold(h.group(1)) not in ("me", "them", "you") and not ((m := TOKEN.match(text, at)) and m.lastgroup == "label"):
+            nobody = all(w.lower() in NOBODY for w in h.group(1).split())
+            found.append((h.start(1), h.end(), HEAD_WORD, "nobody" if nobody else "", ""))
+            at, lead = h.end(), False
             continue
-        kind, s = m.lastgroup, m.group()
-        end = at + len(s.rstrip())
+        m = search(at)
+        if m and lead and m.start() > at and not text[at : m.start()].isspace():
+            # a lead mark may stand before a head
+            marks = _LEADS.match(text, at, m.start())
+            if marks and HEAD.match(text, marks.end()):
+                run(at, marks.end())
+                at = marks.end()
+                continue
+        if not m:
+            run(at, n)
+            break
+        run(at, m.start())
+        kind = next(k for k in ("clock", "label", "sung", "group", "self", "head", "sound") if m.group(k) is not None)
+        s = m.group().rstrip()
+        a, end = m.start() + len(s) - len(s.lstrip()), m.start() + len(s)
+        s = s.strip()
         if kind == "clock":
-            o = _O["clock_group"] if s[0] in "[(<（【" and s.rstrip()[-1] in "])>）】" or "-->" in s or "h" in s or s.count(":") == 2 and ("." in s or "," in s) else _O["clock"]
-        elif kind == "label":
-            o = _O["label"]
-        elif kind == "sung":
-            o = _O["sung"]
+            whole = s[0] in "[(<（【" and s[-1] in "])>）】" or "-->" in s or "h" in s or s.count(":") == 2 and ("." in s or "," in s)
+            found.append((a, end, CLOCK_GROUP if whole else CLOCK, "", s[0] if s[0] in "[(<（【" else ""))
         elif kind == "group":
-            o = _group(s)
-        elif kind == "self":
-            o = _O["self"]
-        elif kind == "head":
-            o = _O["head_mark"]
-        elif kind == "word":
-            o = _filler(text, s.lower(), end) if s.lower() in FILLERS else _O["number"] if s.isdecimal() else _O["word"]
-            if o in (_O["filler"], _O["maybe"]):
-                end += len(re.match(r"[.,…，、]*", text[end:]).group())
+            inner = s.strip("[](){}<>*（）【】［］〔〕 ")
+            form = MARKUP if inner.lower() in ("b", "/b", "i", "/i") else GROUP
+            end = _AFTER.match(text, end).end() if form == GROUP else end
+            found.append((a, end, form, _inside(inner), s[0]))
+        elif kind == "sound":
+            word = (m.group("listed") or m.group("cjk") or s.rstrip(".,…，、。")).lower()
+            known = "shape" if not (m.group("listed") or m.group("cjk")) else "maybe" if _ambiguous(text, word, a + len(word)) else "list"
+            found.append((a, end, SOUND, known, ""))
         else:
-            o = _O["lead_mark"] if lead and s in ">-–—•*" else _O["word"] if unicodedata.category(s) in ("So", "Lo", "Mn", "Mc", "Sc") else _O["mark"]
-        out.append((at, end, o))
-        if o in (_O["word"], _O["number"], _O["label"], _O["head_mark"], _O["self"], _O["clock"]):
-            lead = o in (_O["clock"],) and lead
-        at = max(end, at + 1)
+            form = {"label": LABEL, "sung": SUNG, "self": SELF, "head": HEAD_MARK}[kind]
+            found.append((a, _AFTER.match(text, end).end() if form == SUNG else end, form, "", ""))
+        lead = lead and kind not in ("label", "self", "head")
+        at = max(end, m.end(), at + 1)
+    spoken = labelled = False
+    out: list[tuple[int, int, Observation]] = []
+    plain = any(f == RUN and _WORDS.search(text, a, b) for a, b, f, _, _ in found)
+    for i, (a, b, form, known, mark) in enumerate(found):
+        s = text[a:b]
+        words = len(_WORDS.findall(s)) if form in (GROUP, HEAD_WORD, HEAD_MARK) else min(len(s), 6) if form == SOUND else 0
+        if form == GROUP and any(c.isdigit() for c in s):
+            mark += "0"
+        # place: before all speech, before it but behind a label, behind it; alone where there are no plain words
+        place = "behind" if spoken else "labelled" if labelled else "alone" if not plain else "before"
+        after = text[b : b + 1] if form not in (SOUND, RUN) else s[-1] if not s[-1].isalnum() else text[b : b + 1]
+        after = "pause" if after in (",", "…", ".", "，", "、", "") and form == SOUND else "end" if not after else "space" if after.isspace() else "mark" if not after.isalnum() else "word"
+        tail = s.strip("[](){}<>*（）【】［］〔〕.,!?;…，、。！？ ").lower()[-3:] if form == GROUP else ""
+        out.append((a, b, (form, known, mark, _case(s) if form in (GROUP, SOUND, HEAD_WORD) else "", min(words, 6), place, after, tail)))
+        spoken = spoken or form == RUN and bool(_WORDS.search(s))
+        labelled = labelled or form in (LABEL, SELF, HEAD_MARK, HEAD_WORD, LEAD)
     return out
 
 
-def weak_tags(obs: list[int]) -> list[int]:
-    """Tags of a token sequence by its classes and places, to count a model from."""
-    out, spoken, labelled = [], False, False
-    plain = sum(o in (_O["word"], _O["number"], _O["group"]) for o in obs)
-    for i, o in enumerate(obs):
-        name = OBS[o]
-        if name in ("clock_group",) or name == "clock" and not spoken:
-            tag = TIME
-        elif name in ("label", "self", "head_mark", "lead_mark") and not spoken or name == "head_word" and not labelled:
-            tag, labelled = SPEAKER, True
-        elif name in ("note_group", "sung") or name == "name_group" and (spoken or labelled):
-            tag = NOTE
-        elif name == "name_group":
-            tag, labelled = SPEAKER, True
-        elif name == "filler" or name == "maybe" and not plain:
-            tag = FILLER
-        elif name in ("mark", "dots") and out:
-            tag = out[-1]
-        elif name == "markup":
-            tag = SPEAKER
+def allowed(text: str, toks: list[tuple[int, int, Observation]], number: int | None, shown: str | None) -> list[tuple[int, ...]]:
+    """The tags that a text's tokens may have when the model is counted; most are certain, the others stay open.
+
+    A group or a head that gives the name of the row's own speaker (``shown``) is confirmed as a speaker, one that numbers
+    the row's own speaker likewise.
+    """
+    own = {fold(shown), fold(shown.split()[0])} if shown and shown.split() else set()
+    out: list[tuple[int, ...]] = []
+    for a, b, (form, known, mark, case, words, place, _, _) in toks:
+        first = place != "behind"
+        k, name = label_of(text[a:b]) if form in (LABEL, GROUP, HEAD_MARK, HEAD_WORD) else (None, None)
+        sure = name in own or k is not None and k == number
+        if form == CLOCK_GROUP or form == CLOCK and first:
+            tags: tuple[int, ...] = (TIME,)
+        elif form == SUNG or known == "note":
+            tags = (NOTE,)
+        elif form == MARKUP or first and (sure or form in (LABEL, SELF, HEAD_MARK, LEAD)):
+            tags = (SPEAKER,)
+        elif form == SOUND:
+            tags = (FILLER,) if known == "list" else (SPEECH,) if known == "maybe" and place != "alone" else (FILLER, SPEECH)
+        elif form == GROUP and known != "mail" and words <= 4 and not mark.endswith("0"):
+            # names are capitalised where a script can, and mostly the row's own
+            tags = (SPEAKER, NOTE) if first and case != "lower" and not own else (NOTE,)
+        elif form == HEAD_WORD and known != "nobody":
+            tags = (SPEAKER,) if place == "alone" else (SPEAKER, SPEECH)
         else:
-            tag = SPEECH
-        spoken = spoken or tag == SPEECH
-        out.append(tag)
+            tags = (SPEECH,)
+        out.append(tags)
     return out
 
 
-#: Lines that every model has seen, so that no class is unknown to a small sample.
-SEEDS = ("♪ music ♪", "[music] (laughs)", "hello there ♪ music ♪", "Speaker 1: hello there", "Me: hello", "**Ann:** hello", "Ann: hello", "[Ann] hello", "- hello", ">> um, hello", "00:01:02.000 [0:12] hello 12", "um...", "hello (aside) there 5")
+#: Lines that every model has seen, so that no form is unknown to a small sample.
+SEEDS = ("♪ music ♪", "[music] (laughs)", "hello there ♪ music ♪", "Speaker 1: hello there", "Me: hello", "**Ann:** hello", "Ann: hello", "[Ann] hello", "- hello", ">> um, hello", "00:01:02.000 [0:12] hello 12", "um...", "hello (aside) there 5", "at 10:30 we go", "call bob [at] host (on line 5)", "Note: hello", "<b>hello")
 
 
 class Tagger:
-    """Hidden Markov model over observation classes, counted with add-``smooth`` smoothing from weakly tagged texts."""
-
-    def __init__(self, texts: list[str], smooth: float = 0.1):
-        k, v = len(TAGS), len(OBS)
-        first, step, emit = np.full(k, smooth), np.full((k, k), smooth), np.full((k, v), smooth * 0.1)
-        for t in [*texts, *SEEDS]:
-            if obs := [o for _, _, o in tokens(t)]:
-                tags = weak_tags(obs)
-                first[tags[0]] += 1
-                np.add.at(step, (tags[:-1], tags[1:]), 1)
-                np.add.at(emit, (tags, obs), 1)
-        norm = lambda a: np.log(a / a.sum(-1, keepdims=True))
-        self.first, self.step, self.emit = norm(first), norm(step), norm(emit)
+    """Hidden Markov model of tags over observed tokens.
 
-    def decode(self, rows: list[list[int]]) -> list[np.ndarray]:
-        """The best tags of each row of classes, by Viterbi over rows of similar length at once."""
+    A tag emits a token's form and, given both, each of its other features by itself. Counts come from a sample of
+    (text, speaker of the row, its name): certain tags count as such, open ones by their posteriors (Baum-Welch), so what
+    is in no list is decided by shape, place and neighbours.
+    """
+
+    def __init__(self, rows: list[str | tuple[str, int | None, str | None]], smooth: float = 0.1, rounds: int = 6):
+        self.smooth, self.known = smooth, {}
+        data = []
+        for r in [*rows, *SEEDS]:
+            text, number, shown = r if isinstance(r, tuple) else (r, None, None)
+            if toks := tokens(text):
+                may = np.full((len(toks), len(TAGS)), -np.inf)
+                for row, tags in zip(may, allowed(text, toks, number, shown)):
+                    row[list(tags)] = 0
+                data.append(([o for _, _, o in toks], may))
+        weights = [np.exp(m - np.log(np.exp(m).sum(1, keepdims=True))) for _, m in data]
+        pairs = [w[:-1].T @ w[1:] for w in weights]
+        for r in range(rounds):
+            self._count([o for o, _ in data], weights, pairs)
+            if r < rounds - 1:
+                weights, pairs = map(list, zip(*[self._posterior(o, m) for o, m in data]))
+
+    def _count(self, rows: list[list[Observation]], weights: list[np.ndarray], pairs: list[np.ndarray]) -> None:
+        k = len(TAGS)
+        first, step = np.full(k, self.smooth), np.full((k, k), self.smooth)
+        self.form = np.full((k, len(FORMS)), self.smooth * 0.1)
+        self.rest: list[dict[tuple[int, object], np.ndarray]] = [{} for _ in range(7)]
+        for obs, w, p in zip(rows, weights, pairs):
+            first += w[0]
+            step += p
+            for o, x in zip(obs, w):
+                self.form[:, o[0]] += x
+                for table, v in zip(self.rest, o[1:]):
+                    if (o[0], v) not in table:
+                        table[o[0], v] = np.zeros(k)
+                    table[o[0], v] += x
+        norm = lambda a: np.log(a / a.sum(-1, keepdims=True))
+        self.first, self.step, self.of_form = norm(first), norm(step), norm(self.form)
+        self.known = {}
+
+    def emission(self, o: Observation) -> np.ndarray:
+        """Log likelihood of an observation by each tag."""
+        if (e := self.known.get(o)) is None:
+            e = self.of_form[:, o[0]].copy()
+            whole = self.form[:, o[0]]
+            for table, v in zip(self.rest, o[1:]):
+                if (n := table.get((o[0], v))) is not None:  # a value never seen speaks for no tag
+                    e += np.log((n + self.smooth) / (whole + self.smooth * 8))
+            self.known[o] = e
+        return e
+
+    def _posterior(self, obs: list[Observation], may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior tags of a row's tokens, and expected steps between tags, among those it may have."""
+        e = np.stack([self.emission(o) for o in obs]) + may
+        n, (k, _) = len(obs), self.step.shape
+        ahead, back = np.empty((n, k)), np.zeros((n, k))
+        log = lambda x, axis: (m := np.maximum(x.max(axis), -1e300)) + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis) + 1e-300)
+        ahead[0] = self.first + e[0]
+        for t in range(1, n):
+            ahead[t] = log(ahead[t - 1][:, None] + self.step, 0) + e[t]
+        for t in range(n - 2, -1, -1):
+            back[t] = log(self.step + (e[t + 1] + back[t + 1])[None], 1)
+        whole = log(ahead[-1], 0)
+        pairs = np.zeros((k, k))
+        for t in range(n - 1):
+            pairs += np.exp(ahead[t][:, None] + self.step + (e[t + 1] + back[t + 1])[None] - whole)
+        return np.exp(ahead + back - whole), pairs
+
+    def decode(self, rows: list[list[Observation]]) -> list[np.ndarray]:
+        """The best tags of each row of observations, by Viterbi over rows of similar length at once."""
+        seen: dict[Observation, int] = {}
+        coded = [[seen.setdefault(o, len(seen)) for o in r] for r in rows]
+        emit = np.stack([self.emission(o) for o in seen], 1) if seen else np.zeros((len(TAGS), 0))
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(rows)
         order = sorted((i for i in range(len(rows)) if rows[i]), key=lambda i: len(rows[i]))
         a = 0
@@ -207,14 +371,14 @@ class Tagger:
             size = np.array([len(rows[i]) for i in part])
             n, m = len(part), int(size.max())
             x = np.zeros((n, m), np.int64)
-            x[np.arange(m)[None, :] < size[:, None]] = np.concatenate([rows[i] for i in part])
-            score = self.first + self.emit[:, x[:, 0]].T
+            x[np.arange(m)[None, :] < size[:, None]] = np.concatenate([coded[i] for i in part])
+            score = self.first + emit[:, x[:, 0]].T
             back = np.zeros((n, m, len(TAGS)), np.int8)
             last = np.where((size == 1)[:, None], score, 0)
             for t in range(1, m):
                 s = score[:, :, None] + self.step[None]
                 back[:, t] = s.argmax(1)
-                score = s.max(1) + self.emit[:, x[:, t]].T
+                score = s.max(1) + emit[:, x[:, t]].T
                 last = np.where((size == t + 1)[:, None], score, last)
             tag = last.argmax(1)
             path = np.zeros((n, m), np.int8)
@@ -246,20 +410,20 @@ def label_of(s: str) -> tuple[int | None, str | None]:
     return None, name or None
 
 
-def read(text: str, toks: list[tuple[int, int, int]], tags: np.ndarray) -> tuple[str, str, int | None, str | None]:
+def read(text: str, toks: list[tuple[int, int, Observation]], tags: np.ndarray) -> tuple[str, str, int | None, str | None]:
     """(spoken text, text of an unconfirmed head, speaker number, folded name) of a tagged text."""
     number = name = None
     head, parts, at = "", [], 0
     for (a, b, o), tag in zip(toks, tags):
         if tag == SPEECH:
             continue
-        if tag == SPEAKER or OBS[o] == "name_group" and tag == NOTE and not parts:
+        if tag == SPEAKER or o[0] == GROUP and tag == NOTE and not parts:
             k, nm = label_of(text[a:b])
-            if OBS[o] in ("label",) and number is None and name is None:
+            if o[0] == LABEL and number is None and name is None:
                 number = k
-            elif OBS[o] in ("head_mark", "head_word", "name_group") and number is None and name is None:
+            elif o[0] in (HEAD_MARK, HEAD_WORD, GROUP) and number is None and name is None:
                 number, name = k, nm
-                if OBS[o] == "head_word":
+                if o[0] == HEAD_WORD:
                     head = text[a:b]
         parts.append(text[at:a])
         at = b
@@ -276,25 +440,27 @@ TAGGED = T.StructType([T.StructField("spoken", T.StringType()), T.StructField("h
 
 def tag_texts(texts: list[str | None], model: Tagger) -> list[tuple[str, str, int | None, str | None]]:
     """:func:`read` of every text; distinct texts are decoded once."""
-    out: dict[str, tuple] = {}
-    todo = []
-    for t in dict.fromkeys(t for t in texts if t):
-        if SPECIAL.search(t):
-            todo.append((t, tokens(t)))
-        else:
-            spoken = " ".join(t.split())
-            keep = any(unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "So" for c in spoken)
-            out[t] = (spoken if keep else "", "", None, None)
-    for (t, toks), tags in zip(todo, model.decode([[o for _, _, o in x] for _, x in todo])):
-        out[t] = read(t, toks, tags)
+    todo = [(t, tokens(t)) for t in dict.fromkeys(t for t in texts if t)]
+    out = {t: read(t, toks, tags) for (t, toks), tags in zip(todo, model.decode([[o for _, _, o in x] for _, x in todo]))}
     return [out[t] if t else ("", "", None, None) for t in texts]
 
 
-def train(segments: DataFrame, text: str, sample: int = 4000) -> Tagger:
-    """A tagger counted from at most ``sample`` texts, taken in hash order (so that the same rows give the same model)."""
+def train(segments: DataFrame, text: str, sample: int = 4000, participants: DataFrame | None = None) -> Tagger:
+    """A tagger counted from at most ``sample`` texts, taken in hash order (so that the same rows give the same model).
+
+    With ``participants`` the names of the rows' own speakers confirm labels (segments then need meeting_id, speaker).
+    """
     t = F.col(text)
-    rows = segments.filter(t.isNotNull() & (F.char_length(t) < 2000)).select(t.alias("t"), F.xxhash64(t).alias("h")).orderBy("h", "t").limit(sample).collect()
-    return Tagger([r.t for r in rows])
+    pool = segments.filter(t.isNotNull() & (F.char_length(t) < 2000))
+    if participants is None:
+        rows = pool.select(t.alias("t"), F.xxhash64(t).alias("h")).orderBy("h", "t").limit(sample).collect()
+        return Tagger([r.t for r in rows])
+    own = ["meeting_id", F.col("speaker").cast("bigint").alias("speaker")]
+    few = pool.select(t.alias("t"), F.xxhash64(t).alias("h"), *own).orderBy("h", "t", "meeting_id", "speaker").limit(sample)
+    keys = ["meeting_id", "speaker"]
+    names = participants.select(*own, "display_name").join(F.broadcast(few.select(*keys).distinct()), keys, "left_semi").groupBy(*keys).agg(F.min("display_name").alias("shown"))
+    rows = few.join(names, keys, "left").orderBy("h", "t", *keys).collect()
+    return Tagger([(r.t, r.speaker, r.shown) for r in rows])
 
 
 def speaker_turns(segments: DataFrame, participants: DataFrame, sample: int = 4000, shard_ms: int = 3_600_000) -> DataFrame:
@@ -306,7 +472,7 @@ def speaker_turns(segments: DataFrame, participants: DataFrame, sample: int = 40
     unknown speaker is -1, and unknown equals unknown, as null sources equal null. A null meeting_id is a meeting of its
     own; a null start sorts first. Ties of start_ms go by idx, then the other columns. Other columns are ignored.
     """
-    model = train(segments, "text", sample)
+    model = train(segments, "text", sample, participants)
     cols = ["meeting_id", "idx", "start_ms", "end_ms", "speaker", "source", "text"]
     seg = segments.select("meeting_id", *[F.col(c).cast("bigint").alias(c) for c in cols[1:5]], "source", "text").filter(F.col("text").rlike(r"\S"))
     schema = T.StructType([f for f in seg.schema.fields] + TAGGED.fields)

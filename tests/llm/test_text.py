@@ -33,6 +33,41 @@ def test_no_speech(text):
     assert turns.tag_texts([text], model)[0][0] == ""
 
 
+def test_the_model_decides_what_no_list_has(spark, monkeypatch):
+    """Sound notes and names whose words are hidden from the lists, against labels from the whole lists and the column speaker."""
+    if not Path("/root/testdata/sf0.01/segment.parquet").exists():
+        pytest.skip("no test tables")
+    seg, part = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("segment", "participant"))
+    rows = seg.join(part, ["meeting_id", "speaker"], "left").filter("text is not null").select("text", "speaker", "display_name").distinct().orderBy("text").collect()
+    labelled = []
+    for r in rows:
+        for a, b, o in turns.tokens(r.text):
+            own = {turns.fold(r.display_name), turns.fold(r.display_name.split()[0])} if r.display_name else set()
+            tag = turns.NOTE if o[1] == "note" else turns.SPEAKER if o[0] == turns.GROUP and turns.label_of(r.text[a:b])[1] in own else None
+            if tag is not None:
+                labelled.append((r.text, a, tag))
+    monkeypatch.setattr(turns, "NOTES", turns.NOTES[::2])
+    model = turns.Tagger([(r.text, r.speaker, r.display_name) for r in rows[::2]])
+    held = {r.text for r in rows[1::2]} - {r.text for r in rows[::2]}
+    right = ladder = n = 0
+    for text, a, tag in labelled:
+        toks = turns.tokens(text)
+        if text in held:
+            (i,) = [i for i, t in enumerate(toks) if t[0] == a]
+            if toks[i][2][1] != "note":
+                n, right = n + 1, right + (model.decode([[o for *_, o in toks]])[0][i] == tag)
+                ladder += (turns.SPEAKER if toks[i][2][5] != "behind" else turns.NOTE) == tag
+    assert n >= 30 and right / n > 0.85 and right > 1.5 * ladder
+
+
+@pytest.mark.parametrize(("text", "want"), [("Uhhhhh, hello", "hello"), ("hello [sneezes] there", "hello there"), ("[keyboard clacking] hello", "hello"), ("(dog barking) hello there", "hello there"), ("Pfff", ""), ("あのーーー、はい", "はい"), ("hello there you", "hello there you"), ("we meet at 10:30 again", "we meet at 10:30 again"), ("um " * 3 + "x" * 5, "xxxxx"), ("(" * 9_000, ""), ("[a " * 5_000 + "b", None)])
+def test_every_text_is_decoded(text, want):
+    model = turns.Tagger(["Speaker 1: hello you", "[Music] hello there", "um, hello", "hello there you all", "00:01 hello", "[0:12] [laughs] hi"] * 5)
+    assert turns.tokens(text)
+    got = turns.tag_texts([text], model)[0][0]
+    assert want is None or got == want
+
+
 def test_turns_over_hours_equal_turns_in_one(spark):
     rnd = random.Random(2)
     rows = [("m", i, i * 400, i * 400 + 300, rnd.choice([None, 0, 1]), rnd.choice(["mic", "system", None]), rnd.choice(["hello there", "Speaker 2: well yes", "[Music]", "um", "Ann: I think so", " "])) for i in range(120)]
