@@ -368,9 +368,51 @@ def test_label_codes(spark, label, code):
     assert spark.range(1).select(language.code_column(F.lit(label).cast("string")).alias("x")).first().x == code
 
 
+def nats(**of):
+    best = max(of.values())
+    return [float(of.get(c, 0) - best) for c in language.LANGS]
+
+
+FUSED = "k string, label string, host string, tld string"
+
+
 def test_fusion(spark):
-    docs = spark.createDataFrame([("a", "en", "x", "de"), ("b", None, "x", "de"), ("c", "fr", "y", None), ("d", None, None, "jp"), ("e", "zz", "x", None)], "k string, label string, host string, tld string")
-    votes = spark.createDataFrame([("a", "de", 9), ("a", "en", 1), ("b", "de", 3), ("c", "fr", 4)], "k string, lang string, n bigint")
-    got = {r.k: r for r in language.fuse(votes, docs, "k", "label", "tld", "host").collect()}
-    assert {k: r.lang for k, r in got.items()} == {"a": "de", "b": "de", "c": "fr", "d": "ja", "e": "de"}
+    docs = spark.createDataFrame([("a", "en", "x", "de"), ("b", None, "x", "de"), ("c", "fr", "y", None), ("d", None, None, "jp"), ("e", "zz", "x", None), ("f", None, "x-2", None), (None, None, "x", None)], FUSED)
+    pieces = spark.createDataFrame([*[("a", nats(de=2))] * 9, ("a", nats(en=2)), *[("b", nats(de=2))] * 3, *[("c", nats(fr=2))] * 4, ("d", None), (None, nats(ru=2))], "k string, nats array<double>")
+    got = {r.k: r for r in language.fuse(pieces, docs, "k", "label", "tld", "host").collect()}
+    assert len(got) == 7
+    assert {k: r.lang for k, r in got.items() if k} == {"a": "de", "b": "de", "c": "fr", "d": "ja", "e": "de", "f": "de"}
     assert got["a"].declared_code == "en" and got["e"].declared_code is None and 0 < got["e"].confidence < got["b"].confidence <= 1
+    assert got["f"].confidence > got["d"].confidence / 11  # by the family of its host
+    assert language.fuse(pieces, docs.limit(0), "k", "label", "tld", "host").count() == 0
+    none = language.fuse(pieces.limit(0), docs, "k").collect()
+    assert len(none) == 7 and all(abs(r.confidence - 1 / 11) < 1e-9 for r in none)
+
+
+def test_one_clear_segment_outweighs_three_doubtful_ones(spark):
+    texts = [("m", TEXTS["de"] * 2), *[("m", "el animal de familia")] * 3]
+    df = spark.createDataFrame([*texts, ("n", None), ("o", " ")], "k string, text string")
+    found = language.language_stretches(df, {"k": F.col("k")}, "text", MODEL)
+    clear, doubtful = language.stretches_of([texts[0][1], texts[1][1]], MODEL)
+    assert language.evidence(clear, language.whole(clear))[language.LANGS.index("es")] == -language.PIECE_MOST
+    assert language.fuse(found, spark.createDataFrame([("m", "en", "h", None)], FUSED), "k").first().lang == "de"
+    assert len(found.filter("nats is not null").collect()) <= 4
+
+
+def test_confidence_of_scripts_grows_with_the_evidence():
+    of = lambda t: language.stretches(t, MODEL)[0]
+    assert of("会议")[4] < of("会议纪要还没有准备好")[4] and of("会议")[0] == "zh"
+    assert of("да")[4] < of("да нам нужно")[4] <= 1
+    assert of("議事録を確認しましょう")[0] == "ja" and of("議事録を確認しましょう")[4] > 0.99
+
+
+@pytest.mark.parametrize("text", ["write to NAME AT host DOT com now please", "schreib an name klammeraffe host punkt de", "Écrivez-moi à vesna point lindquarrel arobase nordpost point example", "scrivi a name chiocciola host punto it", "name Собака host точка com"])
+def test_disguised_addresses_are_no_words(text):
+    blanked = language._DISGUISED.sub(language._blank, text)
+    assert blanked != text and "at" in pii.signs(text.lower())[0]
+    assert [u[:4] for u in language.stretches(text, MODEL)] == [u[:4] for u in language.stretches(blanked, MODEL)]
+
+
+def test_address_suffixes(spark):
+    df = spark.createDataFrame([("a", "mail x@y.de and z@y.de or https://w.fr"), ("a", "see www.shop.example.fr."), ("b", "x@y.com"), ("c", None), (None, "q@y.JP")], "k string, t string")
+    assert {r.k: r.suffix for r in language.address_suffixes(df, "k", "t").collect()} == {"a": "de", None: "jp"}
