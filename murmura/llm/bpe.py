@@ -191,7 +191,8 @@ class Bpe:
 _LOADED: dict[str, Bpe] = {}
 
 
-def _bpe(path: str) -> Bpe:
+def shared(path: str) -> Bpe:
+    """The encoder of a vocabulary file, one a worker."""
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
     return _LOADED[path]
@@ -201,7 +202,7 @@ def _bpe(path: str) -> Bpe:
 CHARS = 4_000_000
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     a = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t or "") > CHARS:
@@ -222,12 +223,12 @@ def encode(df: DataFrame, keys: dict[str, Column], text: str, vocabulary: str =
     schema = T.StructType([f for f in d.schema.fields if f.name != "__text"] + [extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(vocabulary)
+        bpe = shared(vocabulary)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
             others = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"]
             names = [n for n in batch.schema.names if n != "__text"]
-            for a, b in _slices(texts):
+            for a, b in slices(texts):
                 ids, offsets = bpe.encode(texts[a:b])
                 if counts:
                     last = pa.array(np.diff(offsets), pa.int64())

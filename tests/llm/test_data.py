@@ -136,7 +136,8 @@ def test_mix_meets_targets(spark):
     r = {(x.mix_id, x.source): x for x in report.collect()}
     assert len(r) == 6
     assert abs(r["x", "b"].share - 0.75) < 0.05 and abs(r["x", "a"].share - 0.25) < 0.05
-    assert r["y", "c"].short and r["y", "c"].reached == 3 * r["y", "c"].own and r["z", "none"].short and r["z", "none"].reached == 0
+    assert r["y", "c"].short and r["y", "c"].reached - r["y", "c"].guessed == 3 * r["y", "c"].own and r["z", "none"].short and r["z", "none"].reached == 0
+    assert abs(r["y", "a"].planned_share - 0.5) < 0.05
     assert not r["z", "b"].short
     caps = {("x", "a"): 2, ("x", "b"): 5, ("y", "c"): 3, ("y", "a"): 1}
     for x in chosen.collect():
@@ -160,6 +161,43 @@ def test_source_outside_the_sample_keeps_its_share(spark):
     assert {r.source for r in chosen.select("source").distinct().collect()} == {"a", "rare0", "rare1"}
 
 
+def test_short_rows_come_from_the_rates(spark):
+    rnd = random.Random(6)
+    docs = [(i % 90, "alpha beta gamma " * rnd.randrange(1, 9), rnd.choice(["a", "a", "a", "b", "c", None])) for i in range(300)] + [(1, None, "a"), (2, "", "b"), (3, "alpha", None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    rows = [(f"m{i}", s, rnd.random() * (s in "ab" or 0.2), rnd.choice([0, 1, 2, 5, None])) for i in range(12) for s in ("a", "b", "c", "d") if rnd.random() < 0.8] + [(None, "a", 1.0, 1), ("m1", None, 1.0, 1)]
+    mixes = spark.createDataFrame(rows, "mix_id string, source string, weight double, max_repeats int")
+    own = {r.source: r.n for r in mixing.document_tokens(df, "doc_id", "text", "source").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    want = set()
+    for m in {r[0] for r in rows if r[0]}:
+        mine = [r for r in rows if r[0] == m and r[1]]
+        total, weights = sum(own.get(r[1], 0) for r in mine), sum(r[2] for r in mine)
+        want |= {(m, s) for _, s, w, c in mine if w / weights * total > (1 if c is None else c) * own.get(s, 0)}
+    assert {tuple(r) for r in mixing.short_rows(df, mixes).collect()} == want and want
+    report = mixing.mix(df, mixes)[1].collect()
+    assert {(r.mix_id, r.source) for r in report if r.short} == want
+    # tokens of every copy are in the report: by labels, by memberships, or outside the mix
+    chosen = mixing.mix(df, mixes)[0].groupBy("mix_id").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()
+    for r in chosen:
+        mine = [x for x in report if x.mix_id == r.mix_id]
+        assert abs(sum(x.reached for x in mine) + mine[0].outside - r.n) < 1e-6
+
+
+def test_sums_at_the_driver_and_in_tasks_give_the_same_rates(spark):
+    rng = np.random.default_rng(2)
+    p = mixing._on_grid(rng.dirichlet([0.5] * 3, 400))
+    assert np.allclose(p.sum(1), 1) and (p * mixing.GRID == np.round(p * mixing.GRID)).all()
+    soft = spark.createDataFrame([(i, int(n), [float(x) for x in q]) for i, (n, q) in enumerate(zip(rng.integers(1, 50, 400), p))], "doc bigint, n_tokens bigint, p array<double>")
+    import pandas as pd
+
+    goals = pd.DataFrame([("x", "a", 1.0, 2, 100, 3000.0), ("x", "b", 1.0, 2, 900, 900.0), ("y", "c", 1.0, 4, 50, 1000.0)], columns=["mix_id", "source", "weight", "max_repeats", "own", "target"])
+    one, two = (mixing.fit(soft, ["a", "b", "c"], goals, groups=g) for g in (10**6, 0))
+    assert len(one.steps) == len(two.steps) > 1 and np.allclose(one.of(p), two.of(p))
+    assert one.short().tolist() == [[True, False, False], [False, False, True]]
+    filled = (one.of(p) * soft.toPandas().n_tokens.to_numpy()[:, None]).T @ p
+    assert abs(filled[0, 0] - 2800) < 300 or (one.of(p)[:, 0][p.argmax(1) == 0] == 2).all()
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     mixes = spark.createDataFrame([("x", "a", 1.0, 2)], "mix_id string, source string, weight double, max_repeats int")
