@@ -19,10 +19,10 @@ from murmura.functions.text import utrim
 
 #: Characters at which a text may be cut besides white space (fixed values).
 BREAKS = ".,;:!?…" + "。！？；：，、．।؟،؛"
+#: Pieces that are placed anew where one is added.
+BACK = 8
 SENTENCE = ".!?…。！？．।؟"
 CLAUSE = ";:；：؛"
-#: Beyond so many attempts with one more piece each, the pieces are placed greedily.
-ATTEMPTS = 12
 
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -79,73 +79,72 @@ def _forced(text: str, p: int, least: int) -> int:
     return q if q > least else p
 
 
-def _place(text: str, pos: np.ndarray, score: np.ndarray, k: int | None, limit: int, overlap: int) -> list[tuple[int, int, bool]] | None:
-    """``k`` pieces (start, end, end is natural), or None if they do not reach the end; k None: as many as it takes."""
-    n, out, start, end = len(text), [], 0, 0
-    length = (n + (k - 1) * overlap) / k if k else limit
+def pieces(text: str, limit: int = 512, overlap: int = 64) -> tuple[list[tuple[int, int, bool]], bool]:
+    """Pieces (start, end, end is natural) of a trimmed text, and whether a stretch longer than ``limit`` forces cuts.
+
+    The least number of pieces comes first, with equal-length targets; each target moves to the strongest boundary near
+    it. Where a limit fails (what is left needs more pieces than are left), a piece is added and the last ``BACK`` pieces
+    are placed anew, with equal-length targets for the rest of the text. So a hard passage of a long text adds pieces
+    where it is, and every text ends after a number of steps in proportion to its length.
+    """
+    n = len(text)
+    if n <= limit:
+        return [(0, n, True)], False
+    pos, score = boundaries(text)
+    need = lambda chars: 1 + max(0, -(-(chars - limit) // (limit - overlap)))
     near = max(8, int(limit * 0.15))
-    i = 0
+    out: list[tuple[int, int, bool]] = []
+    starts, base, count = [0], 0, need(n)  # ``count`` pieces are planned from piece ``base`` on
     while True:
-        i += 1
-        if n - start <= limit and (k is None or i == k):
-            return [*out, (start, n, True)]
-        if k is not None and i >= k:
-            return None
+        i = len(out)
+        start, end, left = starts[i], out[-1][1] if out else 0, count - (i - base)
+        if n - start <= limit and left == 1:
+            out.append((start, n, True))
+            break
+        if need(n - start) > left:
+            back = max(base, i - BACK)
+            base, count = back, count - (back - base) + 1
+            del out[base:], starts[base + 1 :]
+            continue
         most = min(start + limit, n - 1)
         least = max(end, start + overlap) + 1
-        target = min(int(round(length * i - (i - 1) * overlap)) if k else most, most)
-        lo, hi = np.searchsorted(pos, [max(least, target - near), min(target + near, most) + 1])
+        if least > most:
+            out.append((start, n, True))
+            break
+        length = (n - starts[base] + (count - 1) * overlap) / count
+        due = starts[base] + int(round(length * (i - base + 1) - (i - base) * overlap))
+        target = max(least, min(due, most))
+        # behind the targets, nearer boundaries are taken, so that the pieces catch up
+        wide = max(8, near - max(0, due - target))
+        lo, hi = np.searchsorted(pos, [max(least, target - wide), min(target + wide, most) + 1])
         if lo < hi:  # the strongest nearby, then the nearest
             p, s = pos[lo:hi], score[lo:hi]
             cut = int(p[np.lexsort((np.abs(p - target), -s.astype(int)))[0]])
         else:
             lo, hi = np.searchsorted(pos, [least, most + 1])
-            if lo < hi:
-                p = pos[lo:hi]
-                cut = int(p[np.argmin(np.abs(p - target))])
-            else:
-                cut = 0
-                nxt = int(pos[hi]) if hi < len(pos) else n
+            cut = int(pos[lo:hi][np.argmin(np.abs(pos[lo:hi] - target))]) if lo < hi else 0
+            if lo == hi and out and out[-1][2]:
                 # a stretch that fits a piece by itself: less overlap rather than a torn stretch
-                fit = pos[(pos >= nxt - limit) & (pos <= end)] if out and out[-1][2] else pos[:0]
-                if len(fit):
-                    start = int(fit[0])
+                nxt = int(pos[hi]) if hi < len(pos) else n
+                x, y = np.searchsorted(pos, [nxt - limit, end + 1])
+                if x < y:
+                    start = int(pos[x])
                     if nxt == n:
-                        i -= 1
-                        if k is not None and i + 1 < k:
-                            k = i + 1
-                        continue
+                        out.append((start, n, True))
+                        break
                     cut = nxt
         natural = cut > 0
         if not natural:
-            cut = _forced(text, max(target, least), least)
+            cut = _forced(text, target, least)
         out.append((start, cut, natural))
-        end = cut
         lo, hi = np.searchsorted(pos, [cut - overlap, cut - overlap + overlap // 3 + 1])
         start = int(pos[lo]) if lo < hi else cut - overlap
         while lo == hi and start < cut - overlap + overlap // 3 and unicodedata.category(text[start]) in ("Mn", "Mc"):
             start += 1
         while start < cut and text[start].isspace() and start < cut - overlap + overlap // 3:
             start += 1
-        start = max(start, out[-1][0] + 1)
-
-
-def pieces(text: str, limit: int = 512, overlap: int = 64) -> tuple[list[tuple[int, int, bool]], bool]:
-    """Pieces (start, end, end is natural) of a trimmed text, and whether a stretch longer than ``limit`` forces cuts.
-
-    The least number of pieces comes first, with equal-length targets; each target moves to the strongest boundary near
-    it. If a limit fails, one more piece is tried.
-    """
-    n = len(text)
-    if n <= limit:
-        return [(0, n, True)], False
-    pos, score = boundaries(text)
-    forced = longest_stretch(pos, n) > limit
-    least = 1 + -(-(n - limit) // (limit - overlap))
-    for k in range(least, least + ATTEMPTS):
-        if (found := _place(text, pos, score, k, limit, overlap)) is not None:
-            return found, forced
-    return _place(text, pos, score, None, limit, overlap), forced
+        starts.append(max(start, out[-1][0] + 1))
+    return out, longest_stretch(pos, n) > limit
 
 
 def split_oversized(df: DataFrame, keys: dict[str, Column], text: str, limit: int = 512, overlap: int = 64) -> DataFrame:

@@ -108,6 +108,28 @@ def test_pieces_of_random_texts():
         assert forced == (n > 512)
 
 
+@pytest.mark.parametrize("size", [2_000, 50_000, 200_000, 2_000_000])
+def test_pieces_of_long_texts_are_balanced(size):
+    rnd = random.Random(size)
+    text = ""
+    words = [w for t in TEXTS.values() for w in t.split()]
+    parts = []
+    while sum(map(len, parts)) < size:
+        parts.append(" ".join(rnd.choice(words) for _ in range(rnd.randrange(4, 25))) + rnd.choice([". ", "? ", ".\n", ".\n\n"]))
+    text = "".join(parts).strip()
+    found, _ = check_pieces(text)
+    least = 1 + -(-(len(text) - 512) // 448)
+    mean = sum(e - s for s, e, _ in found) / len(found)
+    assert len(found) <= 1.12 * least + 1 and min(e - s for s, e, _ in found) > 0.6 * mean
+
+
+def test_pieces_where_boundaries_are_rare():
+    rnd = random.Random(1)
+    for gaps in ((500, 512), (1, 511), (300, 300), (512, 1, 1), (513, 2)):
+        text = " ".join("x" * rnd.choice(gaps) for _ in range(200))
+        check_pieces(text)
+
+
 def test_split_rows(spark):
     rows = [(1, "  " + "ab " * 300 + "\n"), (2, "short"), (3, None), (4, ""), (5, "y" * 600), (1, "  " + "ab " * 300 + "\n"), (6, " " * 900)]
     df = spark.createDataFrame([(*r, "p") for r in rows], "id int, text string, piece string")
