@@ -8,11 +8,12 @@ the changed pairs and one compaction for all rows. No shuffle and no driver-side
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +21,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The word pattern of the vocabulary (fixed value, published with it).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
-#: Cells of one matrix; words above LONG bytes are merged one by one.
+#: Cells of one matrix; words above LONG bytes are merged by themselves, to the same ids.
 CELLS, LONG = 1 << 21, 2048
 #: Words kept per worker; beyond, the memory of words starts anew.
 WORDS = 200_000
@@ -29,9 +30,8 @@ WORDS = 200_000
 class Bpe:
     """Ranks, and a hashed table of every mergeable pair (id, id) to the merged id."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, lines: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line.strip())}
         r = self.ranks
         self.byte = np.array([r[bytes([i])] for i in range(256)], np.int32)
         keys, values = [], []
@@ -114,9 +114,11 @@ class Bpe:
             rank[r[right], p[right]] = self.pair(ids[r[right], p[right]], ids[r[right], p[right] + 1])
 
     def _single(self, word: bytes) -> np.ndarray:
-        """A very long word: each round merges every occurrence of the minimum-rank pair, from the left, without overlap.
+        """A very long word: a round merges the occurrences of the minimum-rank pair together, from the left, without overlap.
 
-        The outcome is that of merging the leftmost alone: a merge makes only pairs of higher rank.
+        The outcome is that of merging the leftmost alone round by round, whatever the vocabulary: a round ends with the
+        first occurrence whose merge makes a pair of lower rank, as that pair would come next. (Pairs that an occurrence
+        makes are those of its merged id with what stands left of it, merged already, and right of it, not merged yet.)
         """
         ids = self.byte[np.frombuffer(word, np.uint8)]
         rank = self.pair(ids[:-1], ids[1:])
@@ -126,6 +128,13 @@ class Bpe:
                 run = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])
                 begin = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
                 at = at[(np.arange(len(at)) - begin[run]) % 2 == 0]
+            if len(at) > 1:
+                new = np.full(len(at), best, np.int32)
+                before = np.where(at > 0, ids[at - 1], np.int32(-1))
+                before[1:][at[1:] == at[:-1] + 2] = best
+                behind = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], np.int32(-1))
+                lower = np.flatnonzero(np.minimum(self.pair(before, new), self.pair(new, behind)) < best)
+                at = at[: lower[0] + 1] if len(lower) else at
             ids = ids.copy()
             ids[at] = best
             keep = np.ones(len(ids), bool)
@@ -189,13 +198,24 @@ class Bpe:
 
 
 _LOADED: dict[str, Bpe] = {}
+_SENT: dict[tuple[str, str], Broadcast] = {}
+
 
+def vocabulary_file(spark: SparkSession, path: str) -> Callable[[], Bpe]:
+    """A function that gives a vocabulary's encoder on any worker; the file (under a megabyte) is read at the driver and sent once."""
+    context = spark.sparkContext
+    key = (context.applicationId, path)
+    if key not in _SENT:
+        with open(path, "rb") as f:
+            _SENT[key] = context.broadcast(f.read())
+    sent = _SENT[key]
 
-def shared(path: str) -> Bpe:
-    """The encoder of a vocabulary file, one a worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    def get() -> Bpe:
+        if path not in _LOADED:
+            _LOADED[path] = Bpe(sent.value)
+        return _LOADED[path]
+
+    return get
 
 
 #: Characters of text taken at once, so that long documents do not fill a worker.
@@ -222,8 +242,10 @@ def encode(df: DataFrame, keys: dict[str, Column], text: str, vocabulary: str =
     extra = T.StructField("n_tokens", T.LongType()) if counts else T.StructField("ids", T.ArrayType(T.IntegerType()))
     schema = T.StructType([f for f in d.schema.fields if f.name != "__text"] + [extra])
 
+    get = vocabulary_file(df.sparkSession, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = shared(vocabulary)
+        bpe = get()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
             others = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"]

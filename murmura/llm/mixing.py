@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmura.llm.bpe import VOCABULARY, encode, shared, slices
+from murmura.llm.bpe import VOCABULARY, encode, slices, vocabulary_file
 from murmura.session import cut
 
 #: Hashed features of the classifier, and the labelled documents it is trained on at most.
@@ -92,8 +92,10 @@ def soft_members(docs: DataFrame, key: str, text: str, source: str, model: Sourc
     """
     blind = docs.filter(F.col(source).isNull() & (F.col(text) != "")).select(F.col(key).alias("doc"), F.col(text).alias("t"))
 
+    get = vocabulary_file(docs.sparkSession, vocabulary)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = shared(vocabulary)
+        bpe = get()
         for b in batches:
             texts = b["t"].tolist()
             n = np.concatenate([np.diff(bpe.encode(texts[i:j])[1]) for i, j in slices(texts)]) if texts else np.zeros(0, np.int64)

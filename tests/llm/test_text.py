@@ -162,6 +162,31 @@ def test_tokens_equal_the_public_library(spark):
     assert counts[-1] == 0 and counts[1] == 2
 
 
+def test_long_words_equal_the_leftmost_merges_of_any_vocabulary():
+    """Also where a merge makes a pair of lower rank than its own, which trained vocabularies hardly have."""
+    import base64
+
+    rnd = random.Random(5)
+    for _ in range(60):
+        words = {a + b for a in "abc" for b in "abc"} | {"".join(rnd.choice("abc") for _ in range(rnd.randrange(2, 6))) for _ in range(25)}
+        order = [bytes([i]) for i in range(256)] + [w.encode() for w in rnd.sample(sorted(words), len(words))]
+        enc = bpe.Bpe(b"\n".join(base64.b64encode(w) + b" " + str(i).encode() for i, w in enumerate(order)))
+        ranks = {w: i for i, w in enumerate(order)}
+        for _ in range(10):
+            text = "".join(rnd.choice(["a", "b", "c", "ab", "abab"]) for _ in range(rnd.randrange(1, 60))).encode()
+            parts = [bytes([c]) for c in text]
+            while True:
+                best = min((ranks.get(x + y, 10**9), i) for i, (x, y) in enumerate(zip(parts, parts[1:]))) if len(parts) > 1 else (10**9, 0)
+                if best[0] == 10**9:
+                    break
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            want = [ranks[p] for p in parts]
+            assert enc._single(text).tolist() == want
+            out = [None]
+            enc._matrix([text], out, [0])
+            assert out[0].tolist() == want
+
+
 # --- sentences
 
 
