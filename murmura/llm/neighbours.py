@@ -24,8 +24,8 @@ BUCKET = 65_536
 TILE = 4_096
 #: Rows compared with a tile at once in the exact search.
 ROWS = 1_024
-#: Packed cosines may be this much too low for a candidate, about four standard errors.
-MARGIN = 0.07
+#: Standard errors by which a packed cosine may be too low for a candidate (those of both vectors add up).
+ERRORS = 3.0
 #: What a row is to a bucket.
 VISITS, LIVES = 1, 2
 #: Candidates a row, on average over a bucket, above which the bucket is ranked by exact cosines instead.
@@ -120,20 +120,33 @@ def cells(key: np.ndarray, own: np.ndarray, row: np.ndarray, ids: np.ndarray, ho
 
 
 def _pack(x: np.ndarray) -> np.ndarray:
-    """Vectors in 4 bits a dimension, relative to the largest entry: two entries a byte."""
+    """Unit vectors in 4 bits a dimension, relative to the largest entry, two entries a byte; last, what packing lost, in 1/255."""
     q = np.round(x / np.abs(x).max(1, keepdims=True) * 7).astype(np.int8) + 8
     if q.shape[1] % 2:
         q = np.concatenate([q, np.full((len(q), 1), 8, np.int8)], 1)
     q = q.astype(np.uint8)
-    return q[:, ::2] << 4 | q[:, 1::2]
+    packed = q[:, ::2] << 4 | q[:, 1::2]
+    lost = np.sqrt(((_entries(packed)[:, : x.shape[1]] - x) ** 2).sum(1))
+    return np.concatenate([packed, np.minimum(np.ceil(lost * 255), 255).astype(np.uint8)[:, None]], 1)
 
 
-def _unpack(b: np.ndarray) -> np.ndarray:
-    """Unit vectors of packed ones; their cosines are off by about 0.02."""
-    x = np.stack([b >> 4, b & 15], 2).reshape(len(b), -1).astype(np.float32) - 8
+def _entries(packed: np.ndarray) -> np.ndarray:
+    x = np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1).astype(np.float32) - 8
     return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
 
 
+def _unpack(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Visitors' and residents' sides of packed vectors: their product is a cosine, raised by what packing may have cost.
+
+    With x = x' + e (packed and lost), x.y = x'.y' + x'.f + e.y' + e.f. The last is |e||f| at most, for vectors whose lost
+    parts agree (a few large entries, many small ones); the others are products with a lost part in no special direction,
+    of standard error |e| or |f| over the root of the dimension.
+    """
+    x, lost = _entries(b[:, :-1]), b[:, -1:].astype(np.float32) / 255
+    share, one = lost * np.float32(ERRORS / x.shape[1] ** 0.5), np.ones_like(lost)
+    return np.concatenate([x, lost, share, one], 1), np.concatenate([x, lost, one, share], 1)
+
+
 def _unit(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets of a list column as numpy arrays."""
     col = batch.column(batch.schema.get_field_index(name))
@@ -206,7 +219,7 @@ def _visits(classes: DataFrame, hot: dict[int, tuple[np.ndarray, np.ndarray, np.
     return classes.select("rep", "unit").mapInArrow(run, "key bigint, role int, who binary" if vectors else "dim int, key bigint, own boolean")
 
 
-def _meet(keys: np.ndarray, role: np.ndarray, ids: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _meet(keys: np.ndarray, role: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (visitor, resident) of the buckets in one sorted block, of one dimension; keys of buckets of too many."""
     out_a, out_b, dense = [], [], []
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -221,7 +234,7 @@ def _meet(keys: np.ndarray, role: np.ndarray, ids: np.ndarray, x: np.ndarray, le
             v = visitors[a : a + TILE]
             for c in range(0, len(home), TILE):
                 r = home[c : c + TILE]
-                close = (x[v] @ x[r].T >= least) & (ids[v][:, None] != ids[r][None, :])
+                close = (x[v] @ y[r].T >= least) & (ids[v][:, None] != ids[r][None, :])
                 count += np.count_nonzero(close)
                 if count > MOST * (e - s):
                     break
@@ -351,8 +364,7 @@ def _pairs(visits: DataFrame, least: float) -> DataFrame:
                 offs = np.frombuffer(sub.buffers()[1], np.int32)[sub.offset : sub.offset + len(sub) + 1]
                 raw = np.frombuffer(sub.buffers()[2], np.uint8)[offs[0] : offs[-1]].reshape(len(sub), n)
                 ids = np.ascontiguousarray(raw[:, :8]).view(">i8").ravel().astype(np.int64)
-                x = _unpack(raw[:, 8:])
-                a, b, dense = _meet(key[m], role[m], ids, x, least)
+                a, b, dense = _meet(key[m], role[m], ids, *_unpack(raw[:, 8:]), least)
                 none = pa.nulls(len(a), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b)], ["key", "a", "b"])
                 none = pa.nulls(len(dense), pa.int64())
@@ -411,7 +423,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | Non
             blocks = [(r.key, -(-r.v // bucket), -(-max(r.r, 1) // bucket)) for r in crowded if r.dim == dim]
             hot[dim] = tuple(np.array(z, np.int64) for z in zip(*blocks))
     sent = _visits(classes, hot, conf, True)
-    met = cut(_pairs(sent.repartition("key").sortWithinPartitions("key"), sure - MARGIN))
+    met = cut(_pairs(sent.repartition("key").sortWithinPartitions("key"), sure))
     dense = met.filter("key IS NOT NULL").select("key").distinct()
     near = met.filter("key IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -115,6 +115,20 @@ def test_crowding_loses_no_neighbour(spark):
     assert recall(whole, brute(rows, 5, 0.85)) > 0.9
 
 
+def test_packing_loses_no_pair_of_uneven_vectors():
+    rng = np.random.default_rng(4)
+    for spike in (1, 4, 18, 60):
+        x, z = rng.standard_normal((2, 3_000, 64))
+        x[:, 0] = spike * np.sign(x[:, 0])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(1)[:, None] * x
+        c = rng.uniform(0.85, 0.9, (3_000, 1))
+        y = c * x + np.sqrt(1 - c * c) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        true = (x * y).sum(1)
+        raised = (neighbours._unpack(neighbours._pack(x.astype(np.float32)))[0] * neighbours._unpack(neighbours._pack(y.astype(np.float32)))[1]).sum(1)
+        assert (raised[true >= 0.85] < 0.85).mean() < 0.002, spike
+
+
 def test_no_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([], VEC), "id", "v").count() == 0
 
