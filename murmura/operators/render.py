@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.functions.text import is_blank, meeting_label, short_timestamp, timestamp, utrim, yaml_scalar
+from murmura.operators.shape import paragraphs as group
 
 #: Export formats and their file extensions (fixed values).
 FORMATS = {"txt": "txt", "text": "txt", "srt": "srt", "vtt": "vtt", "md": "md", "markdown": "md"}
@@ -85,6 +86,64 @@ def markdown(meetings: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return m.select("id", F.concat("front", F.lit("\n# "), title, F.lit("\n\n"), summary, F.coalesce("document", F.lit("")), F.lit("\n")).alias("document"))
 
 
+def labelled(text: Column, speaker: Column) -> Column:
+    """A text with its speaker's number from 1 before it, if it has one."""
+    return F.when(speaker.isNotNull(), F.concat(F.lit("Speaker "), (speaker + 1).cast("string"), F.lit(": "), text)).otherwise(text)
+
+
+def srt(segments: DataFrame, key: str = "meeting_id", order: list[str] | None = None) -> DataFrame:
+    """(key, document): SubRip of the segments that are not blank, numbered from 1, with speakers."""
+    kept = segments.filter(~is_blank(F.col("text")))
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*(order or ["start_ms", "idx"])))
+    span = F.concat(timestamp(F.col("start_ms"), ","), F.lit(" --> "), timestamp(F.col("end_ms"), ","))
+    line = F.concat(F.col("__n").cast("string"), F.lit("\n"), span, F.lit("\n"), labelled(utrim(F.col("text")), F.col("speaker")), F.lit("\n\n"))
+    return _document(kept.withColumn("__n", n).withColumn("__line", line), key, "__n", "__line", "")
+
+
+def vtt(segments: DataFrame, key: str = "meeting_id", order: list[str] | None = None) -> DataFrame:
+    """(key, document): WebVTT of the segments that are not blank, under its header, words timed where there are any, with speakers."""
+    kept = segments.filter(~is_blank(F.col("text")))
+    words = F.col("words") if "words" in segments.columns else F.lit(None).cast("array<struct<text:string,start_ms:bigint,end_ms:bigint>>")
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*(order or ["start_ms", "idx"])))
+    span = F.concat(timestamp(F.col("start_ms"), "."), F.lit(" --> "), timestamp(F.col("end_ms"), "."))
+    line = F.concat(span, F.lit("\n"), labelled(vtt_body(F.col("text"), words), F.col("speaker")), F.lit("\n\n"))
+    return _document(kept.withColumn("__n", n).withColumn("__line", line), key, "__n", "__line", "", head=F.lit("WEBVTT\n\n"))
+
+
+def documents(segments: DataFrame, name: str, meetings: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
+    """(meeting_id, document) in the format ``name`` (see FORMATS): segments in order of start, then of arrival (``order``).
+
+    Markdown takes title, engine, language and summary from ``meetings``, none without. An unknown format is an error.
+    """
+    kind, order = extension(name), order or ["start_ms", "idx"]
+    if kind is None:
+        raise ValueError(f"unknown format: {name}")
+    if kind in ("srt", "vtt"):
+        return (srt if kind == "srt" else vtt)(segments, order=order)
+    blocks = group(segments, "meeting_id", order)
+    if kind == "txt":
+        return txt(blocks)
+    if meetings is None:
+        none = F.lit(None).cast("string")
+        meetings = segments.select(F.col("meeting_id").alias("id")).distinct().select("id", *[none.alias(c) for c in ("title", "engine", "language", "summary")])
+    return markdown(meetings, blocks).withColumnRenamed("id", "meeting_id")
+
+
+def export(docs: DataFrame, path: str, name: str) -> int:
+    """Writes documents (meeting_id, document) below ``path``, one folder ``meeting_id=...`` with one file each; how many.
+
+    The files hold the documents as they are; lines end as written. Nothing to write is an error, as an unknown format is.
+    """
+    if extension(name) is None:
+        raise ValueError(f"unknown format: {name}")
+    n = docs.count()
+    if not n:
+        raise ValueError("nothing to export")
+    # the text sink ends each row with a line break, which documents have already
+    docs.select("meeting_id", F.regexp_replace("document", r"\n\z", "").alias("value")).repartition("meeting_id").write.mode("overwrite").partitionBy("meeting_id").text(path)
+    return n
+
+
 def live_lines(segments: DataFrame) -> DataFrame:
     """(meeting_id, start_ms, id, line) of final segments: time, label and text."""
     label = F.coalesce(meeting_label(F.col("source"), F.col("speaker")), F.lit("Speaker"))

@@ -150,9 +150,11 @@ def merge_segments(df: DataFrame, key: str, order: str) -> DataFrame:
 def rolling_context(df: DataFrame, key: str, order: str, text: str, chars: int = 224) -> DataFrame:
     """``df`` with ``context``: the last ``chars`` characters of the texts so far, joined by spaces, before each row.
 
-    A row carries at most ``chars`` characters from at most as many rows before it, so the window is bounded.
+    Blank texts add nothing, however many there are in a row. The texts with content are numbered; a row looks back over
+    as many of them as can fill ``chars``, so it holds a bounded number of texts.
     """
     t = F.when(~is_blank(F.col(text)), utrim(F.col(text)))
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(chars // 2 + 1), -1)
-    joined = F.array_join(F.collect_list(t).over(w), " ")
-    return df.withColumn("context", F.when(F.char_length(joined) > chars, F.substring(joined, -chars, chars)).otherwise(joined))
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    d = df.withColumn("__n", F.count(t).over(before))
+    joined = F.array_join(F.collect_list(t).over(Window.partitionBy(key).orderBy("__n").rangeBetween(-(chars // 2 + 1), -1)), " ")
+    return d.withColumn("context", F.when(F.char_length(joined) > chars, F.substring(joined, -chars, chars)).otherwise(joined)).drop("__n")

@@ -91,9 +91,15 @@ def high_pass(samples: pd.Series, rate: pd.Series) -> pd.Series:
         x = np.asarray(x, float)
         rc, dt = 1 / (2 * np.pi * 70.0), 1 / r
         a = rc / (rc + dt)
-        y = np.zeros(len(x))
-        for i in range(1, len(x)):
-            y[i] = a * (y[i - 1] + x[i] - x[i - 1])
+        step, y = a * np.diff(x, prepend=x[0]), np.empty(len(x))
+        # y(i) = a y(i-1) + step(i), in blocks short enough that powers of a stay far from the smallest numbers
+        block = int(max(1, min(4096, 30 / max(-np.log(a), 1e-9))))
+        power, last = a ** np.arange(1, block + 1), 0.0
+        for i in range(0, len(x), block):
+            part = step[i : i + block]
+            p = power[: len(part)]
+            y[i : i + block] = p * (last + np.cumsum(part / p))
+            last = y[min(i + block, len(x)) - 1]
         out.append(y)
     return pd.Series(out)
 
@@ -106,40 +112,97 @@ def lowpass_taps(rate_in: int, rate_out: int, taps: int = 63) -> np.ndarray:
     return h / h.sum()
 
 
-def resample_stream(frames_: DataFrame, key: str, order: str, samples: str, rate_in: int, rate_out: int) -> DataFrame:
-    """(key, order, samples): frames low-passed with the history of the frames before, then thinned to the lower rate."""
+def _linear(x: np.ndarray, rate_in: int, rate_out: int) -> np.ndarray:
+    """:func:`resample` of one frame."""
+    n = int(np.floor(len(x) * rate_out / rate_in + 0.5)) if rate_in else 0
+    at = np.arange(n) * rate_in / rate_out
+    lo = np.minimum(at.astype(int), max(len(x) - 1, 0))
+    return x[lo] + (x[np.minimum(lo + 1, len(x) - 1)] - x[lo]) * (at - lo) if n and len(x) else np.zeros(0)
+
+
+def resample_stream(frames_: DataFrame, key: str, order: str, samples: str, rate: str, rate_out: int = 16_000) -> DataFrame:
+    """(key, order, samples): frames at the rate in column ``rate`` brought to ``rate_out``, each by itself but for the filter.
+
+    Frames of a higher rate pass a low pass that remembers the samples before, so frames join without clicks; a change of
+    rate begins it anew. Frames of the same or a lower rate are interpolated only.
+    """
     from murmura.operators.shape import stream_fold
 
-    taps = lowpass_taps(rate_in, rate_out)
-    d = frames_.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(samples).alias("x"))
+    d = frames_.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(samples).alias("x"), F.col(rate).cast("int").alias("r"))
 
     def step(s: dict, row: tuple):
-        x = np.concatenate([s["tail"], np.asarray(row[2], float)])
-        y = np.convolve(x, taps, "valid")
-        s["tail"] = x[-(len(taps) - 1) :]
-        at = np.arange(s["phase"], len(y), rate_in / rate_out)
-        s["phase"] = (at[-1] + rate_in / rate_out if len(at) else s["phase"]) - len(y)
-        lo = np.floor(at).astype(int)
-        yield row[0], row[1], (y[lo] + (y[np.minimum(lo + 1, len(y) - 1)] - y[lo]) * (at - lo)).tolist() if len(at) else []
+        k, o, x, r = row
+        x = np.asarray(x if x is not None else [], float)
+        if r and r > rate_out and len(x):
+            if s["rate"] != r:
+                s["rate"], s["taps"] = r, lowpass_taps(r, rate_out)
+                s["tail"] = np.zeros(len(s["taps"]) - 1)
+            whole = np.concatenate([s["tail"], x])
+            x, s["tail"] = np.convolve(whole, s["taps"][::-1], "valid"), whole[-(len(s["taps"]) - 1) :]
+        yield k, o, _linear(x, r or 0, rate_out).tolist()
 
     kinds = dict(d.dtypes)
-    out = stream_fold(d, ["k"], ["o"], f"k {kinds['k']}, o {kinds['o']}, x array<double>", lambda: {"tail": np.zeros(len(taps) - 1), "phase": 0.0}, step, lambda k, s: iter(()))
+    out = stream_fold(d, ["k"], ["o"], f"k {kinds['k']}, o {kinds['o']}, x array<double>", lambda: {"rate": 0, "taps": None, "tail": None}, step, lambda k, s: iter(()))
     return out.toDF(key, order, samples)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def window_cuts(samples: pd.Series, rate: pd.Series) -> pd.Series:
-    """Cuts near every 30 s, each within half a second of its target at the quietest 20 ms, ties to the earliest."""
+def window_bounds(x: np.ndarray, target: int, radius: int, frame: int = 320) -> list[tuple[int, int]]:
+    """Windows (start, end) that tile the samples, of about ``target`` each, cut where the quietest frame near the target begins.
+
+    Frames are tried at half-frame steps from ``radius`` before the target to ``radius`` behind it; ties go to the
+    earliest. What is left within a window and a radius is the last one.
+    """
+    n, start, out = len(x), 0, []
+    if not n:
+        return []
+    if target <= 0 or n <= target:
+        return [(0, n)]
+    while start < n:
+        ideal = start + target
+        if ideal + radius >= n:
+            out.append((start, n))
+            break
+        at = np.arange(max(ideal - radius, 0), min(ideal + radius, max(n - frame, 0)) + 1, max(1, frame // 2))
+        power = np.square(x[at[:, None] + np.arange(frame)[None, :]]).sum(1) if len(at) else np.zeros(0)
+        cut = min(max(int(at[int(power.argmin())]) if len(at) else ideal, start + frame), n)
+        out.append((start, cut))
+        start = cut
+    return out
+
+
+def windows(clips: DataFrame, key: str, samples: str, rate: str, seconds: int = 30) -> DataFrame:
+    """(key, window, start, samples): clips cut into windows of about ``seconds`` at quiet points within half a second.
+
+    ``start`` is the window's first sample. Null and empty clips give none.
+    """
+    d = clips.filter(F.size(samples) > 0).select(F.col(key).alias("k"), F.col(samples).alias("x"), F.col(rate).cast("int").alias("r"))
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, i, s, x[s:e]) for k, x, r in b.itertuples(index=False, name=None) for i, (s, e) in enumerate(window_bounds(np.asarray(x, float), seconds * r, r // 2))]
+            yield pd.DataFrame(rows, columns=["k", "window", "start", "samples"])
+
+    return d.mapInPandas(run, f"k {dict(d.dtypes)['k']}, window int, start bigint, samples {dict(d.dtypes)['x']}").withColumnRenamed("k", key)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def normalize(samples: pd.Series, rate: pd.Series) -> pd.Series:
+    """Clips through the high pass, then at the level of speech; what has no speech stays as the filter left it.
+
+    The constants are those of :func:`gated_rms` and :func:`apply_gain`. Null and empty clips stay, as with a rate of 0.
+    """
     out = []
-    for x, r in zip(samples, rate):
-        x, cuts, start = np.asarray(x if x is not None else [], float), [], 0
-        size, slack, n = int(30 * r), int(r // 2), max(1, int(r // 50))
-        while len(x) - start > size + slack:
-            at = np.arange(start + size - slack, start + size + slack - n + 1, max(1, n // 2))
-            power = [np.square(x[i : i + n]).sum() for i in at]
-            start = int(at[int(np.argmin(power))] + n // 2)
-            cuts.append(start)
-        out.append(cuts)
+    for x, r, flat in zip(samples, rate, high_pass.func(samples, rate)):
+        if x is None or not len(x) or not r:
+            out.append(x)
+            continue
+        n = max(1, int(r) // 50)
+        power = np.array([np.mean(np.square(flat[i : i + n])) for i in range(0, len(flat), n)])
+        if power.max() > 1e-6:
+            gain = min(0.1 / np.sqrt(power[power >= power.max() * 3.16e-3].mean()), 10.0)
+            top = np.abs(flat).max()
+            flat = flat * (0.891 / top if top * gain > 0.891 else gain)
+        out.append(flat)
     return pd.Series(out)
 
 
@@ -157,4 +220,19 @@ def pool(tokens: Column, mask: Column, how: str) -> Column:
 
 def position_ids(mask: Column) -> Column:
     """Places of the tokens: how many unmasked ones come before each."""
-    return F.transform(mask, lambda m, i: F.aggregate(F.slice(mask, 1, i), F.lit(0).cast("bigint"), lambda s, x: s + x))
+    blocks = F.sequence(F.lit(0), F.greatest(((F.size(mask) - 1) / 64).cast("int"), F.lit(0)))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda s, v: s + v)
+    # sums of blocks of 64 first, so that a place costs one block and not all that comes before it
+    heads = F.aggregate(F.transform(blocks, lambda b: total(F.slice(mask, b * 64 + 1, 64))), F.array(F.lit(0).cast("bigint")), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    inside = F.flatten(F.transform(blocks, lambda b: F.transform(F.slice(mask, b * 64 + 1, 64), lambda m, i: F.element_at(heads, b + 1) + total(F.slice(mask, b * 64 + 1, i)))))
+    return F.when(F.size(mask) > 0, inside).when(mask.isNotNull(), F.array().cast("array<bigint>"))
+
+
+def frame_count(samples: Column, channels: Column) -> Column:
+    """Instants of an interleaved frame."""
+    return (F.size(samples) / F.greatest(channels, F.lit(1))).cast("bigint")
+
+
+def frame_ms(samples: Column, channels: Column, rate: Column) -> Column:
+    """Length of an interleaved frame in milliseconds; 0 without a rate."""
+    return F.when(rate > 0, F.floor(frame_count(samples, channels) * 1000 / rate)).otherwise(0).cast("bigint")

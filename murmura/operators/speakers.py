@@ -106,18 +106,40 @@ def to_original(points: DataFrame, gates: DataFrame, key: str, at: str, at_end:
     """``points`` with ``original_ms``: the time ``at`` on the clock without pauses, mapped back.
 
     A start takes the last utterance that begins at or before it, an end the last that begins before it, else the
-    first; offsets stop at the utterance's duration. Keys without utterances keep their times. The as-of lookup is one
-    window over points and utterances together, no range join.
+    first; offsets stop at the utterance's duration. Keys without utterances keep their times, and null times stay null.
+    The as-of lookup is one window over points and utterances together; rows pass it whole, so none needs a number.
     """
-    p = points.withColumn("__n", F.monotonically_increasing_id())
-    side = p.select(F.col(key).alias("k"), F.col(at).cast("bigint").alias("t"), F.lit(1 if not at_end else -1).alias("turn"), "__n", F.lit(None).cast("struct<c:bigint,o:bigint,d:bigint>").alias("g"))
-    gate = gates.select(F.col(key).alias("k"), F.col("compressed_ms").cast("bigint").alias("t"), F.lit(0).alias("turn"), F.lit(None).cast("bigint").alias("__n"), F.struct(F.col("compressed_ms").cast("bigint").alias("c"), F.col("original_ms").cast("bigint").alias("o"), F.col("duration_ms").cast("bigint").alias("d")).alias("g"))
-    w = Window.partitionBy("k").orderBy("t", "turn")
-    both = side.unionByName(gate)
-    both = both.withColumn("last", F.last("g", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("first", F.first("g", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    kind = "struct<c:bigint,o:bigint,d:bigint>"
+    gate = gates.select(F.col(key).alias("k"), F.struct(F.col("compressed_ms").cast("bigint").alias("c"), F.col("original_ms").cast("bigint").alias("o"), F.col("duration_ms").cast("bigint").alias("d")).alias("g"))
+    row = F.struct(*[F.col(c) for c in points.columns])
+    side = points.select(F.col(key).alias("k"), F.col(at).cast("bigint").alias("t"), F.lit(1 if not at_end else -1).alias("turn"), row.alias("row"), F.lit(None).cast(kind).alias("g"))
+    mark = gate.select("k", F.col("g.c").alias("t"), F.lit(0).alias("turn"), F.lit(None).cast(side.schema["row"].dataType).alias("row"), "g")
+    w = Window.partitionBy("k").orderBy("t", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    both = side.unionByName(mark).withColumn("last", F.last("g", ignorenulls=True).over(w)).filter("row IS NOT NULL")
+    first = gate.groupBy("k").agg(F.min(F.struct("g.c", "g.o", "g.d")).alias("first"))
+    found = both.join(first.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")), "left")
     g = F.coalesce("last", "first")
-    found = both.filter("__n IS NOT NULL").select("__n", F.when(g.isNull(), F.col("t")).otherwise(g.o + F.least(F.greatest(F.col("t") - g.c, F.lit(0)), g.d)).alias("original_ms"))
-    return p.join(found, "__n").drop("__n")
+    original = F.when(g.isNull(), F.col("t")).when(F.col("t").isNotNull(), g.o + F.least(F.greatest(F.col("t") - g.c, F.lit(0)), g.d))
+    return found.select("row.*", original.alias("original_ms"))
+
+
+def remap_segments(segments: DataFrame, gates: DataFrame, key: str) -> DataFrame:
+    """``segments`` (start_ms, end_ms, words) with all their times mapped back by the utterances of their key.
+
+    The utterances of a key go into one row as an array, so a key is a clip whose utterances fit a row.
+    """
+    each = F.struct(F.col("compressed_ms").cast("bigint").alias("compressed_ms"), F.col("original_ms").cast("bigint").alias("original_ms"), F.col("duration_ms").cast("bigint").alias("duration_ms"))
+    by = gates.groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list(each)).alias("__gates"))
+    d = segments.join(by, F.col(key).eqNullSafe(F.col("__k")), "left")
+    g = F.col("__gates")
+    word = lambda w: F.struct(w.text.alias("text"), map_array(w.start_ms, g).alias("start_ms"), map_array(w.end_ms, g, True).alias("end_ms"))
+    d = d.withColumn("start_ms", map_array(F.col("start_ms"), g)).withColumn("end_ms", map_array(F.col("end_ms"), g, True))
+    return d.withColumn("words", F.transform("words", word)).drop("__k", "__gates")
+
+
+def renumbered(parts: DataFrame, key: str, order: list[str], name: str = "id") -> DataFrame:
+    """``parts`` numbered from 0 per key in ``order``, as ``name``: a cut segment is several rows, each with an id of its own."""
+    return parts.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("bigint"))
 
 
 def map_array(t: Column, gates: Column, at_end: bool = False) -> Column:
@@ -125,4 +147,4 @@ def map_array(t: Column, gates: Column, at_end: bool = False) -> Column:
     ok = lambda g: g.compressed_ms < t if at_end else g.compressed_ms <= t
     fits = F.filter(gates, ok)
     g = F.when(F.size(fits) > 0, F.element_at(fits, -1)).otherwise(F.get(gates, F.lit(0)))
-    return F.when(gates.isNull() | (F.size(gates) == 0), t).otherwise(g.original_ms + F.least(F.greatest(t - g.compressed_ms, F.lit(0)), g.duration_ms))
+    return F.when(gates.isNull() | (F.size(gates) == 0), t).when(t.isNotNull(), g.original_ms + F.least(F.greatest(t - g.compressed_ms, F.lit(0)), g.duration_ms))

@@ -1,7 +1,7 @@
 """The note store: meetings, segments and chunks as versioned Parquet tables with replace-by-key writes.
 
-A write makes a new version directory and then moves a pointer file, so readers see whole versions and a failed write
-leaves the old one. One writer at a time.
+A write makes a new version directory and then adds a numbered pointer file, so readers see whole versions and a failed
+write leaves the old one. One writer at a time. The tables of the last few pointers stay for readers that began earlier.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from murmura.operators.shape import chunk_texts
 MEETING = T.StructType([T.StructField(n, t) for n, t in (("id", T.StringType()), ("title", T.StringType()), ("started_at_ms", T.LongType()), ("duration_ms", T.LongType()), ("language", T.StringType()), ("engine", T.StringType()), ("summary", T.StringType()), ("segment_count", T.LongType()))])
 SEGMENT = T.StructType([T.StructField(n, t) for n, t in (("meeting_id", T.StringType()), ("idx", T.LongType()), ("start_ms", T.LongType()), ("end_ms", T.LongType()), ("speaker", T.LongType()), ("source", T.StringType()), ("text", T.StringType()))])
 CHUNK = T.StructType([T.StructField("meeting_id", T.StringType()), T.StructField("idx", T.LongType()), T.StructField("text", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+#: Pointers, with their tables, that are kept behind the last.
+KEEP = 3
 #: Tables by the schema version that added them.
 VERSIONS = [{"meeting": MEETING, "segment": SEGMENT}, {"chunk": CHUNK}]
 
@@ -67,6 +69,20 @@ def segment_dto(live: DataFrame) -> DataFrame:
     return live.select("meeting_id", "seq", "id", "text", "start_ms", "end_ms", (F.col("status") == "Final").alias("is_final"), F.coalesce(names[source_label(F.col("source"))], F.lit("Unknown")).alias("source"), "speaker", "aux_text")
 
 
+#: The column of each table that names its meeting.
+KEYS = {"meeting": "id", "segment": "meeting_id", "chunk": "meeting_id"}
+
+
+def without_note(tables: dict[str, DataFrame], note: str) -> dict[str, DataFrame]:
+    """The tables without a meeting, its segments and chunks; rows of no meeting stay."""
+    return {n: d.filter(~F.col(KEYS[n]).eqNullSafe(note)) for n, d in tables.items()}
+
+
+def notes(meetings: DataFrame) -> DataFrame:
+    """All meetings with their columns, the latest first, ties by id."""
+    return meetings.select(*MEETING.names).orderBy(F.desc("started_at_ms"), "id")
+
+
 class NoteStore:
     """Meetings, segments and chunks below a directory."""
 
@@ -78,22 +94,45 @@ class NoteStore:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
+    def _pointers(self) -> list[int]:
+        """Numbers of the whole pointer files, ascending."""
+        if not self._fs.exists(self._path()):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path())]
+        return sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-") and n.removeprefix("current-").isdigit())
+
     def _pointer(self) -> dict[str, str]:
-        p = self._path("current.txt")
-        if not self._fs.exists(p):
+        numbers = self._pointers()
+        if not numbers:
             return {}
-        rows = self.spark.read.text(f"{self.root}/current.txt").collect()
+        rows = self.spark.read.text(f"{self.root}/current-{numbers[-1]:012d}").collect()
         return dict(r.value.split("\t") for r in rows if r.value)
 
     def _commit(self, pointer: dict[str, str]) -> None:
-        fresh = self._path(f"_next-{uuid.uuid4().hex}")
+        """Adds a pointer file with the next number, whole from the moment of its rename; the highest number holds.
+
+        No pointer is deleted before a higher one is there, so a crash at any point leaves the tables as they were or as
+        they become. Of another writer's equal number one rename fails.
+        """
+        numbers = self._pointers()
+        fresh, to = self._path(f"_next-{uuid.uuid4().hex}"), self._path(f"current-{(numbers[-1] if numbers else 0) + 1:012d}")
         out = self._fs.create(fresh, True)
         out.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(pointer.items())).encode()))
         out.close()
-        current = self._path("current.txt")
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        self._fs.rename(fresh, current)
+        if self._fs.exists(to) or not self._fs.rename(fresh, to):
+            self._fs.delete(fresh, False)
+            raise RuntimeError("another writer committed first")
+        for n in numbers[:-KEEP]:
+            self._drop(n)
+
+    def _drop(self, number: int) -> None:
+        """Removes an old pointer, and its tables that no later pointer names."""
+        read = lambda n: dict(r.value.split("\t") for r in self.spark.read.text(f"{self.root}/current-{n:012d}").collect() if r.value)
+        later = {v for n in self._pointers() if n > number for v in read(n).values()}
+        gone = [v for v in read(number).values() if v not in later]
+        self._fs.delete(self._path(f"current-{number:012d}"), False)
+        for v in gone:
+            self._fs.delete(self._path(v), True)
 
     def _write(self, **tables: DataFrame) -> None:
         pointer = self._pointer()
@@ -106,6 +145,8 @@ class NoteStore:
     def migrate(self) -> None:
         """Adds the tables of newer schema versions; nothing is lost, and a second call does nothing."""
         have = self._pointer()
+        if not have and self._fs.exists(self._path()) and any(f.isDirectory() and f.getPath().getName().split("-")[0] in {n for v in VERSIONS for n in v} for f in self._fs.listStatus(self._path())):
+            raise RuntimeError(f"{self.root} has tables but no pointer file; restore one rather than starting empty")
         new = {n: s for v in VERSIONS for n, s in v.items() if n not in have}
         if new:
             self._write(**{n: self.spark.createDataFrame([], s) for n, s in new.items()})
@@ -128,7 +169,7 @@ class NoteStore:
         """Deletes a meeting with its segments and chunks; whether it was there."""
         there = not self.table("meeting").filter(F.col("id") == note).isEmpty()
         if there:
-            self._write(**{n: self.table(n).filter(~F.col(k).eqNullSafe(note)) for n, k in (("meeting", "id"), ("segment", "meeting_id"), ("chunk", "meeting_id"))})
+            self._write(**without_note({n: self.table(n) for n in KEYS}, note))
         return there
 
     def count(self) -> int:

@@ -8,21 +8,97 @@ from pyspark.sql import functions as F
 from murmura.functions.text import is_blank, utrim
 
 
-def server_event(json: Column) -> Column:
-    """Struct (kind, text) of a realtime message by its type; unreadable or unknown ones are 'Other'."""
+def _event(kind: str, text: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), (F.lit("") if text is None else F.coalesce(text, F.lit(""))).alias("text"))
+
+
+def server_event(json: Column, session: Column | str = "transcription") -> Column:
+    """Struct (kind, text) of a realtime message, by its type and the kind of the session.
+
+    ``session`` is 'transcription', 'translation', 'model' or 'assist'. What an assist session's model says is its text;
+    in the others it is the second text beside the transcript. A translation's text comes first, the original second.
+    Messages that are no JSON object, have another type or a value of the wrong kind are 'Other'.
+    """
     kind, get = F.get_json_object(json, "$.type"), lambda p: F.get_json_object(json, p)
-    is_ = lambda *ends: kind.rlike("(?:" + "|".join(ends) + ")$")
+    assist = (F.lit(session) if isinstance(session, str) else session) == "assist"
+    said = "conversation.item.input_audio_transcription."
     return (
-        F.when(is_(r"input_audio_transcription\.delta", r"output_text\.delta", r"translation\.delta"), F.struct(F.lit("Delta").alias("kind"), F.coalesce(get("$.delta"), F.lit("")).alias("text")))
-        .when(is_(r"input_audio_transcription\.completed"), F.struct(F.lit("Completed").alias("kind"), F.coalesce(get("$.transcript"), F.lit("")).alias("text")))
-        .when(is_(r"input_audio_transcription\.failed"), F.struct(F.lit("Failed").alias("kind"), F.coalesce(get("$.error.message"), F.lit("")).alias("text")))
-        .when(is_(r"response\.(?:output_)?audio_transcript\.delta"), F.struct(F.lit("AuxDelta").alias("kind"), F.coalesce(get("$.delta"), F.lit("")).alias("text")))
-        .when(is_(r"response\.(?:output_)?audio_transcript\.done", r"output_text\.done"), F.struct(F.lit("AuxDone").alias("kind"), F.coalesce(get("$.transcript"), get("$.text"), F.lit("")).alias("text")))
-        .when(kind == "error", F.struct(F.lit("Error").alias("kind"), F.coalesce(get("$.error.message"), F.lit("")).alias("text")))
-        .otherwise(F.struct(F.lit("Other").alias("kind"), F.lit("").alias("text")))
+        F.when(kind == said + "delta", _event("Delta", get("$.delta")))
+        .when(kind == said + "completed", _event("Completed", get("$.transcript")))
+        .when(kind == said + "failed", _event("Failed", get("$.error.message")))
+        .when((kind == "response.output_text.delta") & assist, _event("Delta", get("$.delta")))
+        .when((kind == "response.output_text.done") & assist, _event("Completed", get("$.text")))
+        .when(kind == "response.output_text.delta", _event("AuxDelta", get("$.delta")))
+        .when(kind == "response.output_text.done", _event("AuxDone", get("$.text")))
+        .when(kind == "session.output_transcript.delta", _event("Delta", get("$.delta")))
+        .when(kind == "session.input_transcript.delta", _event("AuxDelta", get("$.delta")))
+        .when(kind == "error", _event("Error", get("$.error.message")))
+        .otherwise(_event("Other"))
     )
 
 
+def transcript_event(json: Column) -> Column:
+    """Struct (kind, text) of a message of a service that sends whole segments: AddTranscript is a Delta, Error its reason or else its type."""
+    kind, get = F.get_json_object(json, "$.message"), lambda p: F.get_json_object(json, p)
+    reason = F.coalesce(F.nullif(get("$.reason"), F.lit("")), get("$.type"))
+    return F.when(kind == "AddTranscript", _event("Delta", get("$.metadata.transcript"))).when(kind == "Error", _event("Error", reason)).otherwise(_event("Other"))
+
+
+def content_event(json: Column) -> Column:
+    """Struct (kind, text) of a message of a service that answers in speech: only the transcription of what it heard counts, or an error."""
+    heard, wrong = F.get_json_object(json, "$.serverContent.inputTranscription.text"), F.get_json_object(json, "$.error.message")
+    return F.when(heard.isNotNull(), _event("Delta", heard)).when(wrong.isNotNull(), _event("Error", wrong)).otherwise(_event("Other"))
+
+
+# Languages of the hint to a service that answers in speech.
+HINTS = {"yue": "Cantonese", "zh": "Mandarin Chinese", "en": "English", "ja": "Japanese", "ko": "Korean"}
+
+
+def hint_language(code: Column) -> Column:
+    """The language's name for a hint; null where the service finds it out."""
+    return F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv])[code]
+
+
+def changed_params(given: Column, defaults: Column) -> Column:
+    """Of a map of values those that differ from the map of defaults, or have none there."""
+    return F.map_filter(given, lambda k, v: ~F.map_contains_key(defaults, k) | ~v.eqNullSafe(defaults[k]))
+
+
+def assist_params(given: Column) -> Column:
+    """A struct (temperature, top_p, frequency_penalty, presence_penalty, max_tokens, context_tokens, system_prompt) within its ranges.
+
+    Token counts below 1 are unset, the prompt is trimmed. ``given`` is a struct with the same fields.
+    """
+    between = lambda c, lo, hi: F.when(given[c].isNotNull(), F.greatest(F.least(given[c].cast("double"), F.lit(hi)), F.lit(lo))).alias(c)
+    count = lambda c: F.when(given[c] > 0, given[c].cast("bigint")).alias(c)
+    return F.struct(between("temperature", 0.0, 2.0), between("top_p", 0.0, 1.0), between("frequency_penalty", -2.0, 2.0), between("presence_penalty", -2.0, 2.0), count("max_tokens"), count("context_tokens"), utrim(given["system_prompt"]).alias("system_prompt"))
+
+
+def overlay_params(base: Column, given: Column) -> Column:
+    """``base`` (:func:`assist_params`) with what the string map ``given`` has, within the ranges; a token count of 0 changes nothing."""
+    value = lambda c, default, lo, hi: F.when(F.map_contains_key(given, F.lit(c)), F.greatest(F.least(F.coalesce(given[c].try_cast("double"), F.lit(default)), F.lit(hi)), F.lit(lo))).otherwise(base[c]).alias(c)
+    n = given["max_tokens"].try_cast("bigint")
+    return F.struct(value("temperature", 1.0, 0.0, 2.0), value("top_p", 1.0, 0.0, 1.0), value("frequency_penalty", 0.0, -2.0, 2.0), value("presence_penalty", 0.0, -2.0, 2.0), F.when(n > 0, F.least(n, F.lit(2**32 - 1))).otherwise(base["max_tokens"]).alias("max_tokens"), base["context_tokens"].alias("context_tokens"), base["system_prompt"].alias("system_prompt"))
+
+
+def endpoint(name: Column, url: Column, protocol: Column, model: Column) -> Column:
+    """Struct (name, base_url, protocol, model, error) of an endpoint's fields, trimmed, without the URL's last slashes."""
+    name, url, model = utrim(name), F.regexp_replace(utrim(url), "/+$", ""), utrim(model)
+    missing = (F.coalesce(name, F.lit("")) == "") | (F.coalesce(url, F.lit("")) == "") | (F.coalesce(model, F.lit("")) == "")
+    wrong = F.when(missing, "name, base URL, and model id are all required").when(~url.rlike("^https?://"), "base URL must start with http:// or https://")
+    return F.struct(name.alias("name"), url.alias("base_url"), F.when(protocol == "chat", "chat").otherwise("openai").alias("protocol"), model.alias("model"), wrong.alias("error"))
+
+
+def encoder_dir(file: Column) -> Column:
+    """The folder of a model file's encoder: without extension and without a trailing tag such as -q5_0."""
+    return F.concat(F.regexp_replace(F.regexp_replace(file, r"\.[^.]*$", ""), r"-q[\x00-\x7f]_[\x00-\x7f]$", ""), F.lit("-encoder.mlmodelc"))
+
+
+def memory_bytes(meminfo: Column) -> Column:
+    """Bytes of the MemTotal line of a memory report; null without one."""
+    return F.nullif(F.regexp_extract(meminfo, r"(?m)^MemTotal:\s*(\d+)(?:\s|$)", 1), F.lit("")).try_cast("bigint") * 1024
+
+
 def transcription_text(json: Column) -> Column:
     """The text of a whole transcription."""
     return F.coalesce(utrim(F.get_json_object(json, "$.text")), F.lit(""))

@@ -46,9 +46,10 @@ def note_detail(spark: SparkSession, root: str) -> DataFrame:
 
 
 def note_delete_cascade(spark: SparkSession, root: str) -> DataFrame:
-    """Rows left per table once a meeting is gone."""
-    left = lambda n, k: table(spark, root, n, k).filter(F.col(k) != NOTE).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
-    return left("meeting", "id").unionByName(left("segment", "meeting_id")).unionByName(left("chunk", "meeting_id"))
+    """Rows left per table once a meeting is deleted."""
+    left = store.without_note({n: table(spark, root, n) for n in store.KEYS}, NOTE)
+    rows = [d.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, d in left.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def note_replace(spark: SparkSession, root: str) -> DataFrame:
@@ -154,7 +155,17 @@ def live_lines(spark: SparkSession, root: str) -> DataFrame:
     return render.live_lines(_live(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (note_save_segments, note_save_rollup, note_list_preview, note_detail, note_delete_cascade, note_replace, segment_dto, chunk_texts, paragraphs, paragraphs_any_source, chunk_lines, word_tokens, rolling_context, merged_live, text_functions, export_srt_cues, export_vtt_cues, export_markdown_lines, export_markdown, export_txt, note_participants, live_lines)}
+def export_srt(spark: SparkSession, root: str) -> DataFrame:
+    """SubRip documents of every meeting, with speakers."""
+    return render.documents(_seg(spark, root).filter("end_ms IS NOT NULL"), "SRT", order=["start_ms", "idx", "id"])
+
+
+def export_vtt(spark: SparkSession, root: str) -> DataFrame:
+    """WebVTT documents of the live meetings' finals, with speakers and timed words."""
+    return render.documents(_live(spark, root).filter("status = 'Final'"), "vtt", order=["start_ms", "seq"])
+
+
+QUERIES = {f.__name__: f for f in (note_save_segments, note_save_rollup, note_list_preview, note_detail, note_delete_cascade, note_replace, segment_dto, chunk_texts, paragraphs, paragraphs_any_source, chunk_lines, word_tokens, rolling_context, merged_live, text_functions, export_srt_cues, export_vtt_cues, export_srt, export_vtt, export_markdown_lines, export_markdown, export_txt, note_participants, live_lines)}
 
 _SAVED = rf"""SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, seq) - 1 AS idx, start_ms, end_ms, CAST(speaker AS BIGINT) AS speaker,
   CASE WHEN lower(source) IN ('mic', 'microphone') THEN 'mic' WHEN lower(source) IN ('system', 'file') THEN lower(source) ELSE 'unknown' END AS source, {_TRIM % 'text'} AS text
@@ -220,6 +231,12 @@ SELECT meeting_id, cue, cue || chr(10) || {_ts('start_ms', ',')} || ' --> ' || {
     "export_vtt_cues": rf"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, seq) AS cue FROM live_segment WHERE status = 'Final' AND {_BLANK % 'text'})
 SELECT meeting_id, cue, {_ts('start_ms', '.')} || ' --> ' || {_ts('end_ms', '.')} || chr(10) || CASE WHEN words IS NULL OR len(words) = 0 THEN {_TRIM % 'text'}
   ELSE array_to_string(list_transform(words, lambda w, i: '<' || {_ts('w.start_ms', '.')} || '>' || CASE WHEN i = 1 THEN ltrim(w.text) ELSE w.text END), '') END || chr(10) AS text FROM r""",
+    "export_srt": rf"""WITH r AS (SELECT meeting_id, start_ms, CAST(end_ms AS BIGINT) AS end_ms, speaker, {_TRIM % 'text'} AS t, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, idx, id) AS cue FROM segment WHERE end_ms IS NOT NULL AND {_BLANK % 'text'})
+SELECT meeting_id, string_agg(cue || chr(10) || {_ts('start_ms', ',')} || ' --> ' || {_ts('end_ms', ',')} || chr(10) || coalesce('Speaker ' || CAST(speaker + 1 AS BIGINT) || ': ', '') || t || chr(10) || chr(10), '' ORDER BY cue) AS document FROM r GROUP BY meeting_id""",
+    "export_vtt": rf"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, seq) AS cue FROM live_segment WHERE status = 'Final' AND {_BLANK % 'text'}),
+c AS (SELECT meeting_id, cue, {_ts('start_ms', '.')} || ' --> ' || {_ts('end_ms', '.')} || chr(10) || coalesce('Speaker ' || CAST(speaker + 1 AS BIGINT) || ': ', '') || CASE WHEN words IS NULL OR len(words) = 0 THEN {_TRIM % 'text'}
+  ELSE array_to_string(list_transform(words, lambda w, i: '<' || {_ts('w.start_ms', '.')} || '>' || CASE WHEN i = 1 THEN ltrim(w.text) ELSE w.text END), '') END AS t FROM r)
+SELECT meeting_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(t || chr(10) || chr(10), '' ORDER BY cue) AS document FROM c GROUP BY meeting_id""",
     "export_markdown_lines": rf"WITH RECURSIVE {_paragraphs(True)} SELECT meeting_id, paragraph, '**[' || {_short('start_ms')} || ']' || coalesce(' ' || ({_WHO}) || ':', '') || '** ' || text AS line FROM p",
     "export_txt": rf"WITH RECURSIVE {_paragraphs(True)} SELECT meeting_id, string_agg(coalesce('Speaker ' || CAST(speaker + 1 AS BIGINT) || ': ', '') || text, chr(10) || chr(10) ORDER BY paragraph) || chr(10) AS document FROM p GROUP BY meeting_id",
     "note_participants": rf"WITH RECURSIVE {_paragraphs(True)}, l AS (SELECT meeting_id, {_WHO} AS label, min(paragraph) AS seen FROM p GROUP BY ALL) SELECT meeting_id, list(label ORDER BY seen) AS participants FROM l WHERE label IS NOT NULL GROUP BY meeting_id",
@@ -232,6 +249,6 @@ b AS (SELECT *, lag(t) OVER (PARTITION BY row ORDER BY pos) AS b FROM k),
 o AS (SELECT *, CASE WHEN b IS NULL OR regexp_matches(t, '^[\s\p{{Z}}]') OR regexp_matches(t, '^[\s\p{{Z}}]*{_CJK}') OR regexp_matches(b, '{_CJK}[\s\p{{Z}}]*$') THEN 1 ELSE 0 END AS opens FROM b),
 g AS (SELECT *, sum(opens) OVER (PARTITION BY row ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS word FROM o)
 SELECT row, CAST(word AS BIGINT) AS word, string_agg(t, '' ORDER BY pos) AS text, arg_min(s, pos) AS start_ms, arg_max(e, pos) AS end_ms FROM g GROUP BY row, word""",
-    "rolling_context": rf"""WITH r AS (SELECT meeting_id, seq, string_agg(CASE WHEN {_BLANK % 'text'} THEN {_TRIM % 'text'} END, ' ') OVER (PARTITION BY meeting_id ORDER BY start_ms, seq ROWS BETWEEN 113 PRECEDING AND 1 PRECEDING) AS c FROM live_segment WHERE status = 'Final')
+    "rolling_context": rf"""WITH r AS (SELECT meeting_id, seq, string_agg(CASE WHEN {_BLANK % 'text'} THEN {_TRIM % 'text'} END, ' ') OVER (PARTITION BY meeting_id ORDER BY start_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM live_segment WHERE status = 'Final')
 SELECT meeting_id, seq, CASE WHEN length(c) > 224 THEN right(c, 224) ELSE coalesce(c, '') END AS context FROM r""",
 }

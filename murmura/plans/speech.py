@@ -96,12 +96,59 @@ def streaming_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def accumulate_events(spark: SparkSession, root: str) -> DataFrame:
-    """Engine events made of events, as final texts."""
-    kinds = F.create_map(*[F.lit(x) for x in ("view", "Delta", "click", "AuxDelta", "purchase", "Completed", "signup", "AuxDone", "error", "Error")])
-    d = _frames(spark, root).select("stream", "event_id", kinds[F.col("event_type")].alias("kind"), F.when(F.col("event_type").isin("view", "click"), F.concat(F.lit(" "), F.col("event_type"))).alias("text"), (F.col("event_id") * 100).alias("at_ms"))
+    """Messages of transcription sessions made of events, as final texts; a completed text may be empty."""
+    kinds = F.create_map(*[F.lit(x) for x in ("view", "Delta", "click", "Delta", "purchase", "Completed", "signup", "Other", "error", "Error")])
+    said = F.when(F.col("event_type").isin("view", "click"), F.concat(F.lit(" "), F.col("event_type"))).when((F.col("event_type") == "purchase") & (F.col("event_id") % 3 > 0), F.concat(F.lit("whole "), F.col("event_id").cast("string")))
+    d = _frames(spark, root).select("stream", "event_id", kinds[F.col("event_type")].alias("kind"), said.alias("text"), (F.col("event_id") * 100).alias("at_ms"))
     return B.accumulate(d, "stream", "event_id")
 
 
+def accumulate_translation(spark: SparkSession, root: str) -> DataFrame:
+    """Messages of translation sessions made of events: two texts that close after a pause, or at an error."""
+    kinds = F.create_map(*[F.lit(x) for x in ("view", "Delta", "click", "AuxDelta", "purchase", "Delta", "signup", "Other", "error", "Error")])
+    d = _frames(spark, root).select("stream", "event_id", kinds[F.col("event_type")].alias("kind"), F.concat(F.lit(" "), F.col("event_type")).alias("text"), (F.col("event_id") * 150).alias("at_ms"))
+    return B.accumulate(d, "stream", "event_id", "translation")
+
+
+def accumulate_model(spark: SparkSession, root: str) -> DataFrame:
+    """Messages of model sessions made of events: closed when both texts are done, or one is and a pause went by."""
+    kinds = F.create_map(*[F.lit(x) for x in ("view", "Delta", "click", "AuxDelta", "purchase", "Completed", "signup", "AuxDone", "error", "Error")])
+    d = _frames(spark, root).select("stream", "event_id", kinds[F.col("event_type")].alias("kind"), F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("text"), (F.col("event_id") * 150).alias("at_ms"))
+    return B.accumulate(d, "stream", "event_id", "model")
+
+
+def dictated(spark: SparkSession, root: str) -> DataFrame:
+    """Each live meeting's text as dictated: its finals, and the partial that is still open."""
+    return B.dictation(_live(spark, root).filter("id % 7 > 0 OR status = 'Partial'"), "meeting_id", "seq")
+
+
+def sticky_language(spark: SparkSession, root: str) -> DataFrame:
+    """The language each stream is locked to, with event types for detections and low values for silence."""
+    d = _frames(spark, root)
+    text = F.when(F.col("value") >= 150, "x")
+    found = F.when(F.col("event_type") == "view", "auto").when(F.col("event_type") == "click", "").otherwise(F.col("event_type"))
+    return B.locked_language(d, "stream", "event_id", F.lit(True), text, found).select("stream", "event_id", "language")
+
+
+def capture_jobs(spark: SparkSession, root: str) -> DataFrame:
+    """Decoding jobs of frames made of events: two streams a session, partials between finals under shared ids."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("stream").orderBy("event_id")
+    d = _frames(spark, root).withColumn("quiet", F.when(F.col("speech"), 0).otherwise(1)).withColumn("run", F.sum(F.when(F.col("quiet") == 1, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("stream", "run").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("speech_ms", F.when(F.col("speech"), F.sum(F.when(F.col("speech"), 100)).over(inside)))
+    d = d.withColumn("opens_ms", F.when(F.col("speech"), F.min(F.when(F.col("speech"), F.col("event_id") * 100)).over(inside)))
+    d = d.select((F.col("stream") % 2).alias("session"), "stream", "event_id", F.when(F.col("speech"), F.col("run")).alias("utterance"), "opens_ms", "speech_ms", "ms", F.lit(300).alias("decode_ms"), (~F.col("speech")).alias("closed"))
+    return B.capture_jobs(d, "session", "stream", "event_id")
+
+
+def colliding_slugs(spark: SparkSession, root: str) -> DataFrame:
+    """Slugs of the nations' regions, many of the same name, some taken."""
+    names = table(spark, root, "nation", "n_nationkey", "n_regionkey").join(table(spark, root, "region", "r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("#", "r_name", "n_regionkey").alias("name"))
+    return A.unique_slugs(names, "name", spark.createDataFrame([("asia-2",), ("asia-2-2",), ("europe-3",)], "slug string"))
+
+
 def assist_triggers(spark: SparkSession, root: str) -> DataFrame:
     """When an assistant would be asked: errors by hand, speech every 15 s."""
     d = _frames(spark, root).select("stream", "event_id", (F.col("event_id") * 100).alias("at"), "speech", (F.col("event_type") == "error").alias("manual"))
@@ -171,7 +218,7 @@ def audio_frames(spark: SparkSession, root: str) -> DataFrame:
 
 def high_pass(spark: SparkSession, root: str) -> DataFrame:
     """Vectors through the high pass."""
-    return _vectors(spark, root).select("vec_id", G.high_pass(F.col("embedding"), F.lit(16_000)).alias("y"))
+    return _vectors(spark, root).select("vec_id", F.transform(G.high_pass(F.col("embedding"), F.lit(16_000)), lambda x: F.round(x, 6)).alias("y"))
 
 
 def props_params(spark: SparkSession, root: str) -> DataFrame:
@@ -200,13 +247,33 @@ def catalog_by_language(spark: SparkSession, root: str) -> DataFrame:
     return J.catalog_by_language(table(spark, root, "model_catalog"))
 
 
-QUERIES = {f.__name__: f for f in (speaker_majority, assign_speakers, split_by_speaker, timeline_remap, upsert_latest, coalesce_burst, echo_dedup, changed_partials, queue_tail, utterance_sessions, streaming_ids, accumulate_events, assist_triggers, online_clusters, mixer_shares, meeting_locales, document_answers, title_slugs, downmix, resample_linear, rms_gate, apply_gain, audio_frames, high_pass, props_params, diarized_index, catalog_sizes, catalog_by_language)}
+QUERIES = {f.__name__: f for f in (speaker_majority, assign_speakers, split_by_speaker, timeline_remap, upsert_latest, coalesce_burst, echo_dedup, changed_partials, queue_tail, utterance_sessions, streaming_ids, accumulate_events, accumulate_translation, accumulate_model, dictated, sticky_language, capture_jobs, colliding_slugs, assist_triggers, online_clusters, mixer_shares, meeting_locales, document_answers, title_slugs, downmix, resample_linear, rms_gate, apply_gain, audio_frames, high_pass, props_params, diarized_index, catalog_sizes, catalog_by_language)}
 
 _MAJORITY = """o AS (SELECT s.id, p.speaker, sum(least(s.end_ms, p.end_ms) - greatest(s.start_ms, p.start_ms)) AS total FROM segment s JOIN speaker_span p ON p.meeting_id = s.meeting_id AND p.start_ms < s.end_ms AND s.start_ms < p.end_ms AND p.end_ms > p.start_ms AND s.end_ms > s.start_ms WHERE p.speaker IS NOT NULL GROUP BY ALL),
 best AS (SELECT id, CAST(arg_max(speaker, total * 100000 + speaker) AS BIGINT) AS speaker FROM o GROUP BY id)"""
 _FRAMES = "f AS (SELECT user_id % 4 AS stream, event_id, value >= 100 AS speech, event_type, value FROM events)"
 
 SQL = {
+    "accumulate_events": f"""WITH {_FRAMES}, e AS (SELECT stream, event_id, event_type, CASE WHEN event_type IN ('view', 'click') THEN ' ' || event_type END AS said, event_type IN ('purchase', 'error') AS closes FROM f WHERE event_type != 'signup'),
+g AS (SELECT *, coalesce(sum(CASE WHEN closes THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+t AS (SELECT stream, part, CASE WHEN bool_or(event_type = 'purchase') THEN max(CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 3 > 0 THEN 'whole ' || event_id ELSE '' END END) ELSE coalesce(string_agg(said, '' ORDER BY event_id), '') END AS text FROM g GROUP BY stream, part)
+SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY part) - 1 AS n, text, CAST(NULL AS VARCHAR) AS aux_text FROM t WHERE text != ''""",
+    "accumulate_translation": f"""WITH {_FRAMES}, e AS (SELECT stream, event_id, event_type, event_id * 150 AS ms FROM f WHERE event_type != 'signup'),
+o AS (SELECT *, CASE WHEN ms - lag(ms) OVER w >= 1200 OR lag(event_type) OVER w = 'error' THEN 1 ELSE 0 END AS opens FROM e WINDOW w AS (PARTITION BY stream ORDER BY event_id)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY stream ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS part FROM o),
+t AS (SELECT stream, part, coalesce(string_agg(CASE WHEN event_type IN ('view', 'purchase') THEN ' ' || event_type END, '' ORDER BY event_id), '') AS text, string_agg(CASE WHEN event_type = 'click' THEN ' click' END, '' ORDER BY event_id) AS aux_text FROM g GROUP BY stream, part)
+SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY part) - 1 AS n, text, aux_text FROM t WHERE text != '' OR aux_text != ''""",
+    "dictated": r"""WITH l AS (SELECT meeting_id, seq, status, regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM live_segment WHERE id % 7 > 0 OR status = 'Partial'),
+m AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY seq DESC) AS r FROM l),
+p AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY seq) AS n FROM m WHERE t != '' AND (status = 'Final' OR r = 1))
+SELECT k.meeting_id, coalesce(string_agg(CASE WHEN n > 1 AND regexp_matches(t, '^[A-Za-z0-9]') THEN ' ' || t ELSE t END, '' ORDER BY seq), '') AS text FROM (SELECT DISTINCT meeting_id FROM l) k LEFT JOIN p ON p.meeting_id = k.meeting_id GROUP BY k.meeting_id""",
+    "sticky_language": f"WITH {_FRAMES} SELECT stream, event_id, first_value(CASE WHEN value >= 150 AND event_type NOT IN ('view', 'click') THEN event_type END IGNORE NULLS) OVER (PARTITION BY stream ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS language FROM f",
+    "colliding_slugs": """WITH n AS (SELECT r_name || '#' || n_regionkey AS name, replace(lower(r_name), ' ', '-') || '-' || n_regionkey AS s FROM nation JOIN region ON r_regionkey = n_regionkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY s) AS k FROM n)
+SELECT name, CASE WHEN s = 'asia-2' THEN s || '-' || (k + 2) WHEN s = 'europe-3' THEN s || '-' || (k + 1) WHEN k = 1 THEN s ELSE s || '-' || k END AS slug FROM r""",
+    "high_pass": """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, (1 / (2 * pi() * 70.0)) / (1 / (2 * pi() * 70.0) + 1 / 16000.0) AS a FROM embeddings),
+r AS (SELECT vec_id, v, a, 1 AS i, [0.0::DOUBLE] AS y FROM e UNION ALL SELECT vec_id, v, a, i + 1, list_append(y, a * (y[i] + v[i + 1] - v[i])) FROM r WHERE i < len(v))
+SELECT vec_id, list_transform(y, lambda x: round(x, 6) + 0.0) AS y FROM r WHERE i = len(v)""",
     "meeting_locales": "SELECT id, CASE WHEN language IS NULL THEN NULL ELSE coalesce(CASE lower(trim(language)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.LOCALES.items()) + " END, CASE WHEN contains(trim(language), '-') THEN trim(language) END, 'en-US') END AS locale FROM meeting",
     "speaker_majority": f"WITH {_MAJORITY} SELECT id, speaker FROM best",
     "assign_speakers": f"WITH {_MAJORITY} SELECT s.id, coalesce(b.speaker, CAST(s.speaker AS BIGINT)) AS speaker FROM segment s LEFT JOIN best b ON b.id = s.id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmura.functions.text import echo_key, similarity
+from murmura.functions.text import echo_key, similarity, utrim
 from murmura.operators.shape import stream_fold
 from murmura.streaming import folds
 from murmura.streaming.folds import Fold
@@ -117,9 +117,47 @@ def mute(samples: Column, muted: Column) -> Column:
     return F.when(muted, F.transform(samples, lambda x: F.lit(0.0).cast("float"))).otherwise(samples)
 
 
-def accumulate(events: DataFrame, key: str, order: str, gap_ms: int | None = None, dual_ms: int | None = None) -> DataFrame:
-    """:func:`folds.accumulate` over engine events (kind, text, at_ms)."""
-    return replay(folds.accumulate(gap_ms, dual_ms), events, key, order)
+def accumulate(events: DataFrame, key: str, order: str, kind: str = "transcription") -> DataFrame:
+    """:func:`folds.accumulate` over engine events (kind, text, at_ms) of sessions of one kind."""
+    return replay(folds.accumulate(kind), events, key, order)
+
+
+def capture_jobs(frames: DataFrame, session: str, stream: str, order: str, window_ms: int = 8000) -> DataFrame:
+    """(session, stream, order, id, status, start_ms, length_ms): :func:`folds.capture` of every stream.
+
+    The ids of a session's streams come from one count, in the order in which their utterances' first jobs are sent
+    (by ``order``, then stream; those that the end closes come last): one row an utterance passes the window that numbers them.
+    """
+    d = frames.withColumn("__key", F.struct(F.col(session).alias("session"), F.col(stream).alias("stream")))
+    jobs = replay(folds.capture(window_ms), d, "__key", order)
+    first = jobs.groupBy("__key", "id").agg(F.min(F.struct("flushed", F.col(order).alias("o"))).alias("__first"))
+    n = F.row_number().over(Window.partitionBy("__key.session").orderBy("__first", "__key.stream", "id")) - 1
+    numbered = first.select("__key", "id", n.cast("bigint").alias("__id"))
+    out = jobs.join(numbered, ["__key", "id"])
+    return out.select(F.col("__key.session").alias(session), F.col("__key.stream").alias(stream), order, F.col("__id").alias("id"), "status", "start_ms", "length_ms")
+
+
+def dictation(segments: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, text): what :func:`folds.dictation` has at the end of each key's segments (text, status): a row holds a key's text."""
+    said = F.when(F.col("status") == "Final", utrim(F.coalesce("text", F.lit(""))))
+    last = F.max(F.struct(order, F.col("status").alias("s"), utrim(F.coalesce("text", F.lit(""))).alias("t")))
+    d = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.when(said != "", F.struct(F.col(order).alias("o"), said.alias("t"))))).alias("done"), last.alias("last"))
+    pieces = F.concat(F.transform("done", lambda x: x.t), F.when((F.col("last.s") != "Final") & (F.col("last.t") != ""), F.array("last.t")).otherwise(F.array().cast("array<string>")))
+    spaced = F.transform(pieces, lambda t, i: F.when((i > 0) & t.rlike("^[A-Za-z0-9]"), F.concat(F.lit(" "), t)).otherwise(t))
+    return d.select(key, F.array_join(spaced, "").alias("text"))
+
+
+def locked_language(utterances: DataFrame, key: str, order: str, auto: Column, text: Column, detected: Column) -> DataFrame:
+    """``utterances`` with ``language``: where the user left it open, the first detected language of an utterance with text, from then on."""
+    good = F.when(auto & (F.coalesce(text, F.lit("")) != "") & (detected != "") & (detected != "auto"), detected)
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return utterances.withColumn("language", F.first(good, ignorenulls=True).over(w))
+
+
+def mixed_streams(frames: DataFrame, key: str, order: str, cap: int = 12_000) -> DataFrame:
+    """(key, order, mixed, share): :func:`folds.jitter_buffer`, then :func:`folds.mixer`, of frames (side, samples) in order."""
+    pairs = replay(folds.jitter_buffer(cap), frames, key, order)
+    return replay(folds.mixer(), pairs, key, order)
 
 
 def assist_triggers(rows: DataFrame, key: str, order: str, at: str, speech: str, manual: str, every_ms: int = 15_000) -> DataFrame:

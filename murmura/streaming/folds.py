@@ -76,65 +76,184 @@ def utterances(hangover_ms: int = 700) -> Fold:
 def online_clusters(threshold: float = 0.5) -> Fold:
     """Vectors (vector, reliable) as speaker numbers.
 
-    Each goes to the most similar running sum, or to a new cluster below the threshold. Reliable vectors refine the sum
-    they join; unreliable ones below the threshold take the nearest cluster. Equal similarity goes to the later cluster.
+    Vectors count with length 1. Each goes to the most similar sum of vectors so far, or to a new cluster below the
+    threshold. Reliable vectors refine the sum they join; unreliable ones below the threshold take the nearest cluster.
+    Equal similarity goes to the later cluster. Null and empty vectors have no direction: their similarity is 0.
     """
 
     def step(state: dict, row: tuple) -> Iterator[tuple]:
         k, o, v, sure = row
-        x, sums = np.asarray(v, float), state["sums"]
+        x, sums = np.asarray(v if v is not None else [], float), state["sums"]
+        if (norm := np.linalg.norm(x)) > np.finfo(np.float32).eps:
+            x = x / norm
         best, at = -2.0, -1
         for i, s in enumerate(sums):
-            n = np.linalg.norm(s) * np.linalg.norm(x)
-            like = float(s @ x / n) if n > 0 and len(s) == len(x) else 0.0
+            n = np.linalg.norm(s)
+            like = float(s @ x / n) if n > np.finfo(np.float32).eps and len(s) == len(x) else 0.0
             if like >= best:
                 best, at = like, i
         if at < 0 or best < threshold and sure:
             sums.append(x.copy())
             at = len(sums) - 1
-        elif best >= threshold and sure:
+        elif best >= threshold and sure and len(sums[at]) == len(x):
             sums[at] = sums[at] + x
         yield k, o, at
 
     return Fold(("vector", "reliable"), "o {order}, speaker int", lambda: {"sums": []}, step)
 
 
-def accumulate(gap_ms: int | None = None, dual_ms: int | None = None) -> Fold:
-    """Engine events (kind, text, at_ms) as final texts (n, text, aux_text).
+#: How a session's texts close (fixed values): by kind the mode; by mode the pause in ms.
+MODES = {"transcription": "done", "assist": "done", "translation": "gap", "model": "dual"}
+GAPS = {"gap": 1200, "dual": 2000}
 
-    Delta and AuxDelta append, Completed and AuxDone replace when they carry text. By default Completed closes; with
-    ``gap_ms`` a pause of that length before an event closes; with ``dual_ms`` both texts done, or that pause. The rest
-    closes at the end; nothing is closed without text.
+
+def accumulate(kind: str = "transcription") -> Fold:
+    """Engine events (kind, text, at_ms) of a session as final texts (n, text, aux_text).
+
+    Delta and AuxDelta append, Completed and AuxDone replace, with an empty text too; Failed and Error close what is held
+    at once; others count for nothing, nor for the pause. A transcription or assist session closes when the text is
+    completed and has no second text; a translation after a pause; a model session when both texts are done, or one is and
+    a pause went by. Pauses are seen at the next event. The end closes what is open; what has no text is not emitted.
     """
+    mode = MODES[kind]
+    gap = GAPS.get(mode)
 
     def close(k: object, s: dict) -> Iterator[tuple]:
-        if s["main"].strip() or s["aux"].strip():
-            yield k, s["n"], s["main"].strip(), s["aux"].strip() or None
+        main, aux = s["main"], s["aux"] if mode != "done" else ""
+        if main or aux:
+            yield k, s["n"], main, aux or None
             s["n"] += 1
         s.update(main="", aux="", done=False, aux_done=False)
 
     def step(s: dict, row: tuple) -> Iterator[tuple]:
-        k, _, kind, text, at = row
-        wait = gap_ms if gap_ms is not None else dual_ms
-        if kind in ("Delta", "Completed", "AuxDelta", "AuxDone"):
-            if wait is not None and s["last"] is not None and at - s["last"] >= wait:
-                yield from close(k, s)
-            s["last"] = at
-        if kind == "Delta":
+        k, _, event, text, at = row
+        if event not in ("Delta", "Completed", "AuxDelta", "AuxDone", "Failed", "Error"):
+            return
+        waited = gap is not None and s["last"] is not None and at is not None and at - s["last"] >= gap
+        if waited and (mode == "gap" or s["done"] or s["aux_done"]):
+            yield from close(k, s)
+        s["last"] = at if at is not None else s["last"]
+        if event == "Delta":
             s["main"] += text or ""
-        elif kind == "AuxDelta":
+        elif event == "AuxDelta":
             s["aux"] += text or ""
-        elif kind == "Completed":
-            s["main"], s["done"] = text or s["main"], True
-        elif kind == "AuxDone":
-            s["aux"], s["aux_done"] = text or s["aux"], True
-        if s["done"] and gap_ms is None and (dual_ms is None or s["aux_done"]):
+        elif event == "Completed":
+            s["main"], s["done"] = text or "", True
+        elif event == "AuxDone":
+            s["aux"], s["aux_done"] = text or "", True
+        if event in ("Failed", "Error") or (mode == "done" and s["done"]) or (mode == "dual" and s["done"] and s["aux_done"]):
             yield from close(k, s)
 
     fresh = lambda: {"n": 0, "main": "", "aux": "", "done": False, "aux_done": False, "last": None}
     return Fold(("kind", "text", "at_ms"), "n bigint, text string, aux_text string", fresh, step, lambda k, s: close(k[0], s))
 
 
+def capture(window_ms: int = 8000) -> Fold:
+    """Frames (utterance, opens_ms, speech_ms, ms, decode_ms, closed) of a stream as decoding jobs (o, id, status, start_ms, length_ms, flushed).
+
+    ``utterance`` is the segmenter's number of the open utterance (null in silence), ``speech_ms`` its length so far and
+    ``closed`` whether it ends with this frame. Every ``partial_ms`` of frames an open utterance gives a partial of its
+    last ``window_ms``; the partials of an utterance and its final share an id, taken when the first of them is sent.
+    ``flushed`` marks the final of an utterance that the stream's end closes. Ids are the stream's own; :func:`murmura.streaming.batch.capture_jobs` numbers those of sibling streams together.
+    """
+
+    def job(s: dict, k: object, o: object, status: str, start: int, length: int, flushed: bool = False) -> tuple:
+        if s["open"] is None:
+            s["open"], s["next"] = s["next"], s["next"] + 1
+        return k, o, s["open"], status, start, length, flushed
+
+    def step(s: dict, row: tuple) -> Iterator[tuple]:
+        k, o, utterance, opens, speech, ms, decode, closed = row
+        if utterance is not None:
+            s["held"] = (o, opens, speech)
+        if closed and s["held"]:
+            yield job(s, k, o, "Final", s["held"][1], s["held"][2])
+            s.update(open=None, since=0, held=None)
+        s["since"] += ms or 0
+        if s["since"] >= (500 if not decode else min(1500, max(300, decode))):
+            s["since"] = 0
+            if s["held"]:
+                _, start, length = s["held"]
+                cut = max(0, length - window_ms)
+                yield job(s, k, o, "Partial", start + cut, length - cut)
+
+    def finish(key: tuple, s: dict) -> Iterator[tuple]:
+        if s["held"]:
+            yield job(s, key[0], s["held"][0], "Final", s["held"][1], s["held"][2], True)
+            s.update(open=None, held=None)
+
+    fresh = lambda: {"open": None, "next": 0, "since": 0, "held": None}
+    return Fold(("utterance", "opens_ms", "speech_ms", "ms", "decode_ms", "closed"), "o {order}, id bigint, status string, start_ms bigint, length_ms bigint, flushed boolean", fresh, step, finish)
+
+
+def dictation() -> Fold:
+    """Segments (text, status) as the dictated text after each: finals, then the open partial (o, text).
+
+    Pieces join by a space only before one that begins with an ASCII letter or digit.
+    """
+
+    def step(s: dict, row: tuple) -> Iterator[tuple]:
+        k, o, text, status = row
+        text = (text or "").strip()
+        if status == "Final":
+            s["done"], s["open"] = joined(s["done"], text), ""
+        else:
+            s["open"] = text
+        yield k, o, joined(s["done"], s["open"])
+
+    def joined(a: str, b: str) -> str:
+        return a + (" " if a and b[:1].isascii() and b[:1].isalnum() else "") + b
+
+    return Fold(("text", "status"), "o {order}, text string", lambda: {"done": "", "open": ""}, step)
+
+
+def rolling_summary(summarize: Callable[[str, str], str | None], recent_chars: int = 6000) -> Fold:
+    """Transcripts so far (transcript) as a model's context (o, context): a summary of what is long ago, and the recent rest.
+
+    What exceeds ``recent_chars`` is cut at a line and folded into the summary by ``summarize(summary, text)``; where that
+    gives null the summary stays and the text is tried again. A transcript shorter than what is summarised begins anew.
+    Rows whose transcript did not grow, and blank contexts, give nothing.
+    """
+
+    def step(s: dict, row: tuple) -> Iterator[tuple]:
+        k, o, full = row
+        full = full or ""
+        if len(full) == s["seen"]:
+            return
+        s["seen"] = len(full)
+        if len(full) < s["chars"]:
+            s["summary"], s["chars"] = "", 0
+        recent = full[s["chars"] :]
+        cut = recent.rfind("\n", 0, len(recent) - recent_chars) + 1 if len(recent) > recent_chars else 0
+        if cut > 0 and (folded := summarize(s["summary"], recent[:cut])) is not None:
+            s["summary"], s["chars"] = folded.strip(), s["chars"] + cut
+            recent = full[s["chars"] :]
+        context = f"Summary of earlier conversation:\n{s['summary']}\n\nRecent conversation:\n{recent}" if s["summary"] else recent
+        if context.strip():
+            yield k, o, context
+
+    return Fold(("transcript",), "o {order}, context string", lambda: {"summary": "", "chars": 0, "seen": 0}, step)
+
+
+def jitter_buffer(cap: int = 12_000) -> Fold:
+    """Frames of two streams (side, samples) as pairs for :func:`mixer` (o, first, second).
+
+    Frames of the second stream wait, up to ``cap`` samples, the oldest being dropped; a frame of the first takes as many
+    as it has itself, or fewer.
+    """
+
+    def step(s: dict, row: tuple) -> Iterator[tuple]:
+        k, o, side, samples = row
+        x = [float(v) for v in samples] if samples is not None else []
+        if side == "second":
+            s["held"] = (s["held"] + x)[-cap:]
+        else:
+            yield k, o, x, s["held"][: len(x)]
+            s["held"] = s["held"][len(x) :]
+
+    return Fold(("side", "samples"), "o {order}, first array<double>, second array<double>", lambda: {"held": []}, step)
+
+
 def assist_triggers(every_ms: int = 15_000) -> Fold:
     """Rows (at, speech, manual) that fire: manual ones, and new speech at least ``every_ms`` after the last firing."""
 

@@ -90,10 +90,10 @@ def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
 
 
 def retain(path: str, meeting: str = "meeting_id") -> Callable[[DataFrame, int], None]:
-    """A sink that appends final rows to the table of a session's retained segments."""
+    """A sink that adds final rows to the table of a session's retained segments; a batch that comes again replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.filter("status = 'Final'").withColumn("batch", F.lit(number)).write.mode("append").partitionBy("batch").parquet(path)
+        batch.filter("status = 'Final'").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 

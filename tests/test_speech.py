@@ -92,7 +92,7 @@ def test_accumulator_modes(spark):
     e = [("s", 0, "Delta", "he", 0), ("s", 1, "Delta", "llo", 100), ("s", 2, "AuxDelta", "x", 200), ("s", 3, "Delta", "next", 5000), ("s", 4, "Error", None, 5001)]
     df = spark.createDataFrame(e, "k string, o int, kind string, text string, at_ms bigint")
     got = lambda **x: [r.text for r in batch.accumulate(df, "k", "o", **x).orderBy("n").collect()]
-    assert got() == ["hellonext"] and got(gap_ms=1200) == ["hello", "next"]
+    assert got() == ["hellonext"] and got(kind="translation") == ["hello", "next"]
 
 
 @pytest.mark.parametrize("parts", [1, 3])
