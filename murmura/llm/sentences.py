@@ -117,7 +117,7 @@ def _cuts() -> str:
 
 def _marked(d: DataFrame, text: str, out: str) -> DataFrame:
     """``d`` with the marked copy of a text as ``out``; each step refers to the one before by name, so none is computed twice."""
-    m = F.regexp_replace(F.translate(text, LINE, MASK), _HEADING, f"$1{LINE}")
+    m = F.regexp_replace(F.replace(F.col(text), F.lit(LINE), F.lit(MASK)), _HEADING, f"$1{LINE}")
     d = d.withColumn(out, F.regexp_replace(F.regexp_replace(m, _lines(), LINE), _plain(), MASK))
     for signs, steps in _quoted():
         m = F.col(out)
