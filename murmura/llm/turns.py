@@ -116,7 +116,7 @@ def _ambiguous(text: str, word: str, end: int) -> bool:
 
 
 _CLOCK_AT = re.compile(r"\d+(?=:\d\d|h\d)")
-_SHORT_AT = re.compile(r"(?<![^\W_])[sS]\d")
+_SHORT_AT = re.compile(r"[sS](?<![^\W_][sS])\d")
 _DRAWN_AT = re.compile(r"([^\W\d_])\1\1")
 _SIGNS: list = []
 
