@@ -400,8 +400,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | Non
     Vectors compare with those of equal dimension only; null, empty, all-zero and not finite vectors have no
     neighbours and are none. Ties of cosine go to the smaller id; ids must be unique and not null (rows without id are
     left out). Vectors of the same direction (to 1e-5) are of cosine 1. An empty table gives no rows. Other columns are
-    ignored. ``hashes`` per table follows the row count unless given: 12 up to two million rows, then 1.2 more for each
-    doubling; ``tables`` follow the hashes unless given: 5 for 12, then 1.22 times as many for each more. Measured recall is in the README.
+    ignored. ``hashes`` per table follows the row count unless given: 10 up to half a million rows, then 1.2 more for each
+    doubling; ``tables`` follow the hashes unless given, so that recall stays: 6 for 10, then 1.22 times as many for each more. Measured recall is in the README.
     """
     least = -np.inf if least is None else least
     sure = max(least, SURE)
@@ -410,9 +410,9 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float | Non
     few = unit.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1)
     classes = cut(few.groupBy("dim", "h1", "h2").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("unit", "n").alias("unit")))
     n = classes.count()
-    m = hashes or 12 + max(0, round(1.2 * np.log2(max(n, 1) / 2e6)))
+    m = hashes or 10 + max(0, round(1.2 * np.log2(max(n, 1) / 5e5)))
     # a hash more keeps about 0.82 of the near pairs together, so tables grow by its inverse
-    conf = (tables or round(5 * 1.22 ** max(0, m - 12)), m, width, visits)
+    conf = (tables or round(6 * 1.22 ** max(0, m - 10)), m, width, visits)
 
     # visitors and residents per bucket; crowded ones (at most tables * (1 + visits) * rows / bucket of them) spread over cells
     hot: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
