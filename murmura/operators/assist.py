@@ -32,6 +32,14 @@ def combine_system(standing: Column, task: Column) -> Column:
     return F.when(is_blank(standing), task).otherwise(F.concat(utrim(standing), F.lit("\n\n"), task))
 
 
+def transcribe_prompt(language: Column, context: Column) -> Column:
+    """What a model that hears is told: to write down what is said; the language and names, where known."""
+    task = "Transcribe the audio exactly as spoken, verbatim. Output only the transcript text — no commentary, labels, or quotation marks."
+    tongue = F.when(F.coalesce(language, F.lit("")) != "", F.concat(F.lit(' The audio language is "'), language, F.lit('".'))).otherwise("")
+    names = F.when(~is_blank(context), F.concat(F.lit(" Context for spelling names and terms: "), utrim(context))).otherwise("")
+    return F.concat(F.lit(task), tongue, names)
+
+
 def line_cut(text: Column, most: Column) -> Column:
     """Length of the longest head of whole lines of at most ``most`` characters and its line break; all of a shorter text."""
     head = F.substring(text, F.lit(1), most + 1)

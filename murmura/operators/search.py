@@ -8,6 +8,8 @@ import struct
 
 import numpy as np
 import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,6 +165,15 @@ def rrf_fuse(*rankings: DataFrame, k: int = 60) -> DataFrame:
     return all_.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score")).orderBy(F.desc("score"), "id")
 
 
+def search_library(mode: str, segments: DataFrame, chunks: DataFrame, meetings: DataFrame, query: str, embed: Callable[[str], list[float]] | None = None, limit: int = 50) -> DataFrame:
+    """Hits by a mode (see ``sources.registry``): vectors alone give none without an embedder, both together text hits; others are full text."""
+    if mode == "semantic":
+        return search_semantic(chunks, meetings, embed(query) if embed else [], limit)
+    if mode == "hybrid":
+        return search_hybrid(segments, chunks, meetings, query, embed(query) if embed else None, limit)
+    return search(segments, meetings, query, limit)
+
+
 def search_hybrid(segments: DataFrame, chunks: DataFrame, meetings: DataFrame, query: str, vector: list[float] | None, limit: int = 50) -> DataFrame:
     """Full text and vectors fused by rank; text hits give title and snippet where there are both."""
     if not vector:

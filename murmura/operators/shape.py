@@ -129,20 +129,32 @@ def merge_tokens(df: DataFrame, key: str, order: str, text: str = "text", start:
 def token_words(tokens: Column, times: Column, clip: Column) -> Column:
     """Words ``(text, start, end)`` of parallel arrays of tokens and start times; empty if their lengths differ.
 
-    A word ends where the next begins, the last with the clip, none before its start; negative times are 0.
+    A word ends where the next begins, the last with the clip, none before its start; negative times and those that are
+    no number are 0.
     """
+    times = F.transform(times, lambda x: F.nanvl(x.cast("double"), F.lit(0.0)))
     word = lambda t, i: F.struct(t.alias("text"), F.greatest(F.get(times, i), F.lit(0.0)).alias("start"), F.greatest(F.coalesce(F.get(times, i + 1), clip), F.greatest(F.get(times, i), F.lit(0.0))).alias("end"))
     return F.when(F.size(tokens) == F.size(times), F.transform(tokens, word)).otherwise(F.array().cast("array<struct<text:string,start:double,end:double>>"))
 
 
 def merge_segments(df: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, text, start_ms, end_ms, speaker, source): a key's segments as one; none where no letter or digit is left."""
+    """(key, text, start_ms, end_ms, speaker, source): a key's segments as one; none where no letter or digit is left.
+
+    Where ``df`` has ``words``, all words come too, in order; where it has ``aux_text``, that of the first segment.
+    """
+    more = []
+    if "words" in df.columns:
+        empty = F.array().cast(df.schema["words"].dataType)
+        more.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce("words", empty).alias("w")))), lambda x: x.w)).alias("words"))
+    if "aux_text" in df.columns:
+        more.append(F.min_by("aux_text", order).alias("aux_text"))
     d = df.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x.text), "").alias("text"),
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
         F.min_by("speaker", order).alias("speaker"),
         F.min_by("source", order).alias("source"),
+        *more,
     )
     return d.filter(has_content(F.col("text")))
 

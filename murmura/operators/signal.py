@@ -236,3 +236,21 @@ def frame_count(samples: Column, channels: Column) -> Column:
 def frame_ms(samples: Column, channels: Column, rate: Column) -> Column:
     """Length of an interleaved frame in milliseconds; 0 without a rate."""
     return F.when(rate > 0, F.floor(frame_count(samples, channels) * 1000 / rate)).otherwise(0).cast("bigint")
+
+
+def planar_mono(channels: Column) -> Column:
+    """Mean of planes of samples (an array of arrays), as long as the shortest."""
+    n = F.array_min(F.transform(channels, F.size))
+    mean = lambda i: F.aggregate(channels, F.lit(0.0), lambda s, c: s + F.get(c, i).cast("double")) / F.size(channels)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), mean)).otherwise(F.array().cast("array<double>"))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def pcm_samples(data: pd.Series, bits: pd.Series) -> pd.Series:
+    """Samples of little-endian bytes: 32 bits are floats, 16 bits numbers of which 32768 is 1; other depths give none, a torn last sample is left out."""
+    out = []
+    for b, n in zip(data, bits):
+        kind, one = {32: ("<f4", 1.0), 16: ("<i2", 32_768.0)}.get(n, (None, 1.0))
+        size = n // 8 if kind else 1
+        out.append(np.frombuffer(b[: len(b) // size * size], kind).astype(float) / one if kind and b is not None else [])
+    return pd.Series(out)

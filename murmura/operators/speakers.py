@@ -92,6 +92,11 @@ def split_by_speaker(segments: DataFrame, spans: DataFrame, seg: str = "id") ->
     return runs.unionByName(plain)
 
 
+def several_sources(segments: DataFrame, key: str = "meeting_id") -> DataFrame:
+    """(key, several): whether a key's segments come from more than one source."""
+    return segments.groupBy(key).agg((F.countDistinct("source") > 1).alias("several"))
+
+
 def gate_map(utterances: DataFrame, key: str, order: str) -> DataFrame:
     """(key, compressed_ms, original_ms, duration_ms): where each utterance begins once the pauses are left out.
 

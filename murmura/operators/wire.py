@@ -180,6 +180,54 @@ def params(given: Column, specs: dict[str, tuple[str, object]]) -> Column:
     return F.struct(*[of(k, t, d) for k, (t, d) in specs.items()])
 
 
+def typed_params(json: Column, specs: dict[str, tuple[str, object]]) -> Column:
+    """Struct of parameters from a JSON object, by ``specs`` (kind, default); what has another JSON type takes the default.
+
+    Kinds are 'float' (any number), 'int', 'bool' and 'text'. A number in quotes is a text.
+    """
+    v = F.try_parse_json(json)
+    kinds = {"float": ("double", r"^(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), "int": ("bigint", r"^BIGINT$"), "bool": ("boolean", r"^BOOLEAN$"), "text": ("string", r"^STRING$")}
+
+    def of(name: str, kind: str, default: object) -> Column:
+        to, pattern = kinds[kind]
+        found = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        return F.coalesce(F.when(found.rlike(pattern), F.try_variant_get(v, f"$.{name}", to)), F.lit(default).cast(to)).alias(name)
+
+    return F.struct(*[of(n, kind, default) for n, (kind, default) in specs.items()])
+
+
+# Families that transcribe, statuses of a call that may be tried again.
+SPEECH_FAMILIES = ("whisper", "whisper-cpp", "streaming-transducer", "sense-voice", "paraformer", "parakeet", "apple-speech")
+AGAIN = (429, 500, 502, 503, 504)
+
+
+def is_asr(family: Column) -> Column:
+    """Whether a family transcribes, in any spelling of its name."""
+    plain = F.regexp_replace(F.lower(family), "[^a-z0-9]", "")
+    return plain.isin([f.replace("-", "") for f in SPEECH_FAMILIES])
+
+
+def retry_delay_ms(status: Column, retry_after: Column, attempt: Column, most_ms: int = 30_000) -> Column:
+    """Wait before another try: what the answer says in seconds, else half a second doubled each time; null where another try is no use.
+
+    A null status is a call that got no answer.
+    """
+    seconds = utrim(retry_after).try_cast("bigint")
+    wait = F.coalesce(F.when(status.isNotNull() & (seconds >= 0), seconds * 1000), (500 * F.pow(F.lit(2.0), F.least(attempt, F.lit(40)) - 1)).cast("bigint"))
+    return F.when(status.isNull() | status.isin([*AGAIN]), F.least(wait, F.lit(most_ms)))
+
+
+def text_result(text: Column, samples: Column, rate: int = 16_000) -> Column:
+    """An engine's text as one segment (text, start_ms, end_ms) of a clip of so many samples; null where it is empty."""
+    return F.when(text != "", F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("start_ms"), (samples * 1000 / rate).cast("bigint").alias("end_ms")))
+
+
+def worker_threads(override: Column, cores: Column) -> Column:
+    """Threads of an engine: a whole number of 1 or more that was set, else the cores, 1 at least."""
+    n = utrim(override).try_cast("bigint")
+    return F.when(n >= 1, n).otherwise(F.greatest(cores.cast("bigint"), F.lit(1)))
+
+
 def catalog_sizes(catalog: DataFrame) -> DataFrame:
     """(id, n_files, size_bytes, n_languages) of a model catalog with nested files."""
     size = F.aggregate("files", F.lit(0).cast("bigint"), lambda s, f: s + F.coalesce(f.size_bytes, F.lit(0)))

@@ -117,6 +117,25 @@ def accumulate_model(spark: SparkSession, root: str) -> DataFrame:
     return B.accumulate(d, "stream", "event_id", "model")
 
 
+def polled_emissions(spark: SparkSession, root: str) -> DataFrame:
+    """What is shown of polls made of events: purchases bring finals, others a volatile text that changes slowly."""
+    d = _frames(spark, root)
+    polls = d.select("stream", "event_id", F.when(F.col("event_type") == "purchase", F.concat(F.lit("f"), F.col("event_id").cast("string"))).alias("final"), F.when(F.col("event_type") != "error", F.concat(F.lit("v"), F.expr("event_id div 40").cast("string"))).alias("volatile"))
+    return B.emissions(polls, "stream", "event_id")
+
+
+def meeting_sources(spark: SparkSession, root: str) -> DataFrame:
+    """Meetings whose segments come from more than one source."""
+    return E.several_sources(table(spark, root, "segment", "meeting_id", "source"))
+
+
+def strict_params(spark: SparkSession, root: str) -> DataFrame:
+    """Typed parameters from the events' JSON; every third value is in quotes, which is no number."""
+    text = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", r"(\d+)", '"$1"')).otherwise(F.col("props"))
+    p = J.typed_params(text, {"k": ("int", -1), "limit": ("float", 0.5), "on": ("bool", True)})
+    return table(spark, root, "events", "event_id", "props").select("event_id", p.alias("p")).select("event_id", "p.*")
+
+
 def dictated(spark: SparkSession, root: str) -> DataFrame:
     """Each live meeting's text as dictated: its finals, and the partial that is still open."""
     return B.dictation(_live(spark, root).filter("id % 7 > 0 OR status = 'Partial'"), "meeting_id", "seq")
@@ -247,7 +266,7 @@ def catalog_by_language(spark: SparkSession, root: str) -> DataFrame:
     return J.catalog_by_language(table(spark, root, "model_catalog"))
 
 
-QUERIES = {f.__name__: f for f in (speaker_majority, assign_speakers, split_by_speaker, timeline_remap, upsert_latest, coalesce_burst, echo_dedup, changed_partials, queue_tail, utterance_sessions, streaming_ids, accumulate_events, accumulate_translation, accumulate_model, dictated, sticky_language, capture_jobs, colliding_slugs, assist_triggers, online_clusters, mixer_shares, meeting_locales, document_answers, title_slugs, downmix, resample_linear, rms_gate, apply_gain, audio_frames, high_pass, props_params, diarized_index, catalog_sizes, catalog_by_language)}
+QUERIES = {f.__name__: f for f in (speaker_majority, assign_speakers, split_by_speaker, timeline_remap, upsert_latest, coalesce_burst, echo_dedup, changed_partials, queue_tail, utterance_sessions, streaming_ids, accumulate_events, accumulate_translation, accumulate_model, polled_emissions, meeting_sources, strict_params, dictated, sticky_language, capture_jobs, colliding_slugs, assist_triggers, online_clusters, mixer_shares, meeting_locales, document_answers, title_slugs, downmix, resample_linear, rms_gate, apply_gain, audio_frames, high_pass, props_params, diarized_index, catalog_sizes, catalog_by_language)}
 
 _MAJORITY = """o AS (SELECT s.id, p.speaker, sum(least(s.end_ms, p.end_ms) - greatest(s.start_ms, p.start_ms)) AS total FROM segment s JOIN speaker_span p ON p.meeting_id = s.meeting_id AND p.start_ms < s.end_ms AND s.start_ms < p.end_ms AND p.end_ms > p.start_ms AND s.end_ms > s.start_ms WHERE p.speaker IS NOT NULL GROUP BY ALL),
 best AS (SELECT id, CAST(arg_max(speaker, total * 100000 + speaker) AS BIGINT) AS speaker FROM o GROUP BY id)"""
@@ -263,6 +282,12 @@ o AS (SELECT *, CASE WHEN ms - lag(ms) OVER w >= 1200 OR lag(event_type) OVER w
 g AS (SELECT *, sum(opens) OVER (PARTITION BY stream ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS part FROM o),
 t AS (SELECT stream, part, coalesce(string_agg(CASE WHEN event_type IN ('view', 'purchase') THEN ' ' || event_type END, '' ORDER BY event_id), '') AS text, string_agg(CASE WHEN event_type = 'click' THEN ' click' END, '' ORDER BY event_id) AS aux_text FROM g GROUP BY stream, part)
 SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY part) - 1 AS n, text, aux_text FROM t WHERE text != '' OR aux_text != ''""",
+    "polled_emissions": f"""WITH {_FRAMES}, p AS (SELECT stream, event_id, CASE WHEN event_type = 'purchase' THEN 'f' || event_id END AS fin, CASE WHEN event_type != 'error' THEN 'v' || (event_id // 40) END AS vol FROM f),
+g AS (SELECT *, sum(CASE WHEN fin IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS part FROM p),
+b AS (SELECT *, last_value(CASE WHEN fin IS NULL THEN vol END IGNORE NULLS) OVER (PARTITION BY stream, part ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g)
+SELECT stream, event_id, CASE WHEN fin IS NOT NULL THEN 'Final' ELSE 'Partial' END AS status, coalesce(fin, vol) AS text FROM b WHERE fin IS NOT NULL OR vol IS NOT NULL AND vol IS DISTINCT FROM before""",
+    "meeting_sources": "SELECT meeting_id, count(DISTINCT source) > 1 AS several FROM segment GROUP BY meeting_id",
+    "strict_params": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), -1) END AS k, 0.5::DOUBLE AS \"limit\", true AS \"on\" FROM events",
     "dictated": r"""WITH l AS (SELECT meeting_id, seq, status, regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM live_segment WHERE id % 7 > 0 OR status = 'Partial'),
 m AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY seq DESC) AS r FROM l),
 p AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY seq) AS n FROM m WHERE t != '' AND (status = 'Final' OR r = 1))

@@ -65,3 +65,8 @@ def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
     """(name, ok) of every expected file (name, sha256): whether it is there with that checksum, in any case of letters."""
     have = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.lower("sha256").alias("is"))
     return expected.join(have, "name", "left").groupBy("name").agg(F.coalesce(F.bool_or(F.col("is") == F.lower("sha256")), F.lit(False)).alias("ok"))
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder; their contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n

@@ -107,6 +107,21 @@ def changed_only(rows: DataFrame, key: str, order: str, value: str) -> DataFrame
     return rows.withColumn("__same", ~first & F.col(value).eqNullSafe(F.lag(value).over(w))).filter(~F.col("__same")).drop("__same")
 
 
+def emissions(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, status, text) of polls (final, volatile): a final if there is one, else the volatile text if it is new, else nothing.
+
+    New is what was not the last volatile text emitted since the last final. Empty and null texts are nothing.
+    """
+    final, volatile = F.coalesce("final", F.lit("")), F.coalesce("volatile", F.lit(""))
+    w = Window.partitionBy(key).orderBy(order)
+    d = rows.withColumn("__part", F.coalesce(F.sum(F.when(final != "", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    shown = F.when((final == "") & (volatile != ""), volatile)
+    before = F.last(shown, ignorenulls=True).over(Window.partitionBy(key, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("__before", before)
+    status = F.when(final != "", "Final").when(shown.isNotNull() & ~shown.eqNullSafe(F.col("__before")), "Partial")
+    return d.select(key, order, status.alias("status"), F.when(final != "", final).otherwise(volatile).alias("text")).filter("status IS NOT NULL")
+
+
 def last_rows(rows: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
     """What a bounded queue that drops the oldest still holds: the last ``capacity`` rows of each stream."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("__n") <= capacity).drop("__n")

@@ -389,3 +389,34 @@ def test_retained_batches_replace_themselves(spark, tmp_path):
         sink(df, number)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     assert one(spark, utrim(F.lit(" x "))) == "x"
+
+
+def test_small_rules(spark):
+    assert one(spark, wire.retry_delay_ms(F.lit(429), F.lit(" 7 "), F.lit(1))) == 7_000 and one(spark, wire.retry_delay_ms(F.lit(None).cast("int"), F.lit("9"), F.lit(3))) == 2_000
+    assert one(spark, wire.retry_delay_ms(F.lit(503), F.lit("x"), F.lit(60))) == 30_000 and one(spark, wire.retry_delay_ms(F.lit(401), F.lit("1"), F.lit(1))) is None
+    assert [one(spark, wire.worker_threads(F.lit(o), F.lit(c))) for o, c in ((" 6 ", 2), ("0", 4), ("x", 0))] == [6, 4, 1]
+    assert one(spark, wire.is_asr(F.lit("WhisperCpp"))) and not one(spark, wire.is_asr(F.lit("Denoise")))
+    assert one(spark, wire.text_result(F.lit(""), F.lit(5))) is None and one(spark, wire.text_result(F.lit("a"), F.lit(8_000))).end_ms == 500
+    assert "language is \"de\". Context for spelling names and terms: Ann" in one(spark, assist.transcribe_prompt(F.lit("de"), F.lit(" Ann "))) and one(spark, assist.transcribe_prompt(F.lit(""), F.lit(" "))).endswith("marks.")
+    p = one(spark, wire.typed_params(F.lit('{"a":"7","b":2,"c":true,"d":"x","e":1}'), {"a": ("int", 1), "b": ("float", 0.0), "c": ("bool", False), "d": ("text", ""), "e": ("text", "none"), "f": ("int", 3)}))
+    assert tuple(p) == (1, 2.0, True, "x", "none", 3)
+    assert tuple(one(spark, wire.typed_params(F.lit("no json"), {"a": ("int", 1)}))) == (1,)
+    planes = F.array(F.array(F.lit(1.0), F.lit(0.0), F.lit(9.0)), F.array(F.lit(0.0), F.lit(1.0)))
+    assert one(spark, signal.planar_mono(planes)) == [0.5, 0.5] and one(spark, signal.planar_mono(F.array().cast("array<array<double>>"))) == []
+    raw = spark.createDataFrame([(bytearray(np.array([0.5, -1.0], "<f4").tobytes() + b"x"), 32), (bytearray(np.array([16384], "<i2").tobytes()), 16), (bytearray(b"abc"), 24), (None, 16)], "b binary, n int")
+    assert [r.x for r in raw.select(signal.pcm_samples("b", "n").alias("x")).collect()] == [[0.5, -1.0], [0.5], [], []]
+    words = one(spark, shape.token_words(F.array(F.lit("a"), F.lit("b")), F.array(F.lit(float("nan")), F.lit(2.0)), F.lit(3.0)))
+    assert [(w.start, w.end) for w in words] == [(0.0, 2.0), (2.0, 3.0)]
+
+
+def test_merged_segments_keep_words(spark):
+    rows = [("a", 1, "x", 5, 9, None, "mic", [("x", 5, 9)], None), ("a", 0, " y", 0, 5, 1, "mic", [(" y", 0, 5)], "aux"), ("b", 0, "!", 0, 1, None, "mic", None, None)]
+    df = spark.createDataFrame(rows, "k string, o int, text string, start_ms bigint, end_ms bigint, speaker bigint, source string, words array<struct<text:string,start_ms:bigint,end_ms:bigint>>, aux_text string")
+    (r,) = shape.merge_segments(df, "k", "o").collect()
+    assert (r.text, r.start_ms, r.end_ms, r.speaker, r.aux_text, [w.text for w in r.words]) == (" yx", 0, 9, 1, "aux", [" y", "x"])
+
+
+def test_emissions_put_finals_first(spark):
+    polls = [("s", 0, None, "a"), ("s", 1, "", "a"), ("s", 2, "A.", "b"), ("s", 3, None, "a"), ("s", 4, None, ""), ("s", 5, None, "a"), ("s", 6, None, "ab")]
+    df = spark.createDataFrame(polls, "k string, o int, final string, volatile string")
+    assert [(r.o, r.status, r.text) for r in batch.emissions(df, "k", "o").orderBy("o").collect()] == [(0, "Partial", "a"), (2, "Final", "A."), (3, "Partial", "a"), (6, "Partial", "ab")]
