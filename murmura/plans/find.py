@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmura.operators import search as S
+from murmura.operators import text_index
+from murmura.session import shared_folder
 from murmura.sources.tables import table
 
 #: What the queries look for.
@@ -33,6 +35,14 @@ def search_bm25(spark: SparkSession, root: str) -> DataFrame:
     return S.bm25(seg, WORDS).select("meeting_id", "idx", F.round("score", 9).alias("score"))
 
 
+def search_indexed(spark: SparkSession, root: str) -> DataFrame:
+    """All scored segments of a full-text query, by an index of trigrams."""
+    seg, _, _ = _tables(spark, root)
+    path = shared_folder(spark)
+    text_index.build(seg, path)
+    return text_index.bm25(spark, path, WORDS).select("meeting_id", "idx", F.round("score", 9).alias("score"))
+
+
 def search_fts(spark: SparkSession, root: str) -> DataFrame:
     """The best meetings of a full-text query."""
     seg, met, _ = _tables(spark, root)
@@ -70,7 +80,7 @@ def l2_normalize(spark: SparkSession, root: str) -> DataFrame:
     return chunk.filter(F.size("embedding") > 0).select("id", F.transform(S.l2_normalize(F.col("embedding")), lambda x: F.round(x, 5)).alias("unit"))
 
 
-QUERIES = {f.__name__: f for f in (search_like, search_bm25, search_fts, search_cjk, search_semantic, search_hybrid, embed_hashing, l2_normalize)}
+QUERIES = {f.__name__: f for f in (search_like, search_bm25, search_indexed, search_fts, search_cjk, search_semantic, search_hybrid, embed_hashing, l2_normalize)}
 
 
 def _bm25(tokens: list[str]) -> str:
@@ -94,6 +104,7 @@ SQL = {
 FROM segment s JOIN meeting m ON m.id = s.meeting_id WHERE {' AND '.join(f"contains(s.text, '{t}')" for t in SHORT.split())})
 SELECT meeting_id, title, started_at_ms, CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '…' ELSE text END AS snippet, 0.0::DOUBLE AS score FROM h WHERE first = 1 ORDER BY started_at_ms DESC, meeting_id LIMIT 50""",
     "search_bm25": f"WITH {_bm25(WORDS.split())} SELECT meeting_id, idx, round(score, 9) AS score FROM h",
+    "search_indexed": f"WITH {_bm25(WORDS.split())} SELECT meeting_id, idx, round(score, 9) AS score FROM h",
     "search_fts": f"WITH {_bm25(WORDS.split())}, {_BEST % 50} SELECT meeting_id, title, round(score, 9) AS score FROM t",
     "search_cjk": f"WITH {_bm25([CJK])}, {_BEST % 50} SELECT meeting_id, title, round(score, 9) AS score FROM t",
     "search_semantic": f"WITH {_DOT % 50} SELECT meeting_id, title, round(score, 9) AS score FROM et",

@@ -28,15 +28,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, removed when the process ends."""
+    path = f"{checkpoint_dir(spark)}/murmura/{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder; lineage ends there, so a lost executor costs only a read.
 
     A table is written rather than ``checkpoint()`` called, which computes the last stage twice.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/murmura/{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

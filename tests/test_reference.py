@@ -420,3 +420,18 @@ def test_emissions_put_finals_first(spark):
     polls = [("s", 0, None, "a"), ("s", 1, "", "a"), ("s", 2, "A.", "b"), ("s", 3, None, "a"), ("s", 4, None, ""), ("s", 5, None, "a"), ("s", 6, None, "ab")]
     df = spark.createDataFrame(polls, "k string, o int, final string, volatile string")
     assert [(r.o, r.status, r.text) for r in batch.emissions(df, "k", "o").orderBy("o").collect()] == [(0, "Partial", "a"), (2, "Final", "A."), (3, "Partial", "a"), (6, "Partial", "ab")]
+
+
+def test_an_index_answers_as_a_scan(spark, tmp_path):
+    from murmura.operators import search, text_index
+
+    rnd = random.Random(3)
+    words = ["budget", "Budgets", "the", "日程表", "ababab", "x", "été", "BUD"]
+    rows = [(f"m{i % 5}", i % 40, " ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 9)))) for i in range(200)] + [("m", 1, None), ("m", 2, ""), ("m", 3, "ab")]
+    df = spark.createDataFrame(rows + rows[:30], "meeting_id string, idx int, text string")
+    text_index.build(df, str(tmp_path / "i"))
+    for q in ("budget", "the budget", "日程表", "ababab", "été the", "nowhere", ""):
+        got, want = (sorted((r.meeting_id, r.idx, r.text, round(r.score, 9)) for r in d.collect()) for d in (text_index.bm25(spark, str(tmp_path / "i"), q), search.bm25(df, q) if q else df.limit(0).withColumn("score", F.lit(0.0))))
+        assert got == want, q
+    with pytest.raises(ValueError):
+        text_index.bm25(spark, str(tmp_path / "i"), "ab")
