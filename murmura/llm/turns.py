@@ -305,10 +305,12 @@ class Tagger:
                 data.append(([o for _, _, o in toks], may))
         weights = [np.exp(m - np.log(np.exp(m).sum(1, keepdims=True))) for _, m in data]
         pairs = [w[:-1].T @ w[1:] for w in weights]
+        unsure = [i for i, (_, m) in enumerate(data) if (np.isfinite(m).sum(1) > 1).any()]  # the others' tags stay
         for r in range(rounds):
             self._count([o for o, _ in data], weights, pairs)
             if r < rounds - 1:
-                weights, pairs = map(list, zip(*[self._posterior(o, m) for o, m in data]))
+                for i in unsure:
+                    weights[i], pairs[i] = self._posterior(*data[i])
 
     def _count(self, rows: list[list[Observation]], weights: list[np.ndarray], pairs: list[np.ndarray]) -> None:
         k = len(TAGS)
