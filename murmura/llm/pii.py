@@ -178,7 +178,7 @@ def normalise(text: str, gated: bool = True) -> tuple[Mapped, set[str] | None, s
     return m, may, address, cues
 
 
-EMAIL = re.compile(r"[A-Za-z0-9À-ɏ_%+-]+(?:\.[A-Za-z0-9À-ɏ_%+-]+)*\s?@\s?[A-Za-z0-9À-ɏ-]+(?:\.[A-Za-z0-9À-ɏ-]+)*\.[A-Za-z]{2,}")
+EMAIL = re.compile(r"(?<![A-Za-z0-9À-ɏ_%+-])(?<![A-Za-z0-9À-ɏ_%+-]\.)[A-Za-z0-9À-ɏ_%+-]+(?:\.[A-Za-z0-9À-ɏ_%+-]+)*\s?@\s?[A-Za-z0-9À-ɏ-]+(?:\.[A-Za-z0-9À-ɏ-]+)*\.[A-Za-z]{2,}")
 
 # Cue words before a number, by what the number is.
 CUES = {
@@ -189,7 +189,7 @@ CUES = {
 _CUE = re.compile("|".join(rf"(?P<c{i}>{p})" for i, p in enumerate(CUES.values())), re.I)
 _KINDS = list(CUES)
 #: A number with its separators, or letters and digits together.
-NUMBER = re.compile(r"(?<![A-Za-z0-9_@.])(?:\+\s?\d{1,3}[\s./-]?)?(?:\(\d{1,4}\)\s?)?\d+(?:(?:\s?[-./]\s?|\s)?\(?\d+\)?)*(?![\d@])")
+NUMBER = re.compile(r"(?<![A-Za-z0-9_@.])(?:\+\s?\d{1,3}[\s./-]?)?(?:\(\d{1,4}\)\s?)?\d++(?:(?:\s?[-./]\s?|\s|(?<=\))|(?=\())\(?\d++\)?)*(?![\d@])")
 _DIGIT = re.compile(r"\d")
 ID_VALUE = re.compile(r"(?<![A-Za-z0-9_])(?=[\w .\-№]{0,24}\d)(?:[A-Z]{1,3}(?=[ \d])|[A-Z]?\d[0-9A-Z]*|[A-Z]{1,3}\d[0-9A-Z]*)(?:[ .\-/]?(?:№\s?)?(?:\d[0-9A-Z]*|[A-Z](?![a-z])\d*(?![\w])))*")
 ID_LOWER = re.compile(r"(?<![A-Za-z0-9_])(?:[a-z]{1,3}\s?)?\d[0-9a-z]*(?:[ .\-/]?(?:№\s?)?\d[0-9a-z]*)*")

@@ -115,7 +115,7 @@ def _ambiguous(text: str, word: str, end: int) -> bool:
     return bool(langs) and text[end : end + 1] not in (",", "…", ".", "，", "") and any(re.search(CUES[x], text, re.I) for x in langs.split())
 
 
-_CLOCK_AT = re.compile(r"\d+(?=:\d\d|h\d)")
+_CLOCK_AT = re.compile(r"(?<!\d)\d{1,6}(?=:\d\d|h\d)")
 _SHORT_AT = re.compile(r"[sS](?<![^\W_][sS])\d")
 _DRAWN_AT = re.compile(r"([^\W\d_])\1\1")
 _SIGNS: list = []
@@ -154,10 +154,15 @@ def _places(text: str) -> list[int]:
         out.add(a)
     out.update(m.start() for m in _CLOCK_AT.finditer(low))
     out.update(m.start() for m in _SHORT_AT.finditer(low))
+    word = 0  # end of the last word looked at: each is walked through once
     for m in _DRAWN_AT.finditer(low):
-        a = m.start()
+        if m.start() < word:
+            continue
+        a, word = m.start(), m.end()
         while a and _part(low[a - 1]):
             a -= 1
+        while word < n and _part(low[word]):
+            word += 1
         out.add(a)
     return sorted(out)
 

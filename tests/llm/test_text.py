@@ -381,6 +381,19 @@ def test_redaction_keeps_the_rest(spark):
         assert pii.find_pii(df.limit(0), {"k": F.col("k")}, "text", shown, "n", most).count() == 0
 
 
+@pytest.mark.parametrize("text", ["1" * 40 + "@x", "12 " * 20_000 + "@", "(1)" * 20_000, "a" * 200_000, "1" * 200_000, "h" * 100_000, "[" * 50_000, "at " * 30_000, "a." * 50_000 + "@", "[dot] " * 20_000, "12:" * 30_000, "“" * 50_000, "w@" * 30_000, "Ann " * 30_000, "one " * 30_000], ids=range(15))
+def test_odd_long_texts_end(text):
+    import time
+
+    began = time.time()
+    model = turns.Tagger(["Speaker 1: hello you", "[Music] hello there"] * 3)
+    turns.tag_texts([text], model)
+    pii.find(text, NAMES)
+    language.stretches(text, MODEL)
+    split.pieces(text.strip())
+    assert time.time() - began < 60
+
+
 # --- languages
 
 TEXTS = {
