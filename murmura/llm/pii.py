@@ -193,7 +193,7 @@ NUMBER = re.compile(r"(?<![A-Za-z0-9_@.])(?:\+\s?\d{1,3}[\s./-]?)?(?:\(\d{1,4}\)
 _DIGIT = re.compile(r"\d")
 ID_VALUE = re.compile(r"(?<![A-Za-z0-9_])(?=[\w .\-№]{0,24}\d)(?:[A-Z]{1,3}(?=[ \d])|[A-Z]?\d[0-9A-Z]*|[A-Z]{1,3}\d[0-9A-Z]*)(?:[ .\-/]?(?:№\s?)?(?:\d[0-9A-Z]*|[A-Z](?![a-z])\d*(?![\w])))*")
 ID_LOWER = re.compile(r"(?<![A-Za-z0-9_])(?:[a-z]{1,3}\s?)?\d[0-9a-z]*(?:[ .\-/]?(?:№\s?)?\d[0-9a-z]*)*")
-STRONG = re.compile(r"\+\d|\(\d{2,4}\)\s?\d{3,4}-\d{4}$|\d{3}\.\d{3}\.\d{4}$|0\d{2,4}[-/ ]|1\d{10}$|0\d(?: \d\d){4}$|8 ?\(\d{3}\)")
+STRONG = re.compile(r"\+\d|\(0\d{1,4}\)\s?\d{3,4}[ -]?\d{3,4}$|\(\d{2,4}\)\s?\d{3,4}-\d{4}$|\d{3}\.\d{3}\.\d{4}$|0\d{2,4}[-/ ]|1\d{10}$|0\d(?: \d\d){4}$|8 ?\(\d{3}\)")
 
 # Kinds of streets by language.
 _EN = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Court|Ct|Drive|Dr|Way|Close|Square|Sq|Place|Pl|Terrace|Crescent|Grove|Row|Walk|Gardens|Hill|Boulevard|Blvd|Brewery|Mews|Parade|Yard)"

@@ -270,6 +270,7 @@ NAMES = pii.name_words(["Ann O'Hara", "Bao Lindquist", "尉迟雨禾", "尉迟
         ("Call five five five zero one two three four now", [("five five five zero one two three four", "phone")]),
         ("我的电话是一九九零零零零一四二八", [("一九九零零零零一四二八", "phone")]),
         ("電話番号は０３－００００－７６８３です", [("０３－００００－７６８３", "phone")]),
+        ("(020) 7946 0958", [("(020) 7946 0958", "phone")]),
         ("Order 900-11-2034 arrived. My number is (555) 014-0139", [("(555) 014-0139", "phone")]),
         ("My social is 944 88 1039, please", [("944 88 1039", "id_number")]),
         ("Номер паспорта 9930 № 694472.", [("9930 № 694472", "id_number")]),
