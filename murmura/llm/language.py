@@ -1,6 +1,6 @@
 """Languages of documents and of the stretches of mixed segments, by Bayesian fusion of evidence.
 
-A character n-gram model of the Latin-script languages is trained on a bounded sample that function words label; other
+A character n-gram model of the Latin-script languages is trained on all texts, which function words label; other
 scripts name their language. A segment's words are decoded into stretches of one language. The stretches' log likelihoods
 add up to each document's text evidence by grouped aggregation; declared label, address suffix and a host prior, smoothed
 towards that of the host's family and that towards the prior of all documents, join it as log odds.
@@ -31,7 +31,7 @@ LATIN = LANGS[:5]
 FUNCTION_WORDS = {
     "en": "the and of to is was were that this it we you not are with for on be have has at by from or which if they there will can who he she our but all about please",
     "de": "der die das und ist nicht wir ich ein eine zu den dem des mit für auf von im sich es sie auch noch wenn dass kann wird haben hat bitte aber nach uns",
-    "fr": "le la les et est une un des du de dans que qui pas pour nous vous il elle ne sur avec au aux ce cette sont mais on par plus été même",
+    "fr": "le la les et est une un des du de dans que qui pas pour nous vous il elle ne sur avec au aux ce cette sont mais on par plus été même si",
     "es": "el la los las y es una un de que en no se por para con del al lo su pero más está como hay nos esto esta hubo le todavía si cuando",
     "pt": "o a os as e é uma um de que em não se por para com do da dos das no na mas mais está são isso nos até também ao pela houve ainda",
 }
@@ -52,7 +52,8 @@ SUFFIXES = {"uk": "en", "us": "en", "au": "en", "ie": "en", "de": "de", "at": "d
 _BY_NAME = {w: code for code, ws in NAMES.items() for w in ws.split()}
 
 FEATURES = 1 << 16
-SAMPLE = 6_000
+#: Roots of counts are summed in this part of one, so that no sum depends on its order.
+UNIT = 1 << 20
 #: Evidence of one word is at most this many nats; a change of language costs these, inside a clause and at its end.
 WORD_MOST, SWITCH, SWITCH_AT_END = 3.0, 9.0, 5.0
 _WORD = re.compile(r"(?:[^\W\d_]|[̀-ͯऀ-ॣ०-෿฀-๿])+(?:['’-](?:[^\W\d_]|[̀-ͯ])+)*")
@@ -100,39 +101,84 @@ def _grams(word: str) -> list[int]:
     return [g % FEATURES for g in out]
 
 
+#: What may hold a word in Latin script, once in lower case.
+_MAY_LATIN = r"[A-Za-z\x{aa}-\x{24f}\x{1e9e}\x{212a}\x{212b}\x{2c7e}\x{2c7f}]"
+_CLAUSE_END = re.compile(r"[.!?。！？।؟\n—]")
+#: Function words of one language only, by the language's number.
+_CUES = {w: i for i, c in enumerate(LATIN) for w in FUNCTION_WORDS[c].split() if sum(w in v.split() for v in FUNCTION_WORDS.values()) == 1}
+#: (language's number, function word): each is counted once before any text.
+_SEEDS = [(i, w) for i, c in enumerate(LATIN) for w in dict.fromkeys(FUNCTION_WORDS[c].split())]
+#: Words of a clause that the model labels, at least, and the nats by which its language leads.
+CLAUSE_WORDS, LEAD = 3, 3.0
+
+
+def clauses(text: str) -> list[list[str]]:
+    """The words in Latin script of each clause of a text, in lower case."""
+    t = _SKIP.sub(" ", text) if _MAY_SKIP.search(text) else text
+    return [[w for w in _WORD.findall(p.lower()) if ord(w[0]) < 0x250] for p in _CLAUSE_END.split(t)]
+
+
+def by_function_words(cuts: list[list[str]]) -> int:
+    """The number of the language that the function words of a whole text name; -1 where they name none."""
+    votes = np.bincount([_CUES[w] for p in cuts for w in p if w in _CUES], minlength=len(LATIN))
+    top = np.sort(votes)
+    return int(votes.argmax()) if top[-1] >= 2 and top[-1] > 4 * top[-2] else -1
+
+
+def gram_counts(langs: list[int], words: list[str], counts: list[int]) -> np.ndarray:
+    """(languages, FEATURES): sums of the words' root counts, in ``UNIT``, so that frequent templates weigh less."""
+    out = np.zeros((len(LATIN), FEATURES), np.int64)
+    if words:
+        grams = [_grams(w) for w in words]
+        sizes = [len(g) for g in grams]
+        roots = np.rint(np.sqrt(np.asarray(counts, np.float64)) * UNIT).astype(np.int64)
+        np.add.at(out, (np.repeat(langs, sizes), np.concatenate(grams)), np.repeat(roots, sizes))
+    return out
+
+
 class Model:
-    """Naive Bayes of hashed n-grams for the languages in Latin script; scores of words are remembered."""
+    """Naive Bayes of hashed n-grams for the languages in Latin script; scores of words are remembered.
+
+    Of ``texts`` at hand; :func:`train` gives the same model of a table's texts.
+    """
 
     def __init__(self, texts: list[str]):
-        seeds = [Counter({w: 1.0 for w in FUNCTION_WORDS[c].split()}) for c in LATIN]
-        cues = {w: i for i, c in enumerate(LATIN) for w in FUNCTION_WORDS[c].split() if sum(w in v.split() for v in FUNCTION_WORDS.values()) == 1}
-        parts: Counter = Counter()
-        first = [s.copy() for s in seeds]
+        first, second, parts = Counter(_SEEDS), Counter(_SEEDS), Counter()
         for t in texts:  # function words of the whole text label its clauses in the first round
-            cuts = [tuple(w for w in _WORD.findall(p.lower()) if ord(w[0]) < 0x250) for p in re.split(r"[.!?。！？।؟\n—]", _SKIP.sub(" ", t))]
-            parts.update(p for p in cuts if len(p) > 2)
-            votes = np.bincount([cues[w] for p in cuts for w in p if w in cues], minlength=len(LATIN))
-            top = np.sort(votes)
-            if top[-1] >= 2 and top[-1] > 4 * top[-2]:
-                first[int(votes.argmax())].update(w for p in cuts for w in p)
-        self._learn(first)
-        second = [s.copy() for s in seeds]
-        for p, n in parts.items():  # the model itself labels the second
-            s = np.sum([self.word(w) for w in p], 0)
-            best = int(s.argmax())
-            if s[best] - np.sort(s)[-2] >= 3:
-                second[best].update(dict.fromkeys(p, n))
-        self._learn(second)
-
-    def _learn(self, words: list[Counter]) -> None:
-        count = np.full((len(LATIN), FEATURES), 1e-3)
-        for i, c in enumerate(words):
-            for w, n in c.items():
-                np.add.at(count[i], _grams(w), n**0.5)  # frequent templates weigh less
+            cuts = clauses(t)
+            parts.update(tuple(p) for p in cuts if len(p) >= CLAUSE_WORDS)
+            if (i := by_function_words(cuts)) >= 0:
+                first.update((i, w) for p in cuts for w in p)
+        self.learn(self._grams_of(first))
+        for (p, n), i in zip(parts.items(), self.own([*parts])):  # the model itself labels the second
+            if i >= 0:
+                second.update(dict.fromkeys([(i, w) for w in p], n))
+        self.learn(self._grams_of(second))
+
+    @staticmethod
+    def _grams_of(words: Counter) -> np.ndarray:
+        return gram_counts([i for i, _ in words], [w for _, w in words], [*words.values()])
+
+    def learn(self, grams: np.ndarray) -> "Model":
+        """The model of :func:`gram_counts`."""
+        count = grams / UNIT + 1e-3
         # relative to the same gram in the other languages, so that the languages' amounts of text do not matter
         share = count / count.sum(1, keepdims=True)
         self.log = np.log((share + 2e-6) / (share.sum(0, keepdims=True) + 2e-6 * len(LATIN))).astype(np.float32)
         self.words: dict[str, np.ndarray] = {}
+        return self
+
+    def own(self, cuts: list) -> list[int]:
+        """The number of each clause's language, -1 where none leads; no clause is empty."""
+        if not cuts:
+            return []
+        index: dict[str, int] = {}
+        ids = [index.setdefault(w, len(index)) for p in cuts for w in p]
+        scores = np.stack([self.word(w) for w in index]).astype(np.float64)[ids]
+        sizes = np.array([len(p) for p in cuts])
+        total = np.add.reduceat(scores, np.cumsum(sizes) - sizes, 0)
+        top = np.sort(total, 1)
+        return np.where(top[:, -1] - top[:, -2] >= LEAD, total.argmax(1), -1).tolist()
 
     def word(self, w: str) -> np.ndarray:
         """Log likelihoods of a lower-case word, less the best, at least -WORD_MOST."""
@@ -322,11 +368,52 @@ def whole(found: list[Stretch]) -> list[Stretch]:
     return [u for u in found if u[3] >= LEAST.get(u[0], LEAST_WORDS) and (u[0] not in LATIN or u[4] > 0.8)]
 
 
-def train(rows: DataFrame, text: str, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` texts, in hash order."""
-    t = F.col(text)
-    got = rows.filter(t.isNotNull() & (F.char_length(t) < 3000)).select(t.alias("t"), F.xxhash64(t).alias("h")).orderBy("h", "t").limit(sample).collect()
-    return Model([r.t for r in got])
+def train(rows: DataFrame, text: str) -> Model:
+    """``Model`` of every text of ``rows``, counted where the texts are.
+
+    Each text is cut once into clauses, of which distinct ones are kept with their numbers; both rounds sum words of these,
+    and roots of the words' sums by n-gram. To the driver come these last sums only, one row an n-gram (``FEATURES`` at most).
+    """
+    spark = rows.sparkSession
+    d = spread(rows.filter(F.col(text).rlike(_MAY_LATIN)).select(F.col(text).alias("t")))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found: Counter = Counter()
+            for t, n in Counter(b["t"]).items():
+                cuts = clauses(t)
+                lang = by_function_words(cuts)
+                for p in cuts:
+                    if len(p) >= CLAUSE_WORDS or (p and lang >= 0):
+                        found[lang, " ".join(p)] += n
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "clause", "n"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((len(LATIN), FEATURES), np.int64)
+        for b in batches:
+            out += gram_counts(b["lang"].tolist(), b["w"].tolist(), b["n"].tolist())
+        used = np.flatnonzero(out.any(0))
+        yield pd.DataFrame({"gram": used} | {c: out[i, used] for i, c in enumerate(LATIN)})
+
+    def learnt(words: DataFrame) -> Model:
+        seeds = spark.createDataFrame([(i, w, 1) for i, w in _SEEDS], "lang int, w string, n long")
+        sums = words.unionByName(seeds).groupBy("lang", "w").agg(F.sum("n").alias("n"))
+        grams = sums.mapInPandas(count, ", ".join(f"{c} long" for c in ("gram", *LATIN))).groupBy("gram").agg(*[F.sum(c).alias(c) for c in LATIN]).toArrow()
+        out = np.zeros((len(LATIN), FEATURES), np.int64)
+        for i, c in enumerate(LATIN):
+            out[i, grams["gram"].to_numpy()] = grams[c].to_numpy()
+        return Model([]).learn(out)
+
+    cuts = cut(d.mapInPandas(split, "lang int, clause string, n long").groupBy("lang", "clause").agg(F.sum("n").alias("n")))
+    words = F.split("clause", " ")
+    first = learnt(cuts.filter("lang >= 0").select("lang", F.explode(words).alias("w"), "n"))
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(lang=first.own([p.split(" ") for p in b["clause"]]))
+
+    own = spread(cuts.filter(F.size(words) >= CLAUSE_WORDS)).mapInPandas(label, cuts.schema).filter("lang >= 0")
+    return learnt(own.select("lang", F.explode(F.array_distinct(words)).alias("w"), "n"))
 
 
 def evidence(found: list[Stretch], good: list[Stretch]) -> list[float] | None:

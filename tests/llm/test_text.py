@@ -460,6 +460,26 @@ def test_one_clear_segment_outweighs_three_doubtful_ones(spark):
     assert len(found.filter("nats is not null").collect()) <= 4
 
 
+def test_model_learns_from_every_text(spark):
+    """Beyond any sample, long ones too, whatever the partitions."""
+    texts = [f"{TEXTS[c]} word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{c}" for c in ("en", "de", "fr", "es", "pt") for i in range(1500)]
+    texts += ["und der glimmertauk ist nicht da. " * 100, "and the whimplore is not there", "and the whimplore is not there", TEXTS["zh"], "", " ", None]
+    df = spark.createDataFrame([(t, 1) for t in texts], "t string, other int")
+    want = language.Model([t for t in texts if t])
+    model = language.train(df, "t")
+    assert (model.log == want.log).all()
+    assert (language.train(df.repartition(7), "t").log == want.log).all()
+    assert model.word("glimmertauk").argmax() == language.LATIN.index("de") and model.word("whimplore").argmax() == language.LATIN.index("en")
+    none = language.train(df.limit(0), "t")
+    assert (none.log == language.Model([]).log).all()
+
+
+def test_no_text_with_latin_words_is_left_out(spark):
+    hold = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and any(language.clauses(chr(c)))]
+    df = spark.createDataFrame([(c,) for c in hold], "c string")
+    assert len(hold) > 400 and df.filter(~F.col("c").rlike(language._MAY_LATIN)).collect() == []
+
+
 def test_confidence_of_scripts_grows_with_the_evidence():
     of = lambda t: language.stretches(t, MODEL)[0]
     assert of("会议")[4] < of("会议纪要还没有准备好")[4] and of("会议")[0] == "zh"
